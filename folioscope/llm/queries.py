@@ -24,6 +24,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2, spaced=True)
 
 
+def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.divergence import quality
+
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.token_files import token_files
 
@@ -38,6 +44,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_distribution_divergence": op4_distribution_divergence,
     "op5_token_files": op5_token_files,
     "op7_decontamination": op7_decontamination,
 }
