@@ -4,7 +4,7 @@ Layout of a written folder (all little-endian):
   shard-00000.bin   the ids of the shard's documents, back to back, uint16 or uint32
   shard-00000.idx   uint64: n, then n + 1 offsets (in ids) into the .bin, then n doc ids (int64)
   manifest.parquet  one row per shard: shard, n_docs, n_ids, base (ids of all shards before)
-Shards hold ascending, disjoint ranges of (doc id, text). A shard's base is the prefix sum of the
+Shards hold ascending, disjoint ranges of doc ids. A shard's base is the prefix sum of the
 shards before it, so any document's global position is base + its own offset, and a reader
 memory-maps only the shards that it needs.
 
@@ -91,7 +91,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
             _put(out, f"shard-{shard:05d}.idx", [head, offsets.tobytes(), np.concatenate(ids).astype("<i8").tobytes()])
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(lengths)], pa.int64()), "n_ids": pa.array([int(sum(lengths))], pa.int64())})
 
-    ordered = src.repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = src.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     sizes = sorted(tuple(r) for r in ordered.mapInArrow(write, "shard int, n_docs long, n_ids long").collect())
     rows, base = [], 0
     for shard, n_docs, n_ids in sizes:

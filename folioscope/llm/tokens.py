@@ -1,13 +1,16 @@
 """Subword encoding with the tokenizers library, spread over executors.
 
-Words repeat far more than texts do. A text is cut where no token of the vocabulary can span
-the cut, each distinct piece is encoded once by the library, and a text's ids are the pieces'
-ids put together. Both public vocabularies split text before encoding and never join across a
-space that is followed by a non-space, so the ids equal those of the whole text (tested).
+Words repeat far more than texts do. A text is cut where the vocabulary's own rule cuts it before
+merging, each distinct piece is encoded once by the library, and a text's ids are the pieces' ids
+put together, so they equal those of the whole text (tested against it).
+
+Texts of Latin-1 letters are cut by the rule itself, written out for these characters. Others are
+cut only at spaces before a non-space, which both rules never join across.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -15,17 +18,27 @@ import zlib
 import numpy as np
 
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 300_000
-_SPACE_RUN = re.compile(r" (?=\s|\Z)")
+CACHE_PIECES = 800_000
+#: Pieces that go to the library in one string.
+_JOINED = 256
+# Letters, numbers and white space of Latin-1, and the contractions that both rules cut off.
+_SMALL, _NUMBER, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_LETTER = "A-ZÀ-ÖØ-Þ" + _SMALL
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_WORD_RULE = re.compile(f"{_SHORT}|[{_SMALL}]+|[{_NUMBER}]|[^{_SPACE}{_SMALL}{_NUMBER}]+")
+_BYTE_RULE = re.compile(f"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_BEYOND = re.compile("[^\x00-\xff]")
 _CUT = re.compile(r"(?= \S)")
+#: A piece with white space other than one leading space goes to the library alone.
+_ALONE = re.compile(r"(?!^ )\s|^ ?\Z")
 _LOADED: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
     """texts -> little-endian unsigned 32-bit ids, by a tokenizers file whose path is given.
 
-    spaced: the vocabulary keeps a space with the word after it (byte-level kind); else white
-    space is dropped by the vocabulary and pieces are cut at spaces and line ends.
+    spaced: the vocabulary keeps a space with the word after it (byte-level kind); else it lowers
+    letters and drops white space.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -33,6 +46,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.known = Tokenizer.from_file(path), spaced, {}
+        self.between = "\n" if spaced else " \x01 "
+        (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
 
     @staticmethod
     def shared(path: str, spaced: bool) -> "Encoder":
@@ -41,23 +56,35 @@ class Encoder:
         return _LOADED[path, spaced]
 
     def pieces(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        if "  " in text or _SPACE_RUN.search(text):
-            return _CUT.split(text)
-        head, *rest = text.split(" ")
-        return [head, *map(" ".__add__, rest)]
+        if "<|" in text or _BEYOND.search(text):
+            return _CUT.split(text) if self.spaced else text.replace("\n", " ").split(" ")
+        return _BYTE_RULE.findall(text) if self.spaced else _WORD_RULE.findall(text.lower())
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode distinct pieces: many to a string with a mark between, odd ones one by one."""
+        odd = [x for x in new if _ALONE.search(x) or self.between.strip(" ") in x]
+        plain = list(new.difference(odd))
+        for piece, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            self.known[piece] = np.array(got.ids, "<u4").tobytes()
+        groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([self.between.join(x) for x in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            ends = [*(np.flatnonzero(ids == self.mark) * 4).tolist(), 4 * len(ids)]
+            if len(ends) != len(group):
+                raise ValueError("a piece holds the mark")
+            flat, at = ids.tobytes(), 0
+            for piece, end in zip(group, ends):
+                self.known[piece] = flat[at:end]
+                at = end + 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(x) for x in texts]
-        new = set().union(*cut).difference(self.known)
+        new = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(cut)))
         if len(self.known) + len(new) > CACHE_PIECES:
             self.known = {}
             new = set().union(*cut)
         if new:
-            new = list(new)
-            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[piece] = np.array(got.ids, "<u4").tobytes()
+            self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in cut]
 
