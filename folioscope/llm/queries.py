@@ -42,11 +42,25 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.wrapper import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_distribution_divergence": op4_distribution_divergence,
     "op5_token_files": op5_token_files,
     "op7_decontamination": op7_decontamination,
+    "op9_toxicity": op9_toxicity,
+    "op10_wrapper_induction": op10_wrapper_induction,
 }
 
 ORACLES: dict[str, str] = {}
