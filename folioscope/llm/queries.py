@@ -36,6 +36,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 2, spaced=False)
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.contamination import contamination
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_distribution_divergence": op4_distribution_divergence,
     "op5_token_files": op5_token_files,
+    "op6_order_minhash": op6_order_minhash,
     "op7_decontamination": op7_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_wrapper_induction": op10_wrapper_induction,
