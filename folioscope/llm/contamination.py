@@ -210,6 +210,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
     return src.mapInArrow(scan, schema)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that are not contaminated; one pass, no shuffle."""
+    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in _blocks(benchmark, item_col, item_text_col, window)]
+
+    def clean(batches):
+        for b in slices(batches):
+            keep = []
+            for text in b.column(text_col).to_pylist():
+                words = words_of(text)
+                hit = np.zeros(len(words), bool)
+                for automaton in sent:
+                    hit |= automaton.value.match(words)[0]
+                n = int(hit.sum())
+                keep.append(not n or share * n < len(words))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def cut(text: str | None, spans: list[list[int]]) -> str | None:
     """The text without the words of the spans (and what stands between the words of one span)."""
     if not text or not spans:

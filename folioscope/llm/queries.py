@@ -48,6 +48,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.secrets import secrets
+
+    return secrets(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.toxicity import toxicity
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_order_minhash": op6_order_minhash,
     "op7_decontamination": op7_decontamination,
+    "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_wrapper_induction": op10_wrapper_induction,
 }

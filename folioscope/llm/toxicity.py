@@ -119,24 +119,49 @@ def fit(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float]:
     return model.compact()
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int):
+    """The compact weights, sent to all tasks."""
+    rows = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=train_rows)
+    model = fit(rows) if rows else (np.zeros(0, np.int32), np.zeros(0, np.float32), -35.0)
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
+def _dense(at: np.ndarray, w: np.ndarray) -> np.ndarray:
+    dense = np.zeros(1 << BITS, np.float32)
+    dense[at] = w
+    return dense
+
+
+def _score(text: str | None, dense: np.ndarray, bias: float) -> float:
+    mine = grams(text)
+    mine = np.unique(mine[dense[mine] != 0])
+    return sigmoid(bias + float(dense[mine].sum(dtype=np.float64)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (score >= threshold)."""
-    rows = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=train_rows)
-    at, w, bias = fit(rows) if rows else (np.zeros(0, np.int32), np.zeros(0, np.float32), -35.0)
-    sent = docs.sparkSession.sparkContext.broadcast((at, w, bias))
+    sent = _fitted(docs, labels, id_col, text_col, label_col, train_rows)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def score(batches):
         at, w, bias = sent.value
-        dense = np.zeros(1 << BITS, np.float32)
-        dense[at] = w
+        dense = _dense(at, w)
         for b in slices(batches):
-            out = []
-            for text in b.column("text").to_pylist():
-                mine = grams(text)
-                mine = np.unique(mine[dense[mine] != 0])
-                out.append(sigmoid(bias + float(dense[mine].sum(dtype=np.float64))))
+            out = [_score(x, dense, bias) for x in b.column("text").to_pylist()]
             ids = b.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": pa.array([held_out(x) for x in ids], pa.bool_()), "score": pa.array(out, pa.float64()), "predicted": pa.array([int(x >= threshold) for x in out], pa.int32())})
 
     return src.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is under the threshold; one pass, no shuffle."""
+    sent = _fitted(docs, labels, id_col, text_col, label_col, train_rows)
+
+    def clean(batches):
+        at, w, bias = sent.value
+        dense = _dense(at, w)
+        for b in slices(batches):
+            yield b.filter(pa.array([_score(x, dense, bias) < threshold for x in b.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
