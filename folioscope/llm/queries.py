@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.llm.common import ship_package
 
@@ -18,6 +19,34 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Pages of an archive; damage done to the second replica by page id.
+ARCHIVE_PAGES, CORRUPT, MISSING = 2000, (101, 7), (503, 11)
+
+
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of the pages against a replica in which some records are altered and some are lost."""
+    from folioscope.llm.warc import fixity_report, record_table, replica_table
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = record_table(pages, F.floor(F.col("page_id") / ARCHIVE_PAGES))
+    altered = F.when(F.col("page_id") % CORRUPT[0] == CORRUPT[1], F.concat(F.lit("#"), F.substr("html", F.lit(2)))).otherwise(F.col("html"))
+    replica = pages.filter(F.col("page_id") % MISSING[0] != MISSING[1]).withColumn("html", altered)
+    return fixity_report(index, replica_table(replica, index))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source / language / hundred of ids; every fiftieth is a licence file,
+    of its directory or of one above it."""
+    from folioscope.llm.licenses import licenses
+
+    docs = _table(spark, sf_dir, "documents")
+    i, top, mid = F.col("doc_id"), F.col("source"), F.concat_ws("/", "source", "lang")
+    low = F.concat_ws("/", mid, F.floor(i / 100).cast("string"))
+    licence = F.concat(F.lit("/LICENSE."), i.cast("string"))
+    path = F.when(i % 200 == 0, F.concat(top, licence)).when(i % 100 == 0, F.concat(mid, licence)).when(i % 50 == 0, F.concat(low, licence)).otherwise(F.concat(low, F.lit("/"), i.cast("string"), F.lit(".txt")))
+    return licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.packing import pack
 
@@ -67,6 +96,8 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_fixity": op1_warc_fixity,
+    "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_distribution_divergence": op4_distribution_divergence,
     "op5_token_files": op5_token_files,
@@ -77,4 +108,20 @@ QUERIES = {
     "op10_wrapper_induction": op10_wrapper_induction,
 }
 
-ORACLES: dict[str, str] = {}
+def _warc_sql() -> str:
+    from folioscope.llm.warc import FAN_OUT, LEVELS, RANGE_BYTES
+
+    crlf = "chr(13) || chr(10)"
+    record = lambda body: f"'WARC/1.0' || {crlf} || 'WARC-Type: response' || {crlf} || 'WARC-Record-ID: <urn:record:' || page_id || '>' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '') || {crlf} || 'Content-Type: text/html' || {crlf} || 'Content-Length: ' || strlen({body}) || {crlf} || {crlf} || {body} || {crlf} || {crlf}"
+    altered = f"CASE WHEN page_id % {CORRUPT[0]} = {CORRUPT[1]} THEN '#' || substr(html, 2) ELSE html END"
+    parts = [f"p AS (SELECT page_id, page_id // {ARCHIVE_PAGES} AS archive, {record('html')} AS rec, {record(altered)} AS rec_b FROM pages)", "a AS (SELECT archive, page_id, rec_b, strlen(rec) AS len, sha256(rec) AS sha, coalesce(sum(strlen(rec)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM p)", f"b AS (SELECT archive, page_id, off, sha256(rec_b) AS sha FROM a WHERE page_id % {MISSING[0]} <> {MISSING[1]})"]
+    for t in ("a", "b"):
+        parts.append(f"{t}0 AS (SELECT archive, off // {RANGE_BYTES} AS node, sha256(string_agg(off || ':' || sha, ',' ORDER BY off)) AS digest FROM {t} GROUP BY ALL)")
+        parts += [f"{t}{k} AS (SELECT archive, node // {FAN_OUT} AS node, sha256(string_agg(digest, ',' ORDER BY {t}{k - 1}.node)) AS digest FROM {t}{k - 1} GROUP BY archive, {t}{k - 1}.node // {FAN_OUT})" for k in range(1, LEVELS + 1)]
+    parts.append("w AS (SELECT archive, count(*) AS n FROM a0 FULL JOIN b0 USING (archive, node) WHERE a0.digest IS DISTINCT FROM b0.digest GROUP BY archive)")
+    parts.append("d AS (SELECT a.archive, string_agg(CASE WHEN b.sha IS NULL THEN 'missing:' ELSE 'corrupt:' END || a.page_id, ',' ORDER BY a.off) AS damaged FROM a LEFT JOIN b USING (archive, page_id) WHERE a.sha IS DISTINCT FROM b.sha GROUP BY a.archive)")
+    parts.append("s AS (SELECT archive, count(*) AS n_records, sum(len)::BIGINT AS n_bytes FROM a GROUP BY archive)")
+    return "WITH " + ", ".join(parts) + f" SELECT s.archive::VARCHAR AS archive, n_records, n_bytes, ra.digest AS root_a, rb.digest AS root_b, ra.digest IS NOT DISTINCT FROM rb.digest AS intact, coalesce(w.n, 0) AS n_ranges_differ, coalesce(d.damaged, '') AS damaged FROM s LEFT JOIN a{LEVELS} ra ON ra.archive = s.archive LEFT JOIN b{LEVELS} rb ON rb.archive = s.archive LEFT JOIN w ON w.archive = s.archive LEFT JOIN d ON d.archive = s.archive"
+
+
+ORACLES: dict[str, str] = {"op1_warc_fixity": _warc_sql()}
