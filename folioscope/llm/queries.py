@@ -44,7 +44,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.concat_ws("/", mid, F.floor(i / 100).cast("string"))
     licence = F.concat(F.lit("/LICENSE."), i.cast("string"))
     path = F.when(i % 200 == 0, F.concat(top, licence)).when(i % 100 == 0, F.concat(mid, licence)).when(i % 50 == 0, F.concat(low, licence)).otherwise(F.concat(low, F.lit("/"), i.cast("string"), F.lit(".txt")))
-    return licenses(docs.select("doc_id", path.alias("path"), "text"))
+    return licenses(docs.select("doc_id", path.alias("path"), "text")).withColumn("own_score", F.round("own_score", 6))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.divergence import quality
 
-    return quality(_table(spark, sf_dir, "documents"))
+    return quality(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +124,65 @@ def _warc_sql() -> str:
     return "WITH " + ", ".join(parts) + f" SELECT s.archive::VARCHAR AS archive, n_records, n_bytes, ra.digest AS root_a, rb.digest AS root_b, ra.digest IS NOT DISTINCT FROM rb.digest AS intact, coalesce(w.n, 0) AS n_ranges_differ, coalesce(d.damaged, '') AS damaged FROM s LEFT JOIN a{LEVELS} ra ON ra.archive = s.archive LEFT JOIN b{LEVELS} rb ON rb.archive = s.archive LEFT JOIN w ON w.archive = s.archive LEFT JOIN d ON d.archive = s.archive"
 
 
-ORACLES: dict[str, str] = {"op1_warc_fixity": _warc_sql()}
+def _license_sql() -> str:
+    from folioscope.llm.licenses import LEAST, TEMPLATES
+
+    quote = lambda t: t.replace("'", "''")
+    listed = ", ".join(f"('{n}', {i}, '{quote(t)}')" for n, ts in sorted(TEMPLATES.items()) for i, t in enumerate(ts))
+    low = "source || '/' || lang || '/' || (doc_id // 100)"
+    path = f"CASE WHEN doc_id % 200 = 0 THEN source || '/LICENSE.' || doc_id WHEN doc_id % 100 = 0 THEN source || '/' || lang || '/LICENSE.' || doc_id WHEN doc_id % 50 = 0 THEN {low} || '/LICENSE.' || doc_id ELSE {low} || '/' || doc_id || '.txt' END"
+    return f"""WITH tpl AS (SELECT name, i, word, count(*) AS n FROM (SELECT name, i, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS word FROM (VALUES {listed}) AS v(name, i, t)) GROUP BY ALL),
+f AS (SELECT doc_id, {path} AS path, text, doc_id % 50 = 0 AS is_license FROM documents), total AS (SELECT count(*) AS n_files FROM f),
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM f) WHERE word IN (SELECT word FROM tpl) GROUP BY word),
+idf AS (SELECT word, ln((1 + n_files) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT word FROM tpl) LEFT JOIN df USING (word), total),
+tv AS (SELECT name, i, word, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY name, i)) AS x FROM tpl JOIN idf USING (word)),
+part AS (SELECT doc_id, 0 AS k, unnest(string_split(text, chr(10))) AS t FROM f UNION ALL SELECT doc_id, 1, text FROM f WHERE is_license), lines AS (SELECT row_number() OVER () AS line, doc_id, t FROM part),
+tok AS (SELECT line, doc_id, word, count(*) AS n FROM (SELECT line, doc_id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS word FROM lines) GROUP BY ALL),
+norm AS (SELECT line, sqrt(sum(CASE WHEN idf IS NULL THEN 0 ELSE (n * idf) ** 2 END) + (sum(CASE WHEN idf IS NULL THEN n ELSE 0 END) * (ln(1 + n_files) + 1)) ** 2) AS norm FROM tok LEFT JOIN idf USING (word), total GROUP BY line, n_files),
+cosine AS (SELECT doc_id, line, name, i, sum(n * idf * x) / norm AS c FROM tok JOIN idf USING (word) JOIN tv USING (word) JOIN norm USING (line) GROUP BY doc_id, line, name, i, norm),
+own AS (SELECT doc_id, name AS own_license, c AS own_score FROM cosine WHERE c >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, name) = 1),
+g AS (SELECT f.doc_id, path, is_license, regexp_replace(path, '/[^/]*$', '') AS dir, own_license, coalesce(own_score, 0) AS own_score FROM f LEFT JOIN own USING (doc_id)),
+stated AS (SELECT dir AS above, own_license AS license FROM g WHERE is_license AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) = 1),
+near AS (SELECT g.doc_id, above, license FROM g JOIN stated ON above = '' OR g.dir = above OR starts_with(g.dir, above || '/') QUALIFY row_number() OVER (PARTITION BY g.doc_id ORDER BY length(above) DESC) = 1)
+SELECT g.doc_id, path, own_license, round(own_score, 6) AS own_score, coalesce(own_license, license) AS license, CASE WHEN own_license IS NULL THEN above END AS inherited_from FROM g LEFT JOIN near USING (doc_id)"""
+
+
+def _divergence_sql() -> str:
+    from folioscope.llm.divergence import _CLASSES, _WORDS, CHAR_LIMIT, COMMON_WORDS, MIN_WORDS, WORD_LIMIT
+
+    ws = r"[\x20\x09-\x0D]+"
+    gone = lambda p: f"length(text) - length(regexp_replace(text, '{p}', '', 'g'))"
+    forms = lambda w: ", ".join(f"'{x}'" for x in sorted({w, w.capitalize(), w.upper()}))
+    common = ", ".join("CASE lang " + " ".join(f"WHEN '{lang}' THEN len(list_filter(w, lambda x: x IN ({forms(listed[i])})))" for lang, listed in COMMON_WORDS.items()) + f" END AS w_{i}" for i in range(12))
+    part = lambda x, y: f"(CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END)"
+
+    def distance(names: list[str], total: str) -> str:
+        terms = []
+        for c in names:
+            p, q = f"({c} / nullif({total}, 0)::DOUBLE)", f"ref_{c}"
+            terms.append(f"{part(p, q)} + {part(q, p)}")
+        return f"CASE WHEN {total} > 0 AND ref_{names[0]} IS NOT NULL THEN sqrt(greatest((" + " + ".join(terms) + ") / 2, 0)) END"
+
+    langs = ", ".join(f"'{x}'" for x in COMMON_WORDS)
+    refs = ", ".join([f"sum({c}) / sum(n_bytes)::DOUBLE AS ref_{c}" for c in _CLASSES] + [f"sum({c}) / sum(n_words)::DOUBLE AS ref_{c}" for c in _WORDS])
+    return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents), s AS (SELECT *, list_filter(string_split_regex(text, '{ws}'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM s WHERE len(w) >= 5)), rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+hit AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, (SELECT unnest(range(0, 5)) AS o) GROUP BY doc_id),
+f AS (SELECT s.doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, {gone('[#*$%&|<>]+')} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words, length(text) AS n_chars, strlen(text) AS n_bytes, {gone('[A-Z]+')} AS c_upper, {gone('[0-9]+')} AS c_digit, {gone("[!\\\"''()+,\\-./:;=?@\\[\\\\\\]^_`{}~]+")} AS c_punct, {common} FROM s LEFT JOIN hit USING (doc_id)),
+g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, word_chars - c_upper - c_digit - n_symbols - c_punct AS c_rest, n_chars - word_chars AS c_space, n_symbols AS c_symbol, n_bytes - n_chars AS c_wide, n_words - ({' + '.join(f'w_{i}' for i in range(12))}) AS w_12 FROM f),
+r AS (SELECT lang, {refs} FROM g WHERE lang IN ({langs}) AND NOT base_failed GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_words >= {MIN_WORDS} AND (({distance(_CLASSES, 'n_bytes')}) > {CHAR_LIMIT} OR ({distance(_WORDS, 'n_words')}) > {WORD_LIMIT}), FALSE) AS kept FROM g LEFT JOIN r USING (lang)"""
+
+
+def _contamination_sql() -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id::VARCHAR AS item, {words} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS k FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win), dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT doc_id, i, n, item FROM dw JOIN win USING (n, k)), h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op1_warc_fixity": _warc_sql(), "op2_license_scan": _license_sql(), "op4_distribution_divergence": _divergence_sql(), "op7_decontamination": _contamination_sql()}

@@ -1,0 +1,15 @@
+import pytest
+from sql_twin import assert_same
+
+from folioscope.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, name):
+    assert_same(spark, QUERIES[name], ORACLES[name], SF)
+
+
+def test_every_operator_has_one_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
