@@ -10,7 +10,6 @@ cut only at spaces before a non-space, which both rules never join across.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import zlib
@@ -78,15 +77,17 @@ class Encoder:
                 at = end + 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """One look-up per piece; only the missing ones are looked up again once they are known."""
         cut = [self.pieces(x) for x in texts]
-        new = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(cut)))
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known = {}
-            new = set().union(*cut)
+        got = [list(map(self.known.get, x)) for x in cut]
+        new = {p for x, g in zip(cut, got) for p, ids in zip(x, g) if ids is None}
         if new:
+            if len(self.known) + len(new) > CACHE_PIECES:
+                self.known = {}
             self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+            known = self.known
+            got = [[known[p] if ids is None else ids for p, ids in zip(x, g)] for x, g in zip(cut, got)]
+        return [b"".join(g) for g in got]
 
 
 def crc32(ids: bytes | memoryview) -> int:
