@@ -26,7 +26,7 @@ from folioscope.llm.contamination import words_of
 
 HELD_OUT = 2
 #: Labelled rows that the model is fitted on, at most, and passes over them.
-TRAIN_ROWS, PASSES = 16_000, 8
+TRAIN_ROWS, PASSES = 12_000, 8
 BITS = 22
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.05
 WEIGHTS_MOST = 200_000
