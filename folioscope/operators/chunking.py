@@ -39,8 +39,9 @@ def _chunk_texts(paragraphs: Column, groups: Column) -> Column:
     """Texts of the chunks before trimming; leading empty paragraphs of a chunk leave no trace."""
 
     def text(k: Column) -> Column:
-        own = F.filter(F.arrays_zip(paragraphs.alias("p"), groups.alias("g")), lambda x: x["g"] == k)
-        return F.regexp_replace(F.array_join(F.transform(own, lambda x: x["p"]), "\n\n"), r"^\n\n(?:\n\n)*", "")
+        first, after = F.array_position(groups, k), F.array_position(groups, k + 1)
+        count = F.when(after > 0, after - first).otherwise(F.size(groups) + 1 - first)
+        return F.regexp_replace(F.array_join(F.slice(paragraphs, first.cast("int"), count.cast("int")), "\n\n"), r"^\n\n(?:\n\n)*", "")
 
     return F.transform(F.sequence(F.lit(0), F.array_max(groups)), text)
 
