@@ -6,6 +6,7 @@ columns and ignores all others, so extra columns with clashing names do no harm.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -50,19 +51,26 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application (they may not have it installed)."""
+    """Send this package to the executors once per application (they may not have it installed).
+
+    The archive is put in the shared folder through Spark's own file systems."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    into = os.path.join(tempfile.mkdtemp(prefix="folioscope-zip-"), "folioscope_pkg.zip")
-    with zipfile.ZipFile(into, "w", zipfile.ZIP_DEFLATED) as out:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as out:
         for top, dirs, names in os.walk(os.path.join(root, "folioscope")):
             dirs[:] = [d for d in dirs if d != "__pycache__"]
             for name in names:
                 if name.endswith(".py"):
                     full = os.path.join(top, name)
                     out.write(full, os.path.relpath(full, root))
+    into = fresh_path(spark, "folioscope") + ".zip"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(into)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    stream.write(data.getvalue())
+    stream.close()
     spark.sparkContext.addPyFile(into)
     _SHIPPED.add(app)
 
