@@ -550,3 +550,100 @@ def method_coverage(spark, sf_dir):
     method = F.when(F.col("lang") == "en", "grobid").otherwise("xmp")
     rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_sha256"), method.alias("method"), F.when(F.col("n_chars") > 1000, "t").alias("title"), F.when(F.col("source") == "src1", "a").alias("abstract"))
     return experiments.method_coverage(rows)
+
+
+# ---- changes to tables, ingest, staging
+
+@_query("SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM labels) AS inserted FROM documents")
+def insert_if_absent(spark, sf_dir):
+    return dml.inserted_flags(_t(spark, sf_dir, "labels"), _t(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+
+
+@_query("SELECT count(*) FILTER (lang = 'fr') AS deleted, count(*) FILTER (lang <> 'fr') AS kept FROM documents")
+def delete_counts(spark, sf_dir):
+    return dml.delete_counts(_t(spark, sf_dir, "documents"), F.col("lang") == "fr")
+
+
+@_query("SELECT CASE WHEN o_orderstatus = 'P' AND o_totalprice > 100000 THEN 'O' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY ALL")
+def point_update(spark, sf_dir):
+    orders = dml.update_where(_t(spark, sf_dir, "orders"), (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 100000), {"o_orderstatus": F.lit("O")})
+    return orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS documents, (SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P') AS extractions")
+def cascade_removal(spark, sf_dir):
+    docs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("content_hash"))
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
+    left = dml.cascade_delete(docs, lines, lines, spark.createDataFrame([("P",)], "content_hash string"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return count(left[0], "documents").crossJoin(F.broadcast(count(left[1], "extractions")))
+
+
+@_query("SELECT d.doc_id, coalesce(l.name, d.source) AS pdf_name, l.name IS NOT NULL AND l.name <> d.source AS changed FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'new' ELSE 'src0' END AS name FROM labels) l USING (doc_id)")
+def renamed_chunks(spark, sf_dir):
+    names_now = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("content_sha256"), F.when(F.col("quality") == 1, "new").otherwise("src0").alias("display_name"))
+    return dml.renamed(_t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("pdf_name")), names_now)
+
+
+@_query("""WITH s AS (SELECT source || '/' || doc_id AS path, CASE WHEN lang = 'es' THEN 0 ELSE n_chars END AS length, sha256(text) AS h FROM documents), st AS (SELECT DISTINCT sha256(text) AS h FROM documents JOIN labels USING (doc_id) WHERE quality = 0), f AS (SELECT h, min(path) AS p FROM s WHERE length > 0 GROUP BY h)
+SELECT path, CASE WHEN length = 0 THEN 'failed' WHEN h IN (SELECT h FROM st) OR path <> p THEN 'duplicate' ELSE 'new' END AS outcome FROM s LEFT JOIN f USING (h)""")
+def ingest_outcomes(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.when(F.col("lang") == "es", 0).otherwise(F.col("n_chars")).alias("length"), F.sha2("text", 256).alias("content_sha256"))
+    stored = docs.join(_t(spark, sf_dir, "labels").filter("quality = 0"), "doc_id", "left_semi")
+    return reconcile.ingest_classes(docs, stored).select("path", "outcome")
+
+
+@_query(f"WITH s AS {_SOURCES_SQL} SELECT id AS content_sha256, count(title) > 0 AND count(year) > 0 AND count(journal) > 0 AS all_filled FROM s GROUP BY id")
+def all_fields_filled(spark, sf_dir):
+    docs, labels, pages = (_t(spark, sf_dir, n) for n in ("documents", "labels", "pages"))
+    none = lambda kind: F.lit(None).cast(kind)
+    g = docs.join(labels, "doc_id").select(F.col("doc_id").alias("content_sha256"), F.when(F.col("quality") == 1, F.col("source")).alias("title"), none("int").alias("year"), F.when(F.col("toxic") == 1, F.col("lang")).alias("journal"))
+    a = docs.select(F.col("doc_id").alias("content_sha256"), F.col("lang").alias("title"), F.col("n_chars").cast("int").alias("year"), F.col("source").alias("journal"))
+    x = pages.select(F.col("page_id").alias("content_sha256"), F.col("url").alias("title"), F.lit(1999).alias("year"), none("string").alias("journal"))
+    return reconcile.all_filled(g.union(a).union(x), ["title", "year", "journal"])
+
+
+@_query("""WITH f AS (SELECT doc_id, lang || '.pdf' AS name, sha256(text)[1:8] AS h8 FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS n, row_number() OVER (PARTITION BY name, h8 ORDER BY doc_id) AS k FROM f), q AS (SELECT *, k - CASE WHEN min(n) OVER (PARTITION BY name, h8) = 1 THEN 1 ELSE 0 END AS j FROM r)
+SELECT doc_id, CASE WHEN n = 1 THEN name ELSE replace(name, '.pdf', '') || '_' || h8 || CASE WHEN j > 1 THEN '_' || j ELSE '' END || '.pdf' END AS staged_name FROM q""")
+def staged_names(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("lang"), F.lit(".pdf")).alias("original_filename"), F.sha2("text", 256).alias("content_sha256"), F.col("doc_id").alias("seq"))
+    return reconcile.staged_names(docs).select("doc_id", "staged_name")
+
+
+@_query("WITH b AS (SELECT sha256(text) AS h, source AS path, 0 AS o FROM documents WHERE lang = 'en' UNION ALL SELECT sha256(text), lang, 1 FROM documents) SELECT h AS content_sha256, arg_min(path, (o, path)) AS path FROM b GROUP BY h")
+def copy_plan(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_sha256"), "source", "lang")
+    forward = docs.filter("lang = 'en'").select("content_sha256", F.col("source").alias("path"))
+    return reconcile.copy_plan(forward, docs.select("content_sha256", F.col("lang").alias("path")))
+
+
+@_query("SELECT user_id AS content_sha256, arg_max(event_type, (CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END, lpad(event_id::VARCHAR, 9, '0'))) AS tool, arg_max(lpad(event_id::VARCHAR, 9, '0'), (CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END, lpad(event_id::VARCHAR, 9, '0'))) AS path FROM events GROUP BY user_id")
+def newest_extraction(spark, sf_dir):
+    from folioscope.sources.files import newest_extraction as newest
+
+    return newest(_t(spark, sf_dir, "events").select(F.col("user_id").alias("content_sha256"), F.col("event_type").alias("tool"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("path")), ["purchase", "click"])
+
+
+@_query("SELECT o_orderkey, 'T' || o_custkey AS title, ['A' || o_orderstatus || ' F', 'G'] AS authors, year(o_orderdate)::INTEGER AS year, o_orderpriority AS journal, 'journal-article' AS doc_type FROM orders")
+def crossref_projection(spark, sf_dir):
+    from folioscope.functions.responses import crossref
+
+    o = _t(spark, sf_dir, "orders")
+    answer = F.format_string('{"message": {"title": ["T%d"], "author": [{"given": "A%s", "family": "F"}, {"family": "G"}, {"given": "x"}], "published": {"date-parts": [[%d, 1]]}, "container-title": ["%s"], "type": "journal-article"}}', "o_custkey", "o_orderstatus", F.year("o_orderdate"), "o_orderpriority")
+    return o.select("o_orderkey", crossref(answer).alias("m")).select("o_orderkey", "m.*")
+
+
+@_query("SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS events FROM events GROUP BY ALL")
+def stream_windowed_counts(spark, sf_dir):
+    """Hourly events per user as a stream with a watermark that lets every row of the table in."""
+    events = _t(spark, sf_dir, "events")
+    path = work_path(spark, "windows")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = incremental.windowed_counts(stream, "ts", "3650 days", "1 hour", "user_id")
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/table/v={number:012d}")
+
+    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = incremental.current(spark, f"{path}/table", "window_start timestamp, user_id long, events long")
+    return out.withColumn("window_start", F.col("window_start").cast(events.schema["ts"].dataType))
