@@ -105,3 +105,32 @@ def subset(documents: DataFrame, *, status: str | None = None, date_from=None, d
 
 def equation_share(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("total_chunks"), F.round(100 * F.avg(F.col("has_equations").cast("int")), 1).alias("equation_percentage"))
+
+
+#: Values up to which a list is a filter; longer ones are joined.
+LIST_FILTER = 1_000
+
+
+def lookup(table: DataFrame, column: str, values: list, order: str | None = None) -> DataFrame:
+    """Rows whose column is one of the values (none for an empty list), newest first if an order is given."""
+    if len(values) <= LIST_FILTER:
+        out = table.filter(F.col(column).isin(values)) if values else table.limit(0)
+    else:
+        kind = table.schema[column].dataType.simpleString()
+        wanted = table.sparkSession.createDataFrame([(v,) for v in set(values)], f"{column} {kind}")
+        out = table.join(wanted, column, "left_semi")
+    return out if order is None else out.orderBy(F.desc(order))
+
+
+def exists(table: DataFrame, condition: Column) -> bool:
+    """Whether any row meets the condition; reading stops at the first."""
+    return not table.filter(condition).limit(1).isEmpty()
+
+
+def approved(decisions: DataFrame) -> DataFrame:
+    return decisions.filter(F.col("decision") == "approved").orderBy(F.desc("decided_at"), "content_sha256")
+
+
+def decision_log(history: DataFrame, decision: str | None = None, limit: int = 500) -> DataFrame:
+    rows = history if decision is None else history.filter(F.col("new_decision") == decision)
+    return rows.orderBy(F.desc("changed_at"), F.desc("id")).limit(limit)

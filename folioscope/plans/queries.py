@@ -647,3 +647,29 @@ def stream_windowed_counts(spark, sf_dir):
     counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = incremental.current(spark, f"{path}/table", "window_start timestamp, user_id long, events long")
     return out.withColumn("window_start", F.col("window_start").cast(events.schema["ts"].dataType))
+
+
+@_query("SELECT doc_id, lang, n_chars FROM documents WHERE source IN ('src1', 'src5', 'src19')")
+def lookup_in_list(spark, sf_dir):
+    return catalog.lookup(_t(spark, sf_dir, "documents"), "source", ["src1", "src5", "src19"], "n_chars").select("doc_id", "lang", "n_chars")
+
+
+@_query("SELECT doc_id AS content_sha256, quality FROM documents JOIN labels USING (doc_id) WHERE toxic = 0")
+def approved_files(spark, sf_dir):
+    decided = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("content_sha256"), F.when(F.col("toxic") == 0, "approved").otherwise("rejected").alias("decision"), F.col("quality").alias("decided_at"))
+    files = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_sha256"))
+    return catalog.approved(decided.join(files, "content_sha256", "left_semi")).select("content_sha256", F.col("decided_at").alias("quality"))
+
+
+@_query("SELECT doc_id AS content_sha256, CASE WHEN toxic IS NULL THEN 'undecided' WHEN toxic = 0 THEN 'approved' ELSE 'rejected' END AS decision FROM documents LEFT JOIN labels USING (doc_id)")
+def triage_scan(spark, sf_dir):
+    from folioscope.sources.files import with_decisions
+
+    files = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_sha256"), F.col("n_chars").alias("modificationTime"), F.col("source").alias("path"))
+    decided = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("content_sha256"), F.when(F.col("toxic") == 0, "approved").otherwise("rejected").alias("decision"))
+    return with_decisions(files, decided).select("content_sha256", "decision")
+
+
+@_query("SELECT lang AS project_id, count(*) AS documents, sum(n_chars)::BIGINT AS chunks, min(doc_id) AS first_added, max(doc_id) AS last_added FROM documents GROUP BY lang")
+def project_stats(spark, sf_dir):
+    return experiments.project_stats(_t(spark, sf_dir, "documents").select(F.col("lang").alias("project_id"), F.col("n_chars").alias("chunk_count"), F.col("doc_id").alias("added_date")))

@@ -162,3 +162,12 @@ def test_topics(spark):
     assert topics.topic_summary(got, words).count() == 2
     rows = topics.topic_rows(got, words, vs.select("doc_id", F.lit(None).cast("string").alias("title"), F.lit(None).alias("year")))
     assert {r.title for r in rows.collect()} == {str(i) for i in range(10)}
+
+
+def test_lookups(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(20)], "k int, v int")
+    assert catalog.lookup(df, "k", []).count() == 0 and [r.k for r in catalog.lookup(df, "k", [3, 9, 99], "k").collect()] == [9, 3]
+    assert catalog.lookup(df, "k", list(range(5, 3000))).count() == 15
+    assert catalog.exists(df, F.col("k") == 3) and not catalog.exists(df, F.col("k") == 33)
+    log = spark.createDataFrame([(1, "a", None, "approved", T[0]), (2, "a", "approved", "rejected", T[1]), (3, "b", None, "approved", T[1])], schemas.DECISION_HISTORY)
+    assert [r.id for r in catalog.decision_log(log).collect()] == [3, 2, 1] and [r.id for r in catalog.decision_log(log, "approved", 1).collect()] == [3]
