@@ -5,7 +5,9 @@ between. Training is the FTRL-proximal update with a rate per coordinate and L1,
 exactly zero: what is sent to the executors are the few that are not, WEIGHTS_MOST at most.
 
 Labels are learned only from rows whose crc32(doc id as text) mod 4 is not HELD_OUT, and from at
-most TRAIN_ROWS of them (those least by a hash of the id); all documents are scored.
+most TRAIN_TOXIC toxic and TRAIN_OTHER other ones (those least by a hash of the id). Toxic texts are
+rare, so the sample holds more of them than there are; the intercept is set right by their share among
+all labels that may be learned from. All documents are scored.
 
 Defined results: a null, empty or word-free text has no features and gets the intercept's score;
 repeated labels of a document count as toxic if one is; without any label the score is 0.
@@ -26,7 +28,7 @@ from folioscope.llm.contamination import words_of
 
 HELD_OUT = 2
 #: Labelled rows that the model is fitted on, at most, and passes over them.
-TRAIN_ROWS, PASSES = 12_000, 8
+TRAIN_TOXIC, TRAIN_OTHER, PASSES = 5_000, 7_000, 8
 BITS = 22
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.05
 WEIGHTS_MOST = 200_000
@@ -102,11 +104,14 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == HELD_OUT
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int) -> list[tuple[int, bytes]]:
-    """Label and distinct features of the sample; the labels of at most `rows` ids are sent out."""
+def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[int, bytes]], float]:
+    """Label and distinct features of the sample, and the share of toxic rows among all that may be
+    learned from; the labels of a bounded number of ids are sent out."""
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
-    allowed = named.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != HELD_OUT)
-    sample = allowed.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    allowed = named.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != HELD_OUT).groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label"))
+    share = allowed.agg(F.avg("label")).first()[0] or 0.0
+    part = lambda label, rows: allowed.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = part(1, TRAIN_TOXIC).union(part(0, TRAIN_OTHER))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def featured(batches):
@@ -117,21 +122,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
     joined = src.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
     got = joined.mapInArrow(featured, "doc_id long, label int, features binary").collect()
     order = sorted(got, key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.doc_id, bytes(r.features)))
-    return [(int(r.label > 0), bytes(r.features)) for r in order]
+    return [(r.label, bytes(r.features)) for r in order], share
 
 
-def fit(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(rows: list[tuple[int, bytes]], share: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The compact weights; the intercept moves from the sample's odds of toxic texts to those of `share`."""
     model = Ftrl()
     for _ in range(PASSES):
         for label, features in rows:
             model.learn(unpacked(features), label)
-    return model.compact()
+    at, w, bias = model.compact()
+    own = sum(label for label, _ in rows) / len(rows)
+    if 0 < own < 1 and 0 < share < 1:
+        bias += float(np.log(share / (1 - share)) - np.log(own / (1 - own)))
+    return at, w, bias
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int):
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
     """The compact weights, sent to all tasks."""
-    rows = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=train_rows)
-    model = fit(rows) if rows else (np.zeros(0, np.int32), np.zeros(0, np.float32), -35.0)
+    rows, share = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    model = fit(rows, share) if rows else (np.zeros(0, np.int32), np.zeros(0, np.float32), -35.0)
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
@@ -147,9 +157,9 @@ def _score(text: str | None, dense: np.ndarray, bias: float) -> float:
     return sigmoid(bias + float(dense[mine].sum(dtype=np.float64)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (score >= threshold)."""
-    sent = _fitted(docs, labels, id_col, text_col, label_col, train_rows)
+    sent = _fitted(docs, labels, id_col, text_col, label_col)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def score(batches):
@@ -163,9 +173,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
     return src.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of docs, all columns as they are, whose score is under the threshold; one pass, no shuffle."""
-    sent = _fitted(docs, labels, id_col, text_col, label_col, train_rows)
+    sent = _fitted(docs, labels, id_col, text_col, label_col)
 
     def clean(batches):
         at, w, bias = sent.value
