@@ -175,7 +175,7 @@ def bm25_mode_docs(spark, sf_dir):
 
 @_query(_BM25_SQL + f", {_vec_sql('cosine')} SELECT query_id, doc_id, matching_chunks, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM (" + _KW_DOCS.format(src="(SELECT kw.*, c.doc_id FROM kw JOIN (SELECT DISTINCT chunk_id, doc_id FROM hits) c ON c.chunk_id = kw.chunk_id)") + ")")
 def bm25_mode_docs_strict(spark, sf_dir):
-    """As the reference does it: only documents among the semantic candidates."""
+    """The narrow form: only documents among the semantic candidates."""
     return _rounded(ranking.keyword_documents(_keyword(spark, sf_dir), _hits(spark, sf_dir).select("chunk_id", "doc_id").distinct()), "score")
 
 
