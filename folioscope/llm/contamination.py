@@ -7,9 +7,9 @@ each word the longest suffix that occurs in an item is known. Where that reaches
 Reading words costs far more than matching, so only stretches whose neighbouring word pairs all
 occur in the items are streamed; elsewhere the automaton would fall back to its start anyway.
 
-The items are a stated query set. They are read in blocks of BLOCK_WORDS words, and one automaton
-per block is sent out, so what is broadcast at once is bounded however many items there are; the
-documents pass all blocks in one scan.
+The items are a stated query set. They are read in blocks of BLOCK_WORDS words, and the automata of
+BLOCKS_AT_ONCE blocks are sent out for one scan of the documents. A larger set takes more scans, each
+written with the words hit so far, so what is broadcast at once is bounded however many items there are.
 
 Defined results: null or word-free texts have no words and are not contaminated; items without
 words are never found; repeated items count by item id; ids compare as strings.
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import slices
+from folioscope.llm.common import materialise, slices
 
-#: Words of items that one automaton holds.
-BLOCK_WORDS = 200_000
+#: Words of items that one automaton holds, and automata that are sent at once.
+BLOCK_WORDS, BLOCKS_AT_ONCE = 50_000, 4
+#: Contaminated ids that may be sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Bytes that are part of no word become spaces, A-Z become a-z; bytes from 0x80 on are kept.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -174,54 +176,98 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int):
         yield ItemAutomaton(block, window)
 
 
+def _groups(spark, benchmark: DataFrame, item_col: str, text_col: str, window: int):
+    """(broadcast automata, whether they are the last); a table without items gives one empty group."""
+    blocks = itertools.batched(_blocks(benchmark, item_col, text_col, window), BLOCKS_AT_ONCE)
+    now = next(blocks, ())
+    while True:
+        after = next(blocks, None)
+        yield [spark.sparkContext.broadcast(x) for x in now], after is None
+        if after is None:
+            return
+        now = after
+
+
+def _found(text: str | None, sent: list, before: bytes | None, items: list[str] | None) -> tuple[list[bytes], np.ndarray, set[str]]:
+    """Words, which of them are hit (by these automata or before), and the items that occur."""
+    words = words_of(text)
+    hit = np.unpackbits(np.frombuffer(before, np.uint8), count=len(words)).astype(bool) if before else np.zeros(len(words), bool)
+    found = set(items or ())
+    for automaton in sent:
+        h, f = automaton.value.match(words)
+        hit |= h
+        found |= f
+    return words, hit, found
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with_text also
     hit_spans (first and end word of each run of hit words) and clean_text (those words cut out).
 
     contaminated: n_hit > 0 and share * n_hit >= n_words.
     """
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(x) for x in _blocks(benchmark, item_col, item_text_col, window)]
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    so_far = "doc_id long, text string, hits binary, items array<string>"
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     schema += ", hit_spans array<array<int>>, clean_text string" * with_text
 
-    def scan(batches):
-        for b in slices(batches):
-            out: list[list] = [[] for _ in range(7)]
-            for text in b.column("text").to_pylist():
-                words = words_of(text)
-                hit, found = np.zeros(len(words), bool), set()
-                for automaton in sent:
-                    h, f = automaton.value.match(words)
-                    hit |= h
-                    found |= f
-                n = int(hit.sum())
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist() if n else []
-                spans = [list(x) for x in zip(edge[::2], edge[1::2])]
-                row = (len(words), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and share * n >= len(words), spans, cut(text, spans) if with_text else None)
-                for column, value in zip(out, row):
-                    column.append(value)
-            cols = {"doc_id": b.column("doc_id"), "n_words": pa.array(out[0], pa.int64()), "n_hit": pa.array(out[1], pa.int64()), "n_items": pa.array(out[2], pa.int64()), "items_sha256": pa.array(out[3], pa.string()), "contaminated": pa.array(out[4], pa.bool_())}
-            if with_text:
-                cols |= {"hit_spans": pa.array(out[5], pa.list_(pa.list_(pa.int32()))), "clean_text": pa.array(out[6], pa.string())}
-            yield pa.RecordBatch.from_pydict(cols)
-
-    return src.mapInArrow(scan, schema)
-
-
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, that are not contaminated; one pass, no shuffle."""
-    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in _blocks(benchmark, item_col, item_text_col, window)]
+    def rows(b):
+        none = [None] * b.num_rows
+        before = b.column("hits").to_pylist() if "hits" in b.schema.names else none
+        return zip(b.column("text").to_pylist(), before, b.column("items").to_pylist() if "items" in b.schema.names else none)
+
+    def note(sent):
+        def run(batches):
+            for b in slices(batches):
+                got = [_found(t, sent, h, i) for t, h, i in rows(b)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array([np.packbits(h).tobytes() for _, h, _ in got], pa.binary()), pa.array([sorted(f) for _, _, f in got], pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
+
+        return run
+
+    def report(sent):
+        def run(batches):
+            for b in slices(batches):
+                out: list[list] = [[] for _ in range(7)]
+                for text, before, items in rows(b):
+                    words, hit, found = _found(text, sent, before, items)
+                    n = int(hit.sum())
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist() if n else []
+                    spans = [list(x) for x in zip(edge[::2], edge[1::2])]
+                    row = (len(words), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and share * n >= len(words), spans, cut(text, spans) if with_text else None)
+                    for column, value in zip(out, row):
+                        column.append(value)
+                cols = {"doc_id": b.column("doc_id"), "n_words": pa.array(out[0], pa.int64()), "n_hit": pa.array(out[1], pa.int64()), "n_items": pa.array(out[2], pa.int64()), "items_sha256": pa.array(out[3], pa.string()), "contaminated": pa.array(out[4], pa.bool_())}
+                if with_text:
+                    cols |= {"hit_spans": pa.array(out[5], pa.list_(pa.list_(pa.int32()))), "clean_text": pa.array(out[6], pa.string())}
+                yield pa.RecordBatch.from_pydict(cols)
+
+        return run
+
+    for sent, last in _groups(docs.sparkSession, benchmark, item_col, item_text_col, window):
+        if last:
+            return state.mapInArrow(report(sent), schema)
+        state = materialise(state.mapInArrow(note(sent), so_far), "words-hit")
+        for x in sent:
+            x.unpersist()
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that are not contaminated.
+
+    One pass without a shuffle where one scan takes all items; else by the ids that are contaminated
+    (rows that share an id share its decision)."""
+    sent, last = next(_groups(docs.sparkSession, benchmark, item_col, item_text_col, window))
+    if not last:
+        found = contamination(docs, benchmark, window=window, share=share, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
+        gone = materialise(found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated-ids")
+        few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
 
     def clean(batches):
         for b in slices(batches):
             keep = []
             for text in b.column(text_col).to_pylist():
-                words = words_of(text)
-                hit = np.zeros(len(words), bool)
-                for automaton in sent:
-                    hit |= automaton.value.match(words)[0]
+                words, hit, _ = _found(text, sent, None, None)
                 n = int(hit.sum())
                 keep.append(not n or share * n < len(words))
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -60,3 +60,21 @@ def test_contamination_query(spark):
     assert got[7].clean_text == "a  a " and got[7].hit_spans == [[1, 3], [4, 6]]
     assert contamination(d.limit(0), b).count() == 0
     assert contamination(d, b.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def test_many_blocks_take_many_scans(spark, monkeypatch):
+    from folioscope.llm import contamination as module
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 20)))) for i in range(30)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(30)) + items[rng.randrange(30)][1].split() + rng.choices(words, k=rng.randrange(30)))) for i in range(60)] + [(60, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(contamination(d, b).collect())
+    kept = {r.doc_id for r in module.without_contaminated(d, b).collect()}
+    monkeypatch.setattr(module, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(module, "BLOCKS_AT_ONCE", 2)
+    assert len(list(module._groups(spark, b, "item_id", "text", 13))) > 2
+    assert sorted(contamination(d, b).collect()) == one
+    assert {r.doc_id for r in module.without_contaminated(d, b).collect()} == kept == {r.doc_id for r in one if not r.contaminated}
