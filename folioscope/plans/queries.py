@@ -673,3 +673,14 @@ def triage_scan(spark, sf_dir):
 @_query("SELECT lang AS project_id, count(*) AS documents, sum(n_chars)::BIGINT AS chunks, min(doc_id) AS first_added, max(doc_id) AS last_added FROM documents GROUP BY lang")
 def project_stats(spark, sf_dir):
     return experiments.project_stats(_t(spark, sf_dir, "documents").select(F.col("lang").alias("project_id"), F.col("n_chars").alias("chunk_count"), F.col("doc_id").alias("added_date")))
+
+
+@_query("""WITH w AS (SELECT conv_id, turn // 3 AS k, min(turn) + 1 AS first, max(turn) + 1 AS last, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY ALL)
+SELECT conv_id::VARCHAR AS path, coalesce(string_agg(chr(10) || chr(10) || '<!-- Pages ' || first || '-' || last || ' -->' || chr(10) || chr(10) || chr(10) || t, chr(10) ORDER BY first) FILTER (length(t) > 50), '') AS content, count(*) FILTER (length(t) > 50) AS good, count(*) FILTER (length(t) <= 50) AS failed FROM w GROUP BY conv_id""")
+def stitched_extraction(spark, sf_dir):
+    """Conversations as files whose pages are their turns, read three pages at a time."""
+    from folioscope.plans.extraction import extract_windows, stitched
+
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    files = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.encode(F.array_join(F.transform(turns, lambda x: x["text"]), "\f"), "UTF-8").alias("content"), F.count(F.lit(1)).cast("int").alias("page_count"))
+    return stitched(extract_windows(files, "form_feed"))
