@@ -91,3 +91,47 @@ def hashing_embedder(dimension: int = 64):
 
 register_embedder("hashing", hashing_embedder, 64, 0.1)
 register_extractor("text", lambda: lambda data: data.decode("utf-8"))
+
+
+class Retry(Exception):
+    """Raised by a lookup that should be tried again later (a service that asks to slow down)."""
+
+
+LOOKUPS: dict[str, Callable[[], Callable[[str], str]]] = {}
+
+
+def register_lookup(name: str, factory: Callable[[], Callable[[str], str]]) -> None:
+    LOOKUPS[name] = factory
+
+
+def look_up(keys: DataFrame, name: str, *, key_col: str = "key", tries: int = 4, base_seconds: float = 1.0) -> DataFrame:
+    """(key) -> key, response, error, attempts from a service, each key once.
+
+    A lookup that raises Retry waits base_seconds, then twice as long each time; other errors are the
+    row's outcome. Responses are text for the functions in functions/responses.py."""
+    factory = _named(LOOKUPS, name, "lookup")
+
+    def run(batches):
+        import time
+
+        ask = factory()
+        for b in batches:
+            out = []
+            for key in b.column(0).to_pylist():
+                answer = error = None
+                for attempt in range(1, tries + 1):
+                    try:
+                        answer, error = ask(key), None
+                        break
+                    except Retry as e:
+                        error = str(e) or "asked to retry"
+                        if attempt < tries:
+                            time.sleep(base_seconds * 2 ** (attempt - 1))
+                    except Exception as e:  # noqa: BLE001 - whatever a lookup raises is that key's outcome
+                        error = f"{type(e).__name__}: {e}"
+                        break
+                out.append((key, answer, error, attempt))
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int32()))], names=["key", "response", "error", "attempts"])
+
+    return keys.select(keys[key_col].cast("string").alias("key")).distinct().mapInArrow(run, "key string, response string, error string, attempts int")

@@ -102,3 +102,13 @@ def staged_names(files: DataFrame) -> DataFrame:
     out = files.withColumn("_name", name).withColumn("_n", F.row_number().over(by_name)).withColumn("_k", F.row_number().over(by_hash) - F.when(F.min("_n").over(Window.partitionBy("_name", F.substring("content_sha256", 1, 8))) == 1, 1).otherwise(0))
     marked = F.concat(stem, F.lit("_"), F.substring("content_sha256", 1, 8), F.when(F.col("_k") > 1, F.concat(F.lit("_"), F.col("_k").cast("string"))).otherwise(""), ext)
     return out.withColumn("staged_name", F.when(F.col("_n") == 1, F.col("_name")).otherwise(marked)).drop("_name", "_n", "_k")
+
+
+def sync_outcomes(wanted: DataFrame, library: DataFrame, imports: DataFrame) -> DataFrame:
+    """content_sha256, status: pre-existing in the library, else imported or failed as `imports`
+    (content_sha256, error) says, else pending."""
+    there = library.select("content_sha256", F.lit(True).alias("_there")).distinct()
+    tried = imports.groupBy("content_sha256").agg(F.min(F.col("error").isNotNull()).alias("_failed"))
+    out = wanted.select("content_sha256").distinct().join(there, "content_sha256", "left").join(tried, "content_sha256", "left")
+    status = F.when(F.col("_there"), "pre-existing").when(F.col("_failed").isNull(), "pending").when(F.col("_failed"), "failed").otherwise("imported")
+    return out.select("content_sha256", status.alias("status"))

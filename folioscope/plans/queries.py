@@ -684,3 +684,10 @@ def stitched_extraction(spark, sf_dir):
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
     files = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.encode(F.array_join(F.transform(turns, lambda x: x["text"]), "\f"), "UTF-8").alias("content"), F.count(F.lit(1)).cast("int").alias("page_count"))
     return stitched(extract_windows(files, "form_feed"))
+
+
+@_query("SELECT doc_id AS content_sha256, CASE WHEN doc_id IN (SELECT page_id FROM pages) THEN 'pre-existing' WHEN toxic IS NULL THEN 'pending' WHEN toxic = 1 THEN 'failed' ELSE 'imported' END AS status FROM documents LEFT JOIN labels USING (doc_id)")
+def sync_outcomes(spark, sf_dir):
+    key = lambda df, c: df.select(F.col(c).alias("content_sha256"))
+    tried = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("content_sha256"), F.when(F.col("toxic") == 1, "x").alias("error"))
+    return reconcile.sync_outcomes(key(_t(spark, sf_dir, "documents"), "doc_id"), key(_t(spark, sf_dir, "pages"), "page_id"), tried)

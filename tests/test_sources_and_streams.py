@@ -126,3 +126,29 @@ def test_store_and_knowledge_base(spark, tmp_path):
     more = docs.union(spark.createDataFrame([("d4", "# New\n\nsome new words that are there")], "doc_id string, content string"))
     again = index_documents(spark, more, str(tmp_path / "s2"), previous=str(tmp_path / "s1"), least=0, shortest=10)
     assert again.count() == 4
+
+
+def test_lookups_wait_and_isolate_errors(spark):
+    from folioscope.operators.hooks import look_up, register_lookup
+
+    def service():
+        from folioscope.operators.hooks import Retry
+
+        asked = {}
+
+        def ask(key):
+            asked[key] = asked.get(key, 0) + 1
+            if key == "slow" and asked[key] < 3:
+                raise Retry("slow down")
+            if key == "never":
+                raise Retry("slow down")
+            if key == "bad":
+                raise KeyError("gone")
+            return f'{{"title": "{key}"}}'
+
+        return ask
+
+    register_lookup("service", service)
+    keys = spark.createDataFrame([(k,) for k in ("ok", "slow", "never", "bad", "ok")], "key string")
+    got = {r.key: (r.response, r.error, r.attempts) for r in look_up(keys, "service", tries=3, base_seconds=0.01).collect()}
+    assert got == {"ok": ('{"title": "ok"}', None, 1), "slow": ('{"title": "slow"}', None, 3), "never": (None, "slow down", 3), "bad": (None, "KeyError: 'gone'", 1)}
