@@ -24,8 +24,9 @@ _JOINED = 256
 _SMALL, _NUMBER, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 _LETTER = "A-ZÀ-ÖØ-Þ" + _SMALL
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
-_WORD_RULE = re.compile(f"{_SHORT}|[{_SMALL}]+|[{_NUMBER}]|[^{_SPACE}{_SMALL}{_NUMBER}]+")
-_BYTE_RULE = re.compile(f"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Letters come first, as most pieces are words; no other alternative can take what they take.
+_WORD_RULE = re.compile(f"[{_SMALL}]+|{_SHORT}|[{_NUMBER}]|[^{_SPACE}{_SMALL}{_NUMBER}]+")
+_BYTE_RULE = re.compile(f" ?[{_LETTER}]+|{_SHORT}| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _BEYOND = re.compile("[^\x00-\xff]")
 _CUT = re.compile(r"(?= \S)")
 #: A piece with white space other than one leading space goes to the library alone.
