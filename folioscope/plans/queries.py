@@ -191,9 +191,9 @@ def within_document_search(spark, sf_dir):
     return vector_search.chunk_search(chunks, asked, 5, document_ids=[2, 4]).select("query_id", "chunk_id", "doc_id", "rank")
 
 
-@_query("SELECT label AS doc_id, list(m ORDER BY pos) AS embedding FROM (SELECT label, pos, round(avg(x), 6) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label")
+@_query("SELECT label AS doc_id, pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY ALL")
 def mean_pool_vectors(spark, sf_dir):
-    return vectors.mean_pooled(_chunks(spark, sf_dir), "doc_id", "embedding").select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return vectors.mean_pooled(_chunks(spark, sf_dir), "doc_id", "embedding").select("doc_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 # ---- text functions
@@ -230,9 +230,9 @@ def extract_ids(spark, sf_dir):
     return _cited(spark, sf_dir).select("doc_id", text.arxiv_id(t).alias("arxiv_id"), text.arxiv_base_id(t).alias("arxiv_base_id"), text.doi_lenient(t).alias("doi_lenient"), text.doi_strict(t).alias("doi_strict"), text.doi_any(t).alias("doi_any"))
 
 
-@_query(r"SELECT doc_id, list_sort(list_distinct([doc_id % 30 + 1, doc_id % 7 + 1]))::INTEGER[] AS pages FROM documents")
+@_query(r"SELECT doc_id, array_to_string(list_sort(list_distinct([doc_id % 30 + 1, doc_id % 7 + 1])), ',') AS pages FROM documents")
 def page_references(spark, sf_dir):
-    return _cited(spark, sf_dir).select("doc_id", text.page_references(F.col("t")).alias("pages"))
+    return _cited(spark, sf_dir).select("doc_id", F.array_join(text.page_references(F.col("t")).cast("array<string>"), ",").alias("pages"))
 
 
 _LINE_SQL = "string_split(text, chr(10))[1]"
@@ -271,10 +271,10 @@ def format_fields(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text"), 200).alias("preview"), names.doc_label(name).alias("label"), names.size_mb(F.col("n_chars")).alias("size_mb"), names.canonical_dir(F.sha2("text", 256)).alias("dir"))
 
 
-@_query("SELECT doc_id, [upper(lang[1:1]) || lang[2:2]] AS authors, (1990 + doc_id % 40)::INTEGER AS year FROM documents")
+@_query("SELECT doc_id, upper(lang[1:1]) || lang[2:2] AS authors, (1990 + doc_id % 40)::INTEGER AS year FROM documents")
 def filename_metadata(spark, sf_dir):
     name = F.concat(F.initcap("lang"), (F.col("doc_id") % 40 + 1990).cast("string"), F.lit("_paper.pdf"))
-    return _t(spark, sf_dir, "documents").select("doc_id", names.filename_metadata(name).alias("m")).select("doc_id", "m.*")
+    return _t(spark, sf_dir, "documents").select("doc_id", names.filename_metadata(name).alias("m")).select("doc_id", F.array_join("m.authors", ",").alias("authors"), "m.year")
 
 
 @_query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents) SELECT doc_id, coalesce(list_filter(ls[1:5], lambda x: length(x) > 10 AND NOT (upper(x) = x AND lower(x) <> x))[1], ls[1]) AS title FROM l""")
@@ -282,9 +282,9 @@ def first_page_title(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", names.first_page_metadata(F.col("text"))["title"].alias("title"))
 
 
-@_query("SELECT o_orderkey, list_transform(range(0, (o_orderkey % 40)::BIGINT, 7), lambda s: s || '-' || least(s + 6, o_orderkey % 40 - 1)) AS ranges FROM orders")
+@_query("SELECT o_orderkey, array_to_string(list_transform(range(0, (o_orderkey % 40)::BIGINT, 7), lambda s: s || '-' || least(s + 6, o_orderkey % 40 - 1)), ',') AS ranges FROM orders")
 def page_ranges(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").select("o_orderkey", text.page_ranges(F.col("o_orderkey") % 40, 7).alias("ranges"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.page_ranges(F.col("o_orderkey") % 40, 7), ",").alias("ranges"))
 
 
 # ---- chunkers
@@ -313,10 +313,10 @@ _FOLD_SQL = "list_reduce(list_transform(list_prepend('', string_split(text, chr(
 
 
 @_query(f"""WITH g AS (SELECT doc_id, string_split(text, chr(10)) AS p, {_FOLD_SQL.format(most=400)} AS of FROM documents), u AS (SELECT doc_id, unnest(p) AS p, unnest(of) AS chunk_index, unnest(range(1, len(p) + 1)) AS i FROM g), c AS (SELECT doc_id, chunk_index, string_agg(p, chr(10) || chr(10) ORDER BY i) AS content FROM u GROUP BY ALL)
-SELECT doc_id, chunk_index::INTEGER AS chunk_index, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content, [1]::INTEGER[] AS page_numbers FROM c WHERE trim(content, chr(10) || ' ') <> ''""")
+SELECT doc_id, chunk_index::INTEGER AS chunk_index, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content, '1' AS page_numbers FROM c WHERE trim(content, chr(10) || ' ') <> ''""")
 def page_chunks(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
-    return chunking.chunk_rows(docs, most=400)
+    return chunking.chunk_rows(docs, most=400).withColumn("page_numbers", F.array_join(F.col("page_numbers").cast("array<string>"), ","))
 
 
 @_query("SELECT conv_id AS doc_id, turn, text AS content FROM conversations WHERE conv_id = 3 AND turn BETWEEN 1 AND 3")
@@ -475,7 +475,7 @@ _SOURCES_SQL = """(SELECT d.doc_id AS id, 'grobid' AS s, 1 AS p, CASE WHEN l.qua
 UNION ALL SELECT doc_id, 'arxiv', 4, lang, [source, lang], (2000 + n_chars % 20)::INTEGER, source FROM documents UNION ALL SELECT page_id, 'xmp', 5, url, ['x', 'y', 'z'], 1999, NULL FROM pages)"""
 
 
-@_query(f"""WITH s AS {_SOURCES_SQL} SELECT id AS content_sha256, arg_min(title, p) AS title, arg_min(year, p) FILTER (year IS NOT NULL) AS year, arg_min(journal, p) FILTER (journal IS NOT NULL) AS journal, arg_max(authors, (len(authors), -p)) AS authors, list_sort(list(DISTINCT s)) AS source_extractors FROM s WHERE title IS NOT NULL AND title <> '' GROUP BY id""")
+@_query(f"""WITH s AS {_SOURCES_SQL} SELECT id AS content_sha256, arg_min(title, p) AS title, arg_min(year, p) FILTER (year IS NOT NULL) AS year, arg_min(journal, p) FILTER (journal IS NOT NULL) AS journal, array_to_string(arg_max(authors, (len(authors), -p)), ',') AS authors, array_to_string(list_sort(list(DISTINCT s)), ',') AS source_extractors FROM s WHERE title IS NOT NULL AND title <> '' GROUP BY id""")
 def metadata_priority_merge(spark, sf_dir):
     docs, labels, pages = (_t(spark, sf_dir, n) for n in ("documents", "labels", "pages"))
     none = lambda kind: F.lit(None).cast(kind)
@@ -483,7 +483,7 @@ def metadata_priority_merge(spark, sf_dir):
     g = docs.join(labels, "doc_id").select(F.col("doc_id").alias("content_sha256"), F.lit("grobid").alias("extractor_name"), F.when(F.col("quality") == 1, F.col("source")).alias("title"), F.array("lang").alias("authors"), none("int").alias("year"), F.when(F.col("toxic") == 1, F.col("lang")).alias("journal"), *rest)
     a = docs.select(F.col("doc_id").alias("content_sha256"), F.lit("arxiv").alias("extractor_name"), F.col("lang").alias("title"), F.array("source", "lang").alias("authors"), (F.col("n_chars") % 20 + 2000).cast("int").alias("year"), F.col("source").alias("journal"), *rest)
     x = pages.select(F.col("page_id").alias("content_sha256"), F.lit("xmp").alias("extractor_name"), F.col("url").alias("title"), F.array(*map(F.lit, "xyz")).alias("authors"), F.lit(1999).alias("year"), none("string").alias("journal"), *rest)
-    return reconcile.merge_metadata(g.union(a).union(x)).select("content_sha256", "title", "year", "journal", "authors", "source_extractors")
+    return reconcile.merge_metadata(g.union(a).union(x)).select("content_sha256", "title", "year", "journal", F.array_join("authors", ",").alias("authors"), F.array_join("source_extractors", ",").alias("source_extractors"))
 
 
 @_query("""WITH f AS (SELECT DISTINCT sha256(text) AS h FROM documents), st AS (SELECT DISTINCT sha256(text) AS h FROM documents JOIN labels USING (doc_id)), o AS (SELECT DISTINCT sha256(html) AS h FROM pages UNION SELECT DISTINCT sha256(text) FROM documents WHERE lang = 'fr'), bk AS (SELECT h FROM o WHERE h NOT IN (SELECT h FROM st)), af AS (SELECT h FROM st UNION SELECT h FROM f UNION SELECT h FROM bk)
@@ -624,13 +624,13 @@ def newest_extraction(spark, sf_dir):
     return newest(_t(spark, sf_dir, "events").select(F.col("user_id").alias("content_sha256"), F.col("event_type").alias("tool"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("path")), ["purchase", "click"])
 
 
-@_query("SELECT o_orderkey, 'T' || o_custkey AS title, ['A' || o_orderstatus || ' F', 'G'] AS authors, year(o_orderdate)::INTEGER AS year, o_orderpriority AS journal, 'journal-article' AS doc_type FROM orders")
+@_query("SELECT o_orderkey, 'T' || o_custkey AS title, 'A' || o_orderstatus || ' F,G' AS authors, year(o_orderdate)::INTEGER AS year, o_orderpriority AS journal, 'journal-article' AS doc_type FROM orders")
 def crossref_projection(spark, sf_dir):
     from folioscope.functions.responses import crossref
 
     o = _t(spark, sf_dir, "orders")
     answer = F.format_string('{"message": {"title": ["T%d"], "author": [{"given": "A%s", "family": "F"}, {"family": "G"}, {"given": "x"}], "published": {"date-parts": [[%d, 1]]}, "container-title": ["%s"], "type": "journal-article"}}', "o_custkey", "o_orderstatus", F.year("o_orderdate"), "o_orderpriority")
-    return o.select("o_orderkey", crossref(answer).alias("m")).select("o_orderkey", "m.*")
+    return o.select("o_orderkey", crossref(answer).alias("m")).select("o_orderkey", "m.*").withColumn("authors", F.array_join("authors", ","))
 
 
 @_query("SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS events FROM events GROUP BY ALL")
