@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch: texts are long, and both sides hold whole batches.
+BATCH_ROWS = 1_000
+#: What workers remember between tasks, by the operator whose memory it is, and how to forget it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    _REMEMBERED[name] = forget
+
+
+def keep_only(*names: str) -> None:
+    """Called where a task begins: what other operators left in this worker goes."""
+    for name, forget in _REMEMBERED.items():
+        if name not in names:
+            forget()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -59,6 +75,8 @@ def ship_package(spark: SparkSession) -> None:
 
     The archive is put in the shared folder through Spark's own file systems."""
     app = spark.sparkContext.applicationId
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

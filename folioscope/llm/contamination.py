@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialise, slices
+from folioscope.llm.common import keep_only, materialise, slices
 
 #: Words of items that one automaton holds, and automata that are sent at once.
 BLOCK_WORDS, BLOCKS_AT_ONCE = 50_000, 4
@@ -218,6 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
 
     def note(sent):
         def run(batches):
+            keep_only()
             for b in slices(batches):
                 got = [_found(t, sent, h, i) for t, h, i in rows(b)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array([np.packbits(h).tobytes() for _, h, _ in got], pa.binary()), pa.array([sorted(f) for _, _, f in got], pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
@@ -226,6 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
 
     def report(sent):
         def run(batches):
+            keep_only()
             for b in slices(batches):
                 out: list[list] = [[] for _ in range(7)]
                 for text, before, items in rows(b):
@@ -264,6 +266,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int =
         return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
 
     def clean(batches):
+        keep_only()
         for b in slices(batches):
             keep = []
             for text in b.column(text_col).to_pylist():

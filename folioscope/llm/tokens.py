@@ -16,6 +16,8 @@ import zlib
 
 import numpy as np
 
+from folioscope.llm.common import keep_only, remembers
+
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
 CACHE_PIECES = 800_000
 #: Pieces that go to the library in one string.
@@ -32,6 +34,7 @@ _CUT = re.compile(r"(?= \S)")
 #: A piece with white space other than one leading space goes to the library alone.
 _ALONE = re.compile(r"(?!^ )\s|^ ?\Z")
 _LOADED: dict[tuple[str, bool], "Encoder"] = {}
+remembers("tokens", _LOADED.clear)
 
 
 class Encoder:
@@ -51,7 +54,9 @@ class Encoder:
 
     @staticmethod
     def shared(path: str, spaced: bool) -> "Encoder":
+        keep_only("tokens")
         if (path, spaced) not in _LOADED:
+            _LOADED.clear()
             _LOADED[path, spaced] = Encoder(path, spaced)
         return _LOADED[path, spaced]
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import slices
+from folioscope.llm.common import keep_only, remembers, slices
 from folioscope.llm.contamination import words_of
 
 HELD_OUT = 2
@@ -46,6 +46,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+remembers("word hashes", _HASHES.clear)
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -115,6 +116,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def featured(batches):
+        keep_only("word hashes")
         for b in slices(batches):
             own = [packed(grams(x)) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "label": b.column("label"), "features": pa.array(own, pa.binary())})
@@ -163,6 +165,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def score(batches):
+        keep_only("word hashes")
         at, w, bias = sent.value
         dense = _dense(at, w)
         for b in slices(batches):
@@ -178,6 +181,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
     sent = _fitted(docs, labels, id_col, text_col, label_col)
 
     def clean(batches):
+        keep_only("word hashes")
         at, w, bias = sent.value
         dense = _dense(at, w)
         for b in slices(batches):
