@@ -5,14 +5,14 @@
    same order. Copies (the same words) have one digest; it stands for them from here on.
 2. Sketches are dealt by range of (sketch, then 16 bits each of the next four sketches) and sorted.
    Texts with equal sketches stand together, the more alike the closer. A group of up to NEAR + 1
-   texts gives all its pairs; in a larger one (shared passages, many near copies) each text is
+   texts gives all its pairs; in a larger one (shared passages, many near copies) each text is first
    paired with the FAR next ones, so pairs stay in proportion to texts, and a hot group is dealt over
    many tasks. Rows at the ends of tasks are matched in a second, small pass.
 3. Pairs are verified: edit distance over words by a bit-parallel band, at least SIMILARITY of the
    longer text's length must agree. Verified links make classes by connected components.
-
-Large groups are no dead end: two similar texts in one meet again in other sketches, where their
-neighbours differ; a class holds together through any chain of verified links.
+4. Large groups that still have several classes are compared whole, block by block: texts of different
+   classes that share enough of their rarest words for the limit are verified, until no similar pair
+   of the group is unlinked. A group of one class, such as many near copies, needs no more pairs.
 
 Defined results: a null text is a class of its own; texts without words are copies only if they are
 equal; texts under K words count as one k-mer; repeated rows are copies; texts that only come without
@@ -38,6 +38,10 @@ K, TREES, NEAR, FAR = 5, 48, 8, 3
 SIMILARITY = 0.8
 #: Texts to verify whose ids may be sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Texts, and words, of a block: large groups are compared block by block, each pair of blocks by itself.
+BLOCK, BLOCK_WORDS = 1_024, 500_000
+#: How many more words than the limit needs are looked up, and candidates from which all words are counted.
+EXTRA, COUNTED = 4, 16
 #: Copies from which a text counts as hot in the last join.
 MANY_COPIES = 1_000
 _ODD = np.random.default_rng(6).integers(1, 1 << 63, 16, np.uint64) | np.uint64(1)
@@ -134,7 +138,7 @@ def _exploded(batches):
 
 def _pairs(key: np.ndarray, digest: np.ndarray, n: np.ndarray, own: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of sorted rows in different classes: all of a small group, of a large one each row and
-    its `far` next ones. Third the texts that are in a large group."""
+    its `far` next ones. Third the texts that are in a large group, or in a piece that can be of one."""
     first = np.concatenate([[True], key[1:] != key[:-1]])
     start = np.flatnonzero(first)
     size = np.repeat(np.diff(np.append(start, len(key))), np.diff(np.append(start, len(key))))
@@ -147,7 +151,7 @@ def _pairs(key: np.ndarray, digest: np.ndarray, n: np.ndarray, own: np.ndarray,
         small, large = np.minimum(n[at], n[at + w]), np.maximum(n[at], n[at + w])
         at = at[small >= SIMILARITY * large]
         out.append(np.stack([np.minimum(digest[at], digest[at + w]), np.maximum(digest[at], digest[at + w])]))
-    return (*np.unique(np.concatenate(out, 1), axis=1), np.unique(digest[size > NEAR + 1]))
+    return (*np.unique(np.concatenate(out, 1), axis=1), np.unique(digest[size > NEAR]))
 
 
 def _candidates(ends: bool, far: int):
@@ -281,9 +285,9 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return max(len(a), len(b)) - common <= limit and distance(a, b, limit) <= limit
 
 
-def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose texts are similar. Texts come from the documents again, one per digest."""
-    nodes = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+def words_held(nodes: DataFrame, sketch: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """digest and words (hashes of 32 bits) of the digests in nodes. Texts come from the documents again,
+    one per digest."""
     chosen = materialise(sketch.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(nodes, "digest", "left_semi"), "to-verify")
     few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -300,7 +304,13 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, id_col: str,
             yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.int64()), "words": pa.array(own, pa.binary())})
 
     held = src.join(F.broadcast(chosen) if few else chosen, "doc_id").select("digest", "text").mapInArrow(words, "digest long, words binary").dropDuplicates(["digest"])
-    held = materialise(held, "words-to-verify")
+    return materialise(held, "words-to-verify")
+
+
+def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose texts are similar."""
+    nodes = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    held = words_held(nodes, sketch, docs, id_col, text_col)
     side = lambda name: held.select(F.col("digest").alias(name), F.col("words").alias(f"{name}_words"))
 
     def check(batches):
@@ -314,6 +324,90 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, id_col: str,
     return both.mapInArrow(check, "a long, b long")
 
 
+def links_between(words: list[np.ndarray], own: np.ndarray, block: np.ndarray, met: np.ndarray) -> list[tuple[int, int]]:
+    """Links after which no two similar texts are of different classes (`own`): of all pairs of one
+    block, or where there are two blocks, of all pairs across. Texts with an equal column of `met` are
+    left out: they are compared where these are the sketches.
+
+    Texts of length n are similar only if they share t = n - limit words (repeats counted). In any order
+    of the words, all but the last s of each then share t - s; the order is rarest first, s is t - EXTRA."""
+    size, n = len(words), np.array([len(w) for w in words])
+    limit = (n * (1 - SIMILARITY) + 1e-9).astype(int)
+    must = n - limit
+    rest = np.maximum(must - EXTRA, 0)
+    across, own = block.min() != block.max(), np.unique(own, return_inverse=True)[1]
+    text, word = np.repeat(np.arange(size), n), np.concatenate(words).astype(np.uint64)
+    at = np.lexsort((word, text))
+    word = word[at]
+    new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (text[1:] != text[:-1])]))
+    nth = np.arange(len(word)) - np.repeat(new, np.diff(np.append(new, len(word))))
+    _, token, count = np.unique(word << np.uint64(32) | nth.astype(np.uint64), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    token = rank[token]
+    at = np.lexsort((token, text))
+    token, start = token[at], np.concatenate([[0], np.cumsum(n)])
+    early = np.arange(len(token)) - start[text] < (n - rest)[text]
+
+    def index(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts by token, and where a token's texts begin."""
+        t = token[chosen]
+        return text[chosen][np.argsort(t, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(count)))])
+
+    def shared(tokens: np.ndarray, texts: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([texts[begin[t] : begin[t + 1]] for t in tokens.tolist()]), minlength=size)
+
+    first, every, out = index(early), None, []
+    for x in range(size):
+        fit = (np.arange(size) > x) & (own != own[x]) & (np.abs(n - n[x]) <= np.maximum(limit, limit[x]))
+        if across:
+            fit &= block != block[x]
+        if not fit.any():
+            continue
+        least = np.maximum(must, must[x])
+        mine = token[start[x] : start[x + 1]]
+        found = np.flatnonzero(fit & (shared(mine[: n[x] - rest[x]], *first) >= least - np.maximum(rest, rest[x])))
+        found = found[~(met[found] == met[x]).any(1)]
+        if len(found) > COUNTED:
+            every = every or index(np.full(len(token), True))
+            found = found[shared(mine, *every)[found] >= least[found]]
+        for y in found.tolist():
+            if own[x] != own[y] and similar(words[x], words[y]):
+                out.append((x, y))
+                own[own == own[y]] = own[x]
+    return out
+
+
+def links_in_large_groups(keyed: DataFrame, classes: DataFrame, sketch: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of (digest, n, keys) and the classes (digest, class) of texts in large groups: links (a, b) after
+    which no two similar texts of a large group are of different classes."""
+    few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = keyed.select("digest", "n", "keys").join(F.broadcast(classes) if few else classes, "digest").dropDuplicates(["digest"])
+    texts = materialise(texts, "texts-of-large-groups")
+    flat = texts.select("digest", "n", "class", "keys").mapInArrow(_exploded, "key long, sub long, digest long, n int, class long")
+    flat = materialise(flat.drop("sub"), "large-group-texts")
+    sizes = flat.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"), F.min("class").alias("c"), F.max("class").alias("d"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
+    mixed = materialise(sizes.filter((F.col("size") > NEAR + 1) & (F.col("c") != F.col("d"))).select("key", blocks.alias("blocks")), "mixed-groups")
+    few = mixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    own = flat.join(F.broadcast(mixed) if few else mixed, "key").withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
+    own = own.select("key", "digest", "class", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    own = materialise(own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "class"), "mixed-group-texts")
+    held = words_held(own.select("digest").distinct(), sketch, docs, id_col, text_col).join(texts.select("digest", "keys"), "digest")
+
+    def links(table: pa.Table) -> pa.Table:
+        keep_only()
+        table = table.sort_by("digest")
+        digest = table.column("digest").to_numpy()
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, 2, TREES)[:, 0]
+        tree = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
+        got = links_between([np.frombuffer(x, "<u4") for x in table.column("words").to_pylist()], table.column("class").to_numpy(), table.column("block").to_numpy(), keys[:, :tree])
+        x = np.array(got, np.int64).reshape(-1, 2)
+        return pa.table({"a": digest[x[:, 0]], "b": digest[x[:, 1]]})
+
+    return own.join(held, "digest").groupBy("key", "i", "j").applyInArrow(links, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), class_size, kept (first row of the class)."""
     sketch = materialise(sketched(docs, id_col, text_col), "sketches")
@@ -326,6 +420,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     across, _ = candidates(keyed.drop("class").join(F.broadcast(again) if few else again, "digest"), FAR)
     across = materialise(across.join(pairs, ["a", "b"], "left_anti"), "pairs-across")
     links = materialise(verified(across, sketch, docs, id_col, text_col), "links-across")
+    if not links.isEmpty():
+        root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+    again = materialise(again.select("digest").join(root.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("class")), "large-groups")
+    links = materialise(links_in_large_groups(keyed, again, sketch, docs, id_col, text_col), "links-in-large-groups")
     if not links.isEmpty():
         root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
     texts = sketch.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))

@@ -166,3 +166,37 @@ def test_ids_that_come_with_two_texts(spark):
     rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(changed(rng, a, 3))), (3, " ".join(changed(rng, b, 3))), (None, " ".join(a))]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 5 and {r.class_id for r in got if r.doc_id in (2, 3)} == {1}
+
+
+def test_large_groups_are_compared_whole(spark, monkeypatch):
+    from folioscope.llm import near_duplicates as module
+
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(154)]  # 77 % of each text; what is left agrees by common words alone
+    zipf = [1 / (i + 1) for i in range(3000)]
+    texts = [passage + [f"w{x}" for x in rng.choices(range(3000), zipf, k=46)] for _ in range(120)]
+    number = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    words = [np.array([number[w] for w in t], "u4") for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if similar(words[i], words[j])]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in range(len(texts))}
+    assert 20 < len(set(want.values())) < 118
+    for blocks in (False, True):
+        own = np.arange(len(texts))
+        for a, b in module.links_between(words, own.copy(), own % 2 * blocks, np.empty((len(texts), 0))):
+            assert similar(words[a], words[b]) and (not blocks or (a - b) % 2)
+            own[own == own[b]] = own[a]
+        assert all(own[a] == own[b] for a, b in links if not blocks or (a - b) % 2)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for block in (module.BLOCK, 70):
+        monkeypatch.setattr(module, "BLOCK", block)
+        assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == want
