@@ -6,21 +6,22 @@
 2. Sketches are dealt by range of (sketch, then 16 bits each of the next four sketches) and sorted.
    Texts with equal sketches stand together, the more alike the closer. A group of up to NEAR + 1
    texts gives all its pairs; in a larger one (shared passages, many near copies) each text is first
-   paired with the FAR next ones, so pairs stay in proportion to texts, and a hot group is dealt over
+   paired with the next one, so pairs stay in proportion to texts, and a hot group is dealt over
    many tasks. Rows at the ends of tasks are matched in a second, small pass.
 3. Pairs are verified: edit distance over words by a bit-parallel band, at least SIMILARITY of the
    longer text's length must agree. Verified links make classes by connected components.
-4. Large groups that still have several classes are compared whole, block by block: texts of different
-   classes that share enough of their rarest words for the limit are verified, until no similar pair
-   of the group is unlinked. A group of one class, such as many near copies, needs no more pairs.
+4. Large groups that still have several classes are compared whole, by pairs of blocks: texts of
+   different classes that share enough words for the limit are verified, until no similar pair of the
+   group is unlinked. A group of one class, such as many near copies, needs no more pairs.
 
 Defined results: a null text is a class of its own; texts without words are copies only if they are
-equal; texts under K words count as one k-mer; repeated rows are copies; texts that only come without
-an id are matched as copies alone; an empty table gives no rows.
+equal; texts under K words count as one k-mer; repeated rows are copies, of which one row is kept;
+texts that only come without an id are matched as copies alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -28,22 +29,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folioscope.llm.common import keep_only, materialise, slices
 from folioscope.llm.contamination import words_of
 from folioscope.llm.graph import components
 from folioscope.llm.toxicity import _HASHES
 
-K, TREES, NEAR, FAR = 5, 48, 8, 3
+K, TREES, NEAR = 5, 48, 8
 SIMILARITY = 0.8
 #: Texts to verify whose ids may be sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Texts, and words, of a block: large groups are compared block by block, each pair of blocks by itself.
 BLOCK, BLOCK_WORDS = 1_024, 500_000
-#: How many more words than the limit needs are looked up, and candidates from which all words are counted.
-EXTRA, COUNTED = 4, 16
+#: Columns of the matrix that bounds shared words, and how many of them the rarer words share.
+COLUMNS, TAIL = 4_096, 1_024
+#: Step of the length classes of large groups; lengths of similar texts are less than one step apart.
+LENGTHS = -math.log(SIMILARITY - 0.01)
 #: Copies from which a text counts as hot in the last join.
-MANY_COPIES = 1_000
+MANY_COPIES = 100
 _ODD = np.random.default_rng(6).integers(1, 1 << 63, 16, np.uint64) | np.uint64(1)
 _SEEDS = np.random.default_rng(66).integers(0, 1 << 32, TREES, np.uint32)
 _WIDE = 20_000
@@ -98,35 +102,37 @@ def sketches(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return s.view(np.int64), sub.view(np.int64)
 
 
-def digest_of(text: str | None, words: list[bytes]) -> int | None:
-    """What copies share: a hash of the words in order, of the raw text where it has none."""
+def digests_of(text: str | None, words: list[bytes]) -> tuple[int, int] | tuple[None, None]:
+    """What copies share: two hashes of the words in order, of the raw text where it has none. The first
+    stands for the text; the second tells texts apart that share the first by chance."""
     if text is None:
-        return None
+        return None, None
     raw = b" ".join(words) if words else b"\x00" + text.encode("utf-8", "surrogatepass")
-    return xxhash.xxh64_intdigest(raw) - (1 << 63)
+    both = xxhash.xxh128_intdigest(raw)
+    return (both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63)
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest, n (words) and, once per digest and task, the sketches."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """doc_id, row (any numbers), digest, check, n (words) and, once per digest and task, the sketches."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         keep_only("word hashes")
         seen: set[int] = set()
         for b in slices(batches):
-            digests, sizes, keys = [], [], []
+            digests, checks, sizes, keys = [], [], [], []
             for text in b.column("text").to_pylist():
                 words = words_of(text)
-                d = digest_of(text, words)
-                digests.append(d), sizes.append(len(words))
+                d, check = digests_of(text, words)
+                digests.append(d), checks.append(check), sizes.append(len(words))
                 if words and d not in seen:
                     seen.add(d)
                     keys.append(np.concatenate(sketches(words)).tobytes())
                 else:
                     keys.append(None)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "digest": pa.array(digests, pa.int64()), "n": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "row": b.column("row"), "digest": pa.array(digests, pa.int64()), "check": pa.array(checks, pa.int64()), "n": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.binary())})
 
-    return src.mapInArrow(run, "doc_id long, digest long, n int, keys binary")
+    return src.mapInArrow(run, "doc_id long, row long, digest long, check long, n int, keys binary")
 
 
 def _exploded(batches):
@@ -136,16 +142,16 @@ def _exploded(batches):
         yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0].ravel()), pa.array(flat[:, 1].ravel()), *(pa.array(np.repeat(b.column(c).to_numpy(), TREES)) for c in ("digest", "n", "class"))], names=["key", "sub", "digest", "n", "class"])
 
 
-def _pairs(key: np.ndarray, digest: np.ndarray, n: np.ndarray, own: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of sorted rows in different classes: all of a small group, of a large one each row and
-    its `far` next ones. Third the texts that are in a large group, or in a piece that can be of one."""
+def _pairs(key: np.ndarray, digest: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of sorted rows: all of a small group, of a large one each row and the next. Third the texts
+    that are in a large group, or in a piece that can be of one."""
     first = np.concatenate([[True], key[1:] != key[:-1]])
     start = np.flatnonzero(first)
     size = np.repeat(np.diff(np.append(start, len(key))), np.diff(np.append(start, len(key))))
     out = []
     for w in range(1, NEAR + 1):
-        same = (key[w:] == key[:-w]) & (own[w:] != own[:-w])
-        if w > far:
+        same = key[w:] == key[:-w]
+        if w > 1:
             same &= size[w:] <= NEAR + 1
         at = np.flatnonzero(same)
         small, large = np.minimum(n[at], n[at + w]), np.maximum(n[at], n[at + w])
@@ -154,26 +160,25 @@ def _pairs(key: np.ndarray, digest: np.ndarray, n: np.ndarray, own: np.ndarray,
     return (*np.unique(np.concatenate(out, 1), axis=1), np.unique(digest[size > NEAR]))
 
 
-def _candidates(ends: bool, far: int):
-    """Over rows sorted by (key, sub, digest): pairs as (0, a, b, 0, 0, 0), texts of large groups as
-    (2, digest, 0, 0, 0, 0), and with ends the rows near the ends of the task as (1, key, sub, digest,
-    n, class)."""
+def _candidates(ends: bool):
+    """Over rows sorted by (key, sub, digest): pairs as (0, a, b, 0, 0), texts of large groups as
+    (2, digest, 0, 0, 0), and with ends the rows near the ends of the task as (1, key, sub, digest, n)."""
 
     def run(batches):
         keep_only()
         keep = NEAR
         held, head, tail = None, [], None
         told: set[int] = set()
-        names = ["key", "sub", "digest", "n", "class"]
+        names = ["key", "sub", "digest", "n"]
 
         def rows(kind, cols):
             size = len(cols[0])
             zero = np.zeros(size, np.int64)
-            cols = [*cols, zero, zero, zero, zero][:5]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *[pa.array(c.astype(np.int64)) for c in cols]], names=["kind", "x", "y", "z", "n", "class"])
+            cols = [*cols, zero, zero, zero][:4]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *[pa.array(c.astype(np.int64)) for c in cols]], names=["kind", "x", "y", "z", "n"])
 
         def matched(cols):
-            a, z, large = _pairs(cols[0], cols[2], cols[3], cols[4], far)
+            a, z, large = _pairs(cols[0], cols[2], cols[3])
             fresh = [x for x in large.tolist() if x not in told]
             told.update(fresh)
             if len(a):
@@ -209,16 +214,16 @@ def _candidates(ends: bool, far: int):
     return run
 
 
-def candidates(sketch: DataFrame, far: int) -> tuple[DataFrame, DataFrame]:
-    """Of (digest, n, class, keys): distinct pairs (a, b) of digests of different classes that stand
-    near each other in some tree, and the digests that are in large groups."""
-    schema = "kind int, x long, y long, z long, n long, class long"
-    flat = sketch.select("digest", "n", "class", "keys").mapInArrow(_exploded, "key long, sub long, digest long, n int, class long")
+def candidates(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (digest, n, keys): distinct pairs (a, b) of digests that stand near each other in some tree,
+    and the digests that are in large groups."""
+    schema = "kind int, x long, y long, z long, n long"
+    flat = sketch.select("digest", "n", F.col("digest").alias("class"), "keys").mapInArrow(_exploded, "key long, sub long, digest long, n int, class long").drop("class")
     width = int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = flat.repartitionByRange(width, "key", "sub").sortWithinPartitions("key", "sub", "digest")
-    found = materialise(dealt.mapInArrow(_candidates(True, far), schema), "candidates")
-    ends = found.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("sub"), F.col("z").alias("digest"), F.col("n").cast("int").alias("n"), "class")
-    met = materialise(ends.coalesce(1).sortWithinPartitions("key", "sub", "digest").mapInArrow(_candidates(False, far), schema), "candidates-met")
+    found = materialise(dealt.mapInArrow(_candidates(True), schema), "candidates")
+    ends = found.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("sub"), F.col("z").alias("digest"), F.col("n").cast("int").alias("n"))
+    met = materialise(ends.coalesce(1).sortWithinPartitions("key", "sub", "digest").mapInArrow(_candidates(False), schema), "candidates-met")
     both = found.union(met)
     return both.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), both.filter("kind = 2").select(F.col("x").alias("digest")).distinct()
 
@@ -288,7 +293,8 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 def words_held(nodes: DataFrame, sketch: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """digest and words (hashes of 32 bits) of the digests in nodes. Texts come from the documents again,
     one per digest."""
-    chosen = materialise(sketch.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(nodes, "digest", "left_semi"), "to-verify")
+    least = F.min(F.struct("check", F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+    chosen = materialise(sketch.groupBy("digest").agg(least.alias("t")).join(nodes, "digest", "left_semi").select("digest", "t.check", "t.doc_id"), "to-verify")
     few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -296,14 +302,14 @@ def words_held(nodes: DataFrame, sketch: DataFrame, docs: DataFrame, id_col: str
         keep_only("word hashes")
         for b in slices(batches):
             digests, own = [], []
-            for digest, text in zip(b.column("digest").to_pylist(), b.column("text").to_pylist()):
+            for digest, check, text in zip(b.column("digest").to_pylist(), b.column("check").to_pylist(), b.column("text").to_pylist()):
                 split = words_of(text)
-                if digest_of(text, split) == digest:  # an id may come with other texts too
+                if digests_of(text, split) == (digest, check):  # an id may come with other texts too
                     digests.append(digest)
                     own.append((np.fromiter(map(_HASHES.__getitem__, split), np.uint64, len(split)) >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.int64()), "words": pa.array(own, pa.binary())})
 
-    held = src.join(F.broadcast(chosen) if few else chosen, "doc_id").select("digest", "text").mapInArrow(words, "digest long, words binary").dropDuplicates(["digest"])
+    held = src.join(F.broadcast(chosen) if few else chosen, "doc_id").select("digest", "check", "text").mapInArrow(words, "digest long, words binary").dropDuplicates(["digest"])
     return materialise(held, "words-to-verify")
 
 
@@ -329,70 +335,76 @@ def links_between(words: list[np.ndarray], own: np.ndarray, block: np.ndarray, m
     block, or where there are two blocks, of all pairs across. Texts with an equal column of `met` are
     left out: they are compared where these are the sketches.
 
-    Texts of length n are similar only if they share t = n - limit words (repeats counted). In any order
-    of the words, all but the last s of each then share t - s; the order is rarest first, s is t - EXTRA."""
+    Texts of length n are similar only if they share n - limit words (repeats counted). A product of
+    matrices bounds the shared words of all pairs from above: frequent words have a column each, the
+    others share TAIL columns. Pairs within the largest class are not looked at."""
     size, n = len(words), np.array([len(w) for w in words])
-    limit = (n * (1 - SIMILARITY) + 1e-9).astype(int)
-    must = n - limit
-    rest = np.maximum(must - EXTRA, 0)
-    across, own = block.min() != block.max(), np.unique(own, return_inverse=True)[1]
+    must = n - (n * (1 - SIMILARITY) + 1e-9).astype(int)
+    own = np.unique(own, return_inverse=True)[1]
+    if not own.any():
+        return []
     text, word = np.repeat(np.arange(size), n), np.concatenate(words).astype(np.uint64)
-    at = np.lexsort((word, text))
-    word = word[at]
+    word = word[np.lexsort((word, text))]
     new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (text[1:] != text[:-1])]))
     nth = np.arange(len(word)) - np.repeat(new, np.diff(np.append(new, len(word))))
     _, token, count = np.unique(word << np.uint64(32) | nth.astype(np.uint64), return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    token = rank[token]
-    at = np.lexsort((token, text))
-    token, start = token[at], np.concatenate([[0], np.cumsum(n)])
-    early = np.arange(len(token)) - start[text] < (n - rest)[text]
-
-    def index(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts by token, and where a token's texts begin."""
-        t = token[chosen]
-        return text[chosen][np.argsort(t, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(count)))])
-
-    def shared(tokens: np.ndarray, texts: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        return np.bincount(np.concatenate([texts[begin[t] : begin[t + 1]] for t in tokens.tolist()]), minlength=size)
-
-    first, every, out = index(early), None, []
-    for x in range(size):
-        fit = (np.arange(size) > x) & (own != own[x]) & (np.abs(n - n[x]) <= np.maximum(limit, limit[x]))
-        if across:
-            fit &= block != block[x]
-        if not fit.any():
-            continue
-        least = np.maximum(must, must[x])
-        mine = token[start[x] : start[x + 1]]
-        found = np.flatnonzero(fit & (shared(mine[: n[x] - rest[x]], *first) >= least - np.maximum(rest, rest[x])))
-        found = found[~(met[found] == met[x]).any(1)]
-        if len(found) > COUNTED:
-            every = every or index(np.full(len(token), True))
-            found = found[shared(mine, *every)[found] >= least[found]]
-        for y in found.tolist():
-            if own[x] != own[y] and similar(words[x], words[y]):
-                out.append((x, y))
-                own[own == own[y]] = own[x]
+    column = np.arange(len(count)) % TAIL
+    often = np.argsort(-count, kind="stable")[: COLUMNS - TAIL]
+    column[often] = np.arange(TAIL, TAIL + len(often))
+    several = count[token] > 1
+    counts = np.zeros((size, COLUMNS), np.float32)
+    np.add.at(counts, (text[several], column[token[several]]), 1)
+    tokens = np.split(token, np.cumsum(n)[:-1])
+    minor = own != np.bincount(own).argmax()
+    one, two = (block == block.min(), block == block.max())
+    if block.min() == block.max():
+        parts = [(minor, one)]
+    else:
+        parts = [(one & minor, two), (one & ~minor, two & minor)]
+    now, out = own.copy(), []
+    for xs, ys in ((np.flatnonzero(x), np.flatnonzero(y)) for x, y in parts):
+        for at in range(0, len(xs), 256):
+            x = xs[at : at + 256]
+            fit = counts[x] @ counts[ys].T >= np.maximum(must[x][:, None], must[ys][None, :])
+            fit &= own[x][:, None] != own[ys][None, :]
+            i, j = np.nonzero(fit)
+            i, j = x[i], ys[j]
+            keep = ~((one[i] & one[j] & two[i] & two[j]) & minor[j] & (i > j))
+            i, j = i[keep], j[keep]
+            if met.shape[1]:
+                keep = ~(met[i] == met[j]).any(1)
+                i, j = i[keep], j[keep]
+            for a, b in zip(i.tolist(), j.tolist()):
+                if now[a] != now[b] and len(np.intersect1d(tokens[a], tokens[b], assume_unique=True)) >= max(must[a], must[b]) and similar(words[a], words[b]):
+                    out.append((a, b))
+                    now[now == now[b]] = now[a]
     return out
 
 
 def links_in_large_groups(keyed: DataFrame, classes: DataFrame, sketch: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of (digest, n, keys) and the classes (digest, class) of texts in large groups: links (a, b) after
-    which no two similar texts of a large group are of different classes."""
+    which no two similar texts of a large group are of different classes.
+
+    A group is dealt by length (similar texts are of the same or a neighbouring length class) and in
+    blocks; each pair of blocks is a group of rows by itself."""
     few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = keyed.select("digest", "n", "keys").join(F.broadcast(classes) if few else classes, "digest").dropDuplicates(["digest"])
     texts = materialise(texts, "texts-of-large-groups")
     flat = texts.select("digest", "n", "class", "keys").mapInArrow(_exploded, "key long, sub long, digest long, n int, class long")
+    flat = flat.withColumn("long", F.floor(F.log("n") / LENGTHS).cast("int"))
     flat = materialise(flat.drop("sub"), "large-group-texts")
-    sizes = flat.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"), F.min("class").alias("c"), F.max("class").alias("d"))
+    sizes = flat.groupBy("key", "long").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"), F.min("class").alias("c"), F.max("class").alias("d"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
-    mixed = materialise(sizes.filter((F.col("size") > NEAR + 1) & (F.col("c") != F.col("d"))).select("key", blocks.alias("blocks")), "mixed-groups")
+    sizes = sizes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("long", blocks))).alias("blocks"), F.sum("size").alias("size"), F.min("c").alias("c"), F.max("d").alias("d"))
+    mixed = materialise(sizes.filter((F.col("size") > NEAR + 1) & (F.col("c") != F.col("d"))).select("key", "blocks"), "mixed-groups")
     few = mixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    own = flat.join(F.broadcast(mixed) if few else mixed, "key").withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
-    own = own.select("key", "digest", "class", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    own = materialise(own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "class"), "mixed-group-texts")
+    own = flat.join(F.broadcast(mixed) if few else mixed, "key")
+    own = own.withColumn("mine", F.struct("long", F.pmod(F.xxhash64("digest"), F.col("blocks")[F.col("long")]).cast("int").alias("block")))
+    beside = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("long") + d)
+    every = F.flatten(F.transform(beside, lambda x: F.when(F.col("blocks")[x].isNotNull(), F.transform(F.sequence(F.lit(0), F.col("blocks")[x] - 1), lambda y: F.struct(x.alias("long"), y.alias("block")))).otherwise(F.array().cast("array<struct<long:int,block:int>>"))))
+    own = own.select("key", "digest", "class", "mine", F.explode(every).alias("other"))
+    own = own.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("block"), "digest", "class")
+    own = materialise(own, "mixed-group-texts")
     held = words_held(own.select("digest").distinct(), sketch, docs, id_col, text_col).join(texts.select("digest", "keys"), "digest")
 
     def links(table: pa.Table) -> pa.Table:
@@ -401,55 +413,88 @@ def links_in_large_groups(keyed: DataFrame, classes: DataFrame, sketch: DataFram
         digest = table.column("digest").to_numpy()
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, 2, TREES)[:, 0]
         tree = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
-        got = links_between([np.frombuffer(x, "<u4") for x in table.column("words").to_pylist()], table.column("class").to_numpy(), table.column("block").to_numpy(), keys[:, :tree])
+        # a group of two blocks may hold rows of one of them alone
+        block = table.column("block").to_numpy()
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py() and block.min() == block.max():
+            got = []
+        else:
+            got = links_between([np.frombuffer(x, "<u4") for x in table.column("words").to_pylist()], table.column("class").to_numpy(), block, keys[:, :tree])
         x = np.array(got, np.int64).reshape(-1, 2)
         return pa.table({"a": digest[x[:, 0]], "b": digest[x[:, 1]]})
 
     return own.join(held, "digest").groupBy("key", "i", "j").applyInArrow(links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), class_size, kept (first row of the class)."""
+def _verdicts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row of docs: doc_id, digest, check, class_id, class_size, kept."""
     sketch = materialise(sketched(docs, id_col, text_col), "sketches")
-    keyed = sketch.filter("keys IS NOT NULL").withColumn("class", F.col("digest"))
-    pairs, large = candidates(keyed, 1)
+    keyed = sketch.filter("keys IS NOT NULL")
+    pairs, large = candidates(keyed)
     pairs = materialise(pairs, "pairs")
     root = components(verified(pairs, sketch, docs, id_col, text_col))
-    again = materialise(large.join(root.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("class")), "large-groups")
-    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    across, _ = candidates(keyed.drop("class").join(F.broadcast(again) if few else again, "digest"), FAR)
-    across = materialise(across.join(pairs, ["a", "b"], "left_anti"), "pairs-across")
-    links = materialise(verified(across, sketch, docs, id_col, text_col), "links-across")
-    if not links.isEmpty():
-        root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
-    again = materialise(again.select("digest").join(root.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("class")), "large-groups")
-    links = materialise(links_in_large_groups(keyed, again, sketch, docs, id_col, text_col), "links-in-large-groups")
+    classes = materialise(large.join(root.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("class")), "large-groups")
+    links = materialise(links_in_large_groups(keyed, classes, sketch, docs, id_col, text_col), "links-in-large-groups")
     if not links.isEmpty():
         root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
-    texts = sketch.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    texts = sketch.filter("digest IS NOT NULL").groupBy("digest", "check").agg(first, F.count(F.lit(1)).alias("copies"))
+    texts = texts.groupBy("digest").agg(F.min(F.struct("check", "first", "copies")).alias("t")).select("digest", "t.*")
     linked = texts.join(root.withColumnRenamed("node", "digest"), "digest")
-    classes = materialise(linked.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
+    classes = materialise(linked.groupBy("root").agg(F.min("first").alias("class"), F.sum("copies").alias("class_size")), "classes")
     few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = linked.join(F.broadcast(classes) if few else classes, "root").select("digest", "class_id", "class_size")
-    named = texts.join(joined, "digest", "left").select("digest", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"), "copies")
+    joined = linked.join(F.broadcast(classes) if few else classes, "root").select("digest", "class", "class_size")
+    named = texts.join(joined, "digest", "left").select("digest", F.col("check").alias("own_check"), F.coalesce("class", "first").alias("class"), F.coalesce("class_size", "copies").alias("class_size"), "copies")
     named = materialise(named, "classes-of-texts")
-    # texts with very many copies are sent to their copies, wherever they are; they are few
-    rows, often = sketch.select("doc_id", "digest"), named.filter(F.col("copies") >= MANY_COPIES)
+    # texts with many copies are sent to their copies, wherever they are; they are few. Null texts meet none
+    rows, often = sketch.select("doc_id", "row", "digest", "check"), named.filter(F.col("copies") >= MANY_COPIES)
+    known = rows.filter("digest IS NOT NULL")
     if often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hot = F.broadcast(often)
-        out = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(named.filter(F.col("copies") < MANY_COPIES), "digest", "left"))
+        out = known.join(hot, "digest").unionByName(known.join(hot, "digest", "left_anti").join(named.filter(F.col("copies") < MANY_COPIES), "digest"))
     else:
-        out = rows.join(named, "digest", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("class_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+        out = known.join(named, "digest")
+    # another text that has the same digest by chance is a class of its own
+    own = F.col("check") == F.col("own_check")
+    out = out.select("doc_id", "digest", "check", F.when(own, F.col("class.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("class_size")).otherwise(1).cast("long").alias("class_size"), (~own | (F.col("class.row") == F.col("row"))).alias("kept"))
+    none = rows.filter("digest IS NULL").select("doc_id", "digest", "check", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return out.unionByName(none)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, class_id (the least doc_id of the class), class_size (rows), kept (one row of the class)."""
+    return _verdicts(docs, id_col, text_col).select("doc_id", "class_id", "class_size", "kept")
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose document stays: the first of each class.
+    """The rows of docs, all columns as they are, that stay: one row of each class.
 
-    The ids that go are sent to all tasks if they are few, else joined by a shuffle. Rows that share
-    an id share its decision; rows without id stay.
+    The ids that go are sent to all tasks if they are few, else joined by a shuffle. Ids of which some
+    rows stay and some go (repeated ids, rows without id) are decided by their rows' texts; which of
+    rows equal in id and text stays is not defined.
     """
-    verdict = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    gone = materialise(verdict.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select(F.col("doc_id").alias("_gone")), "dropped-ids")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    verdict = materialise(_verdicts(docs, id_col, text_col).select("doc_id", "digest", "check", "kept"), "verdicts")
+    ids = verdict.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("kept"))
+    ids = materialise(ids.filter("kept < rows").select(F.col("doc_id").alias("_gone"), (F.col("kept") > 0).alias("_some")), "dropped-ids")
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else (lambda df: df)
+    same_id = F.col(id_col).cast("long").eqNullSafe(F.col("_gone"))
+    out = docs.join(sent(ids.select("_gone")), same_id, "left_anti")
+    some = ids.filter("_some").select("_gone")
+    if some.isEmpty():
+        return out
+
+    def named(batches):
+        keep_only("word hashes")
+        for b in slices(batches):
+            own = [digests_of(x, words_of(x)) for x in b.column(text_col).to_pylist()]
+            yield b.append_column("_digest", pa.array([x for x, _ in own], pa.int64())).append_column("_check", pa.array([x for _, x in own], pa.int64()))
+
+    kept = verdict.filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept_digest"), F.col("check").alias("_kept_check"))
+    kept = kept.join(some, F.col("_id").eqNullSafe(F.col("_gone")), "left_semi")
+    parts = docs.join(sent(some), same_id, "left_semi")
+    parts = parts.mapInArrow(named, StructType([*docs.schema.fields, StructField("_digest", LongType()), StructField("_check", LongType())]))
+    parts = parts.withColumn("_own_id", F.col(id_col).cast("long"))
+    # null texts stay, every one of them
+    once = parts.filter("_digest IS NOT NULL").dropDuplicates(["_own_id", "_digest", "_check"])
+    once = once.join(kept, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept_digest")) & (F.col("_check") == F.col("_kept_check")), "left_semi")
+    return out.union(once.select(docs.columns)).union(parts.filter("_digest IS NULL").select(docs.columns))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from folioscope.llm.graph import components
-from folioscope.llm.near_duplicates import candidates, distance, kmers, near_duplicates, similar, sketched, sketches
+from folioscope.llm.near_duplicates import candidates, distance, kmers, near_duplicates, similar, sketched, sketches, without_near_duplicates
 
 
 def edit(a, b):
@@ -124,31 +124,35 @@ def test_classes_against_brute_force(spark, corpus):
         assert r.kept == (i == want[i]) and r.class_size == sum(c == want[i] for c in want.values())
 
 
-def _keyed(spark, corpus):
+def test_pairs_stay_in_proportion(spark, corpus):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus)], "doc_id long, text string")
-    return docs, sketched(docs, "doc_id", "text").filter("keys IS NOT NULL").selectExpr("digest", "n", "digest AS class", "keys").cache()
+    pairs, large = candidates(sketched(docs, "doc_id", "text").filter("keys IS NOT NULL").cache())
+    assert pairs.count() < 60 * 59 // 2 + 48 * 160 and large.count() >= 60
+    assert near_duplicates(docs.limit(0)).count() == without_near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_pairs_stay_in_proportion(spark, corpus):
-    docs, keyed = _keyed(spark, corpus)
-    assert candidates(keyed, 3)[0].count() < 60 * 59 // 2 + 48 * 3 * 160
-    assert near_duplicates(docs.limit(0)).count() == 0
-
-
-def test_second_round_leaves_out_pairs_within_a_class(spark, corpus):
-    _, keyed = _keyed(spark, corpus)
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")  # so that both looks see the same groups
-    try:
-        first, large = candidates(keyed, 1)
-        first, large = {tuple(r) for r in first.collect()}, {r.digest for r in large.collect()}
-        every = {tuple(r) for r in candidates(keyed, 3)[0].collect()}
-        none = candidates(keyed.selectExpr("digest", "n", "0L AS class", "keys"), 3)[0].count()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    assert first < every and 60 <= len(large) < keyed.count() and none == 0
-    # what a wider look adds is between texts of large groups, so the second round reads only these
-    assert all(a in large and b in large for a, b in every - first)
+def test_one_row_of_a_class_stays(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(1, a, "x"), (1, a, "y"), (2, a, "x"), (3, b, "x"), (3, a, "z"), (4, None, "x"), (4, None, "x"), (None, a, "x"), (None, "alone", "x"), (None, None, "x"), (5, "", "x"), (5, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(3)
+    got = near_duplicates(docs)
+    kept = sorted((r.class_id or 0, r.class_size) for r in got.filter("kept").collect())
+    assert got.count() == len(rows) and kept == [(0, 1), (0, 1), (1, 5), (3, 1), (4, 1), (4, 1), (5, 2)]
+    left = without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, "-" if r.text is None else r.text) for r in left.collect()) == [(0, "-"), (0, "alone"), (1, a), (3, b), (4, "-"), (4, "-"), (5, "")]
+
+
+def test_texts_that_share_a_digest_by_chance(spark, monkeypatch):
+    from folioscope.llm import near_duplicates as module
+
+    long = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([long, long, "something else entirely", "something else entirely", "third"])], "doc_id long, text string")
+    sketch = sketched(docs, "doc_id", "text").selectExpr("doc_id", "row", "if(doc_id < 4, 7L, digest) AS digest", "check", "n", "keys")
+    monkeypatch.setattr(module, "sketched", lambda *_: sketch)
+    got = {r.doc_id: (r.class_id, r.kept) for r in near_duplicates(docs).collect()}
+    merged = [i for i in (0, 2) if got[i + 1] == (i, False)]
+    assert len(merged) == 1 and all(got[i] == (i, True) for i in range(5) if i - 1 not in merged)
 
 
 def test_texts_with_very_many_copies(spark, monkeypatch):
