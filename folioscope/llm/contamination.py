@@ -7,9 +7,11 @@ each word the longest suffix that occurs in an item is known. Where that reaches
 Reading words costs far more than matching, so only stretches whose neighbouring word pairs all
 occur in the items are streamed; elsewhere the automaton would fall back to its start anyway.
 
-The items are a stated query set. They are read in blocks of BLOCK_WORDS words, and the automata of
-BLOCKS_AT_ONCE blocks are sent out for one scan of the documents. A larger set takes more scans, each
-written with the words hit so far, so what is broadcast at once is bounded however many items there are.
+The items are a stated query set. They are cut into blocks of about BLOCK_WORDS words, longer items
+into parts that overlap by a window less one word. Blocks are sent out as words, and an automaton is
+built from each where it is used. One scan of the documents takes any number of blocks: a task keeps
+the automata of up to BLOCKS_HELD blocks; with more, it gathers GATHER_BYTES of texts and holds one
+automaton after the other beside them. Every row is decided by its own text, however many blocks.
 
 Defined results: null or word-free texts have no words and are not contaminated; items without
 words are never found; repeated items count by item id; ids compare as strings.
@@ -25,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import keep_only, materialise, slices
+from folioscope.llm.common import keep_only, slices
 
-#: Words of items that one automaton holds, and automata that are sent at once.
-BLOCK_WORDS, BLOCKS_AT_ONCE = 50_000, 4
-#: Contaminated ids that may be sent to all tasks; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Words of items that one automaton holds, automata that a task keeps, and texts gathered where there are more.
+BLOCK_WORDS, BLOCKS_HELD, GATHER_BYTES = 50_000, 4, 16_000_000
 #: Bytes that are part of no word become spaces, A-Z become a-z; bytes from 0x80 on are kept.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -160,44 +160,85 @@ class ItemAutomaton:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int):
-    """Automata of the items, a block at a time; the stated query set passes the driver by blocks."""
+    """Words of the items, a block at a time; the stated query set passes the driver by blocks."""
     block, held = [], 0
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
+    step = max(BLOCK_WORDS, window)
     for item, text in rows.toLocalIterator():
         words = words_of(text)
         if item is None or not words:
             continue
-        block.append((item, words))
-        held += len(words)
-        if held >= BLOCK_WORDS:
-            yield ItemAutomaton(block, window)
-            block, held = [], 0
+        for at in range(0, max(len(words) - window + 1, 1), step):
+            part = words[at : at + step + window - 1]
+            block.append((item, part))
+            held += len(part)
+            if held >= BLOCK_WORDS:
+                yield block
+                block, held = [], 0
     if block:
-        yield ItemAutomaton(block, window)
+        yield block
 
 
-def _groups(spark, benchmark: DataFrame, item_col: str, text_col: str, window: int):
-    """(broadcast automata, whether they are the last); a table without items gives one empty group."""
-    blocks = itertools.batched(_blocks(benchmark, item_col, text_col, window), BLOCKS_AT_ONCE)
-    now = next(blocks, ())
-    while True:
-        after = next(blocks, None)
-        yield [spark.sparkContext.broadcast(x) for x in now], after is None
-        if after is None:
+class _Block:
+    """Words of items as they are sent, and their automaton, built where it is used first."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+        self.items, self.window, self.built = items, window, None
+
+    def __getstate__(self):
+        return {"items": self.items, "window": self.window, "built": None}
+
+    def automaton(self) -> ItemAutomaton:
+        self.built = self.built or ItemAutomaton(self.items, self.window)
+        return self.built
+
+
+def _sent(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list:
+    """The blocks as broadcasts; each is bounded, and those that are not held lie on the executors' disks."""
+    return [docs.sparkSession.sparkContext.broadcast(_Block(x, window)) for x in _blocks(benchmark, item_col, text_col, window)]
+
+
+class _Matcher:
+    """Texts against all blocks; lives as long as a task."""
+
+    def __init__(self, sent: list):
+        self.sent = sent
+        self.held = [x.value.automaton() for x in sent] if len(sent) <= BLOCKS_HELD else None
+
+    def gathered(self, batches):
+        """Lists of slices of batches, so many that loading automata is paid for by many texts."""
+        now, size = [], 0
+        for b in slices(batches):
+            now.append(b)
+            size += b.nbytes
+            if self.held is not None or size >= GATHER_BYTES:
+                yield now
+                now, size = [], 0
+        if now:
+            yield now
+
+    def _automata(self):
+        if self.held is not None:
+            yield from self.held
             return
-        now = after
+        for x in self.sent:
+            yield x.value.automaton()
+            x.__dict__.pop("_value", None)  # a worker would keep it
+
+    def found(self, texts: list[str | None]) -> list[tuple[list[bytes], np.ndarray, set[str]]]:
+        """Per text its words, which of them are hit, and the items that occur."""
+        out = [(words, np.zeros(len(words), bool), set()) for words in map(words_of, texts)]
+        for automaton in self._automata():
+            for words, hit, items in out:
+                h, f = automaton.match(words)
+                hit |= h
+                items |= f
+        return out
 
 
-def _found(text: str | None, sent: list, before: bytes | None, items: list[str] | None) -> tuple[list[bytes], np.ndarray, set[str]]:
-    """Words, which of them are hit (by these automata or before), and the items that occur."""
-    words = words_of(text)
-    hit = np.unpackbits(np.frombuffer(before, np.uint8), count=len(words)).astype(bool) if before else np.zeros(len(words), bool)
-    found = set(items or ())
-    for automaton in sent:
-        h, f = automaton.value.match(words)
-        hit |= h
-        found |= f
-    return words, hit, found
+def _contaminated(words: list[bytes], hit: np.ndarray, share: int) -> bool:
+    n = int(hit.sum())
+    return n > 0 and share * n >= len(words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -206,74 +247,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
 
     contaminated: n_hit > 0 and share * n_hit >= n_words.
     """
-    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    so_far = "doc_id long, text string, hits binary, items array<string>"
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     schema += ", hit_spans array<array<int>>, clean_text string" * with_text
+    sent = _sent(docs, benchmark, item_col, item_text_col, window)
 
-    def rows(b):
-        none = [None] * b.num_rows
-        before = b.column("hits").to_pylist() if "hits" in b.schema.names else none
-        return zip(b.column("text").to_pylist(), before, b.column("items").to_pylist() if "items" in b.schema.names else none)
-
-    def note(sent):
-        def run(batches):
-            keep_only()
-            for b in slices(batches):
-                got = [_found(t, sent, h, i) for t, h, i in rows(b)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array([np.packbits(h).tobytes() for _, h, _ in got], pa.binary()), pa.array([sorted(f) for _, _, f in got], pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
-
-        return run
-
-    def report(sent):
-        def run(batches):
-            keep_only()
-            for b in slices(batches):
-                out: list[list] = [[] for _ in range(7)]
-                for text, before, items in rows(b):
-                    words, hit, found = _found(text, sent, before, items)
-                    n = int(hit.sum())
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist() if n else []
-                    spans = [list(x) for x in zip(edge[::2], edge[1::2])]
-                    row = (len(words), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and share * n >= len(words), spans, cut(text, spans) if with_text else None)
-                    for column, value in zip(out, row):
-                        column.append(value)
-                cols = {"doc_id": b.column("doc_id"), "n_words": pa.array(out[0], pa.int64()), "n_hit": pa.array(out[1], pa.int64()), "n_items": pa.array(out[2], pa.int64()), "items_sha256": pa.array(out[3], pa.string()), "contaminated": pa.array(out[4], pa.bool_())}
-                if with_text:
-                    cols |= {"hit_spans": pa.array(out[5], pa.list_(pa.list_(pa.int32()))), "clean_text": pa.array(out[6], pa.string())}
-                yield pa.RecordBatch.from_pydict(cols)
-
-        return run
-
-    for sent, last in _groups(docs.sparkSession, benchmark, item_col, item_text_col, window):
-        if last:
-            return state.mapInArrow(report(sent), schema)
-        state = materialise(state.mapInArrow(note(sent), so_far), "words-hit")
-        for x in sent:
-            x.unpersist()
+    def report(batches):
+        keep_only()
+        matcher = _Matcher(sent)
+        for group in matcher.gathered(batches):
+            texts = [x for b in group for x in b.column("text").to_pylist()]
+            out: list[list] = [[] for _ in range(7)]
+            for text, (words, hit, found) in zip(texts, matcher.found(texts)):
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist() if hit.any() else []
+                spans = [list(x) for x in zip(edge[::2], edge[1::2])]
+                digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+                row = (len(words), int(hit.sum()), len(found), digest, _contaminated(words, hit, share), spans, cut(text, spans) if with_text else None)
+                for column, value in zip(out, row):
+                    column.append(value)
+            ids = pa.chunked_array([b.column("doc_id") for b in group]).combine_chunks()
+            cols = {"doc_id": ids, "n_words": pa.array(out[0], pa.int64()), "n_hit": pa.array(out[1], pa.int64()), "n_items": pa.array(out[2], pa.int64())}
+            cols |= {"items_sha256": pa.array(out[3], pa.string()), "contaminated": pa.array(out[4], pa.bool_())}
+            if with_text:
+                cols |= {"hit_spans": pa.array(out[5], pa.list_(pa.list_(pa.int32()))), "clean_text": pa.array(out[6], pa.string())}
+            yield pa.RecordBatch.from_pydict(cols)
+
+    return src.mapInArrow(report, schema)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, that are not contaminated.
-
-    One pass without a shuffle where one scan takes all items; else by the ids that are contaminated
-    (rows that share an id share its decision)."""
-    sent, last = next(_groups(docs.sparkSession, benchmark, item_col, item_text_col, window))
-    if not last:
-        found = contamination(docs, benchmark, window=window, share=share, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
-        gone = materialise(found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated-ids")
-        few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of docs, all columns as they are, whose text is not contaminated; one pass, no shuffle."""
+    sent = _sent(docs, benchmark, item_col, item_text_col, window)
 
     def clean(batches):
         keep_only()
-        for b in slices(batches):
-            keep = []
-            for text in b.column(text_col).to_pylist():
-                words, hit, _ = _found(text, sent, None, None)
-                n = int(hit.sum())
-                keep.append(not n or share * n < len(words))
-            yield b.filter(pa.array(keep, pa.bool_()))
+        matcher = _Matcher(sent)
+        for group in matcher.gathered(batches):
+            got = iter(matcher.found([x for b in group for x in b.column(text_col).to_pylist()]))
+            for b in group:
+                keep = [not _contaminated(words, hit, share) for words, hit, _ in (next(got) for _ in range(b.num_rows))]
+                yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
 

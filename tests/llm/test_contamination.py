@@ -62,19 +62,26 @@ def test_contamination_query(spark):
     assert contamination(d, b.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_many_blocks_take_many_scans(spark, monkeypatch):
+def test_many_blocks_decide_alike(spark, monkeypatch):
     from folioscope.llm import contamination as module
 
     rng = random.Random(8)
     words = [f"w{i}" for i in range(40)]
-    items = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 20)))) for i in range(30)]
-    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(30)) + items[rng.randrange(30)][1].split() + rng.choices(words, k=rng.randrange(30)))) for i in range(60)] + [(60, None)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 20)))) for i in range(30)] + [(99, " ".join(rng.choices(words, k=400)))]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(30)) + items[rng.randrange(30)][1].split() + rng.choices(words, k=rng.randrange(30)))) for i in range(60)]
+    docs += [(60, None), (61, " ".join(items[-1][1].split()[40:90])), (62, items[-1][1])]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
     one = sorted(contamination(d, b).collect())
-    kept = {r.doc_id for r in module.without_contaminated(d, b).collect()}
     monkeypatch.setattr(module, "BLOCK_WORDS", 60)
-    monkeypatch.setattr(module, "BLOCKS_AT_ONCE", 2)
-    assert len(list(module._groups(spark, b, "item_id", "text", 13))) > 2
-    assert sorted(contamination(d, b).collect()) == one
-    assert {r.doc_id for r in module.without_contaminated(d, b).collect()} == kept == {r.doc_id for r in one if not r.contaminated}
+    for held, gather in ((100, 1), (2, 1), (2, 10_000)):
+        monkeypatch.setattr(module, "BLOCKS_HELD", held)
+        monkeypatch.setattr(module, "GATHER_BYTES", gather)
+        sent = module._sent(d, b, "item_id", "text", 13)
+        assert len(sent) > 5 and all(sum(len(w) for _, w in x.value.items) < 60 + 72 for x in sent)
+        assert sorted(contamination(d, b).collect()) == one
+        assert {r.doc_id for r in module.without_contaminated(d, b).collect()} == {r.doc_id for r in one if not r.contaminated}
+        # rows are decided by their texts: repeated and missing ids do not matter
+        rows = [(1, items[-1][1]), (1, "clean words"), (None, items[-1][1]), (None, "clean words")]
+        left = module.without_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), b)
+        assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "clean words"), (1, "clean words")]

@@ -42,3 +42,14 @@ def test_odd_rows_pass(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
     assert docs.count() == 5
+
+
+def test_empty_tables_and_clashing_columns_pass(spark):
+    odd = "doc_id long, text string, lang string, source string, n_chars long, class string, kept boolean, spans string, row long, score double"
+    docs = spark.createDataFrame([(1, "some words here", "en", "s", 15, "c", True, "p", 1, 0.5), (2, "other words there", "en", "s", 17, "c", True, "p", 1, 0.5)], odd)
+    for rows in (docs, docs.limit(0)):
+        now = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, SF)
+            assert now.columns == docs.columns
+        assert now.count() == rows.count() == corpus_pipeline.packing(spark, now, SF).count()
