@@ -19,19 +19,29 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Pages of an archive; damage done to the second replica by page id.
-ARCHIVE_PAGES, CORRUPT, MISSING = 2000, (101, 7), (503, 11)
+#: Pages of an archive; by page id: records held twice, and the replica's altered, lost, repeated and added ones.
+ARCHIVE_PAGES, TWICE, CORRUPT, MISSING, REPEATED, ADDED = 2000, (887, 19), (101, 7), (503, 11), (701, 13), (811, 17)
+ADDED_ID = 1_000_000_000
 
 
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives of the pages against a replica in which some records are altered and some are lost."""
+    """Archives of the pages against a replica in which some records are altered, lost, repeated and added:
+    a row for each archive, and one for each damaged record."""
     from folioscope.llm.warc import fixity_report, record_table, replica_table
 
+    is_one = lambda of: F.col("page_id") % of[0] == of[1]
+    archive = F.floor(F.col("page_id") % ADDED_ID / ARCHIVE_PAGES)
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    index = record_table(pages, F.floor(F.col("page_id") / ARCHIVE_PAGES))
-    altered = F.when(F.col("page_id") % CORRUPT[0] == CORRUPT[1], F.concat(F.lit("#"), F.substr("html", F.lit(2)))).otherwise(F.col("html"))
-    replica = pages.filter(F.col("page_id") % MISSING[0] != MISSING[1]).withColumn("html", altered)
-    return fixity_report(index, replica_table(replica, index))
+    pages = pages.union(pages.filter(is_one(TWICE)))
+    index = record_table(pages, archive)
+    altered = F.when(is_one(CORRUPT), F.concat(F.lit("#"), F.substr("html", F.lit(2)))).otherwise(F.col("html"))
+    kept = pages.filter(~is_one(MISSING)).withColumn("html", altered)
+    added = kept.filter(is_one(ADDED)).withColumn("page_id", F.col("page_id") + ADDED_ID)
+    replica = kept.union(kept.filter(is_one(REPEATED))).union(added)
+    report, damaged = fixity_report(index, replica_table(replica, index, archive))
+    state = F.when(F.col("intact"), "intact").otherwise("differs").alias("state")
+    report = report.select("archive", F.lit(None).cast("long").alias("record_id"), F.lit(None).cast("long").alias("offset"), state, "n_records", "n_bytes", "root_a", "root_b", "n_ranges_differ", "n_damaged")
+    return report.unionByName(damaged, allowMissingColumns=True)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,16 +122,43 @@ def _warc_sql() -> str:
     from folioscope.llm.warc import FAN_OUT, LEVELS, RANGE_BYTES
 
     crlf = "chr(13) || chr(10)"
-    record = lambda body: f"'WARC/1.0' || {crlf} || 'WARC-Type: response' || {crlf} || 'WARC-Record-ID: <urn:record:' || page_id || '>' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '') || {crlf} || 'Content-Type: text/html' || {crlf} || 'Content-Length: ' || strlen({body}) || {crlf} || {crlf} || {body} || {crlf} || {crlf}"
-    altered = f"CASE WHEN page_id % {CORRUPT[0]} = {CORRUPT[1]} THEN '#' || substr(html, 2) ELSE html END"
-    parts = [f"p AS (SELECT page_id, page_id // {ARCHIVE_PAGES} AS archive, {record('html')} AS rec, {record(altered)} AS rec_b FROM pages)", "a AS (SELECT archive, page_id, rec_b, strlen(rec) AS len, sha256(rec) AS sha, coalesce(sum(strlen(rec)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM p)", f"b AS (SELECT archive, page_id, off, sha256(rec_b) AS sha FROM a WHERE page_id % {MISSING[0]} <> {MISSING[1]})"]
+
+    def record(body: str) -> str:
+        lines = ["'WARC/1.0'", "'WARC-Type: response'", "'WARC-Record-ID: <urn:record:' || page_id || '>'", "'WARC-Target-URI: ' || coalesce(url, '')", "'Content-Type: text/html'", f"'Content-Length: ' || strlen({body})", "''", body, "''"]
+        return f" || {crlf} || ".join(lines) + f" || {crlf}"
+
+    is_one = lambda of: f"page_id % {of[0]} = {of[1]}"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    parts = [
+        f"p AS (SELECT page_id, url, html FROM pages UNION ALL SELECT page_id, url, html FROM pages WHERE {is_one(TWICE)})",
+        f"h AS (SELECT page_id // {ARCHIVE_PAGES} AS archive, page_id AS id, strlen({record('html')}) AS len, sha256({record('html')}) AS sha FROM p)",
+        f"a AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY archive ORDER BY id, sha {before}), 0)::BIGINT AS off FROM h)",
+        f"q AS (SELECT page_id, url, CASE WHEN {is_one(CORRUPT)} THEN '#' || substr(html, 2) ELSE html END AS html FROM p WHERE NOT {is_one(MISSING)})",
+        f"q2 AS (SELECT * FROM q UNION ALL SELECT * FROM q WHERE {is_one(REPEATED)} UNION ALL SELECT page_id + {ADDED_ID}, url, html FROM q WHERE {is_one(ADDED)})",
+        f"g AS (SELECT page_id % {ADDED_ID} // {ARCHIVE_PAGES} AS archive, page_id AS id, strlen({record('html')}) AS len, sha256({record('html')}) AS sha FROM q2)",
+        "a1 AS (SELECT *, row_number() OVER (PARTITION BY archive, id, sha ORDER BY off) AS k FROM a)",
+        "b1 AS (SELECT g.*, row_number() OVER (PARTITION BY archive, id, sha) AS k FROM g)",
+        "b2 AS (SELECT b1.archive, b1.id, b1.len, b1.sha, a1.off FROM b1 LEFT JOIN a1 USING (archive, id, sha, k))",
+        "a3 AS (SELECT archive, id, off, row_number() OVER (PARTITION BY archive, id ORDER BY off) AS k FROM a WHERE (archive, off) NOT IN (SELECT (archive, off) FROM b2 WHERE off IS NOT NULL))",
+        "b3 AS (SELECT archive, id, len, sha, row_number() OVER (PARTITION BY archive, id ORDER BY sha) AS k FROM b2 WHERE off IS NULL)",
+        "b4 AS (SELECT b3.archive, b3.id, b3.len, b3.sha, a3.off FROM b3 LEFT JOIN a3 USING (archive, id, k))",
+        "e AS (SELECT archive, max(off + len) AS top FROM a GROUP BY archive)",
+        f"b5 AS (SELECT b4.archive, id, sha, (coalesce(top, 0) + coalesce(sum(len) OVER (PARTITION BY b4.archive ORDER BY id, sha {before}), 0))::BIGINT AS off FROM b4 LEFT JOIN e USING (archive) WHERE b4.off IS NULL)",
+        "b AS (SELECT archive, id, sha, off FROM b2 WHERE off IS NOT NULL UNION ALL SELECT archive, id, sha, off FROM b4 WHERE off IS NOT NULL UNION ALL SELECT archive, id, sha, off FROM b5)",
+    ]
     for t in ("a", "b"):
-        parts.append(f"{t}0 AS (SELECT archive, off // {RANGE_BYTES} AS node, sha256(string_agg(off || ':' || sha, ',' ORDER BY off)) AS digest FROM {t} GROUP BY ALL)")
-        parts += [f"{t}{k} AS (SELECT archive, node // {FAN_OUT} AS node, sha256(string_agg(digest, ',' ORDER BY {t}{k - 1}.node)) AS digest FROM {t}{k - 1} GROUP BY archive, {t}{k - 1}.node // {FAN_OUT})" for k in range(1, LEVELS + 1)]
-    parts.append("w AS (SELECT archive, count(*) AS n FROM a0 FULL JOIN b0 USING (archive, node) WHERE a0.digest IS DISTINCT FROM b0.digest GROUP BY archive)")
-    parts.append("d AS (SELECT a.archive, string_agg(CASE WHEN b.sha IS NULL THEN 'missing:' ELSE 'corrupt:' END || a.page_id, ',' ORDER BY a.off) AS damaged FROM a LEFT JOIN b USING (archive, page_id) WHERE a.sha IS DISTINCT FROM b.sha GROUP BY a.archive)")
-    parts.append("s AS (SELECT archive, count(*) AS n_records, sum(len)::BIGINT AS n_bytes FROM a GROUP BY archive)")
-    return "WITH " + ", ".join(parts) + f" SELECT s.archive::VARCHAR AS archive, n_records, n_bytes, ra.digest AS root_a, rb.digest AS root_b, ra.digest IS NOT DISTINCT FROM rb.digest AS intact, coalesce(w.n, 0) AS n_ranges_differ, coalesce(d.damaged, '') AS damaged FROM s LEFT JOIN a{LEVELS} ra ON ra.archive = s.archive LEFT JOIN b{LEVELS} rb ON rb.archive = s.archive LEFT JOIN w ON w.archive = s.archive LEFT JOIN d ON d.archive = s.archive"
+        parts.append(f"t{t}0 AS (SELECT archive, off // {RANGE_BYTES} AS node, sha256(string_agg(off || ':' || sha, ',' ORDER BY off)) AS digest FROM {t} GROUP BY ALL)")
+        parts += [f"t{t}{k} AS (SELECT archive, node // {FAN_OUT} AS node, sha256(string_agg(digest, ',' ORDER BY t{t}{k - 1}.node)) AS digest FROM t{t}{k - 1} GROUP BY archive, t{t}{k - 1}.node // {FAN_OUT})" for k in range(1, LEVELS + 1)]
+    parts += [
+        "w AS (SELECT archive, count(*) AS n FROM ta0 FULL JOIN tb0 USING (archive, node) WHERE ta0.digest IS DISTINCT FROM tb0.digest GROUP BY archive)",
+        "d AS (SELECT archive, coalesce(a.id, b.id) AS id, off, CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'extra' ELSE 'corrupt' END AS state FROM a FULL JOIN b USING (archive, off) WHERE a.sha IS DISTINCT FROM b.sha)",
+        "s AS (SELECT archive, count(*) AS n_records, sum(len)::BIGINT AS n_bytes FROM a GROUP BY archive)",
+        "c AS (SELECT archive, count(*) AS n FROM d GROUP BY archive)",
+    ]
+    return "WITH " + ", ".join(parts) + f""" SELECT archive::VARCHAR AS archive, NULL::BIGINT AS record_id, NULL::BIGINT AS "offset", CASE WHEN ra.digest IS NOT DISTINCT FROM rb.digest THEN 'intact' ELSE 'differs' END AS state,
+coalesce(n_records, 0) AS n_records, coalesce(n_bytes, 0) AS n_bytes, ra.digest AS root_a, rb.digest AS root_b, coalesce(w.n, 0) AS n_ranges_differ, coalesce(c.n, 0) AS n_damaged
+FROM ta{LEVELS} ra FULL JOIN tb{LEVELS} rb USING (archive) LEFT JOIN s USING (archive) LEFT JOIN w USING (archive) LEFT JOIN c USING (archive)
+UNION ALL SELECT archive::VARCHAR, id, off, state, NULL, NULL, NULL, NULL, NULL, NULL FROM d"""
 
 
 def _license_sql() -> str:

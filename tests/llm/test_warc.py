@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.llm import warc
-from folioscope.llm.warc import audit, fixity_report, merkle_tree, parse_warc, read_warc, record_table, replica_table
+from folioscope.llm.warc import audit, fixity_report, height, merkle_tree, parse_warc, read_warc, record_table, replica_table
 
 
 def _pages(spark, n=500):
@@ -26,13 +26,22 @@ def _root(rows):
     return level[0]
 
 
+def _found(index, replica):
+    report, damaged = fixity_report(index, replica)
+    listed = {}
+    for r in damaged.orderBy("offset").collect():
+        listed.setdefault(r.archive, []).append((r.state, r.record_id))
+    return {r.archive: r for r in report.collect()}, listed
+
+
 def test_damage_is_found_and_only_there(spark):
     pages = _pages(spark)
-    index = record_table(pages, F.floor(F.col("page_id") / 200))
+    archive = F.floor(F.col("page_id") / 200)
+    index = record_table(pages, archive)
     bad = pages.filter("page_id NOT IN (77, 333)").withColumn("html", F.when(F.col("page_id").isin(5, 250), F.lit("zz")).otherwise(F.col("html")))
-    rows = {r.archive: r for r in fixity_report(index, replica_table(bad, index)).collect()}
-    assert {a: r.damaged for a, r in rows.items()} == {"0": "corrupt:5,missing:77", "1": "corrupt:250,missing:333", "2": ""}
-    assert [rows[a].intact for a in "012"] == [False, False, True]
+    rows, listed = _found(index, replica_table(bad, index, archive))
+    assert listed == {"0": [("corrupt", 5), ("missing", 77)], "1": [("corrupt", 250), ("missing", 333)]}
+    assert [(rows[a].intact, rows[a].n_damaged) for a in "012"] == [(False, 2), (False, 2), (True, 0)]
     held = {}
     for r in index.collect():
         held.setdefault(r.archive, []).append(r)
@@ -48,20 +57,56 @@ def test_damage_is_found_and_only_there(spark):
 def test_descends_only_where_nodes_differ(spark):
     pages = _pages(spark)
     index = record_table(pages, F.lit("w"))
-    other = replica_table(pages.withColumn("html", F.when(F.col("page_id") == 123, F.lit("q")).otherwise(F.col("html"))), index)
-    nodes, damaged = audit(index, other, merkle_tree(index), merkle_tree(other))
-    assert sorted(r.level for r in nodes.collect()) == list(range(warc.LEVELS + 1))
+    other = replica_table(pages.withColumn("html", F.when(F.col("page_id") == 123, F.lit("q")).otherwise(F.col("html"))), index, F.lit("w"))
+    levels = height(index, other)
+    nodes, damaged = audit(index, other, merkle_tree(index, levels), merkle_tree(other, levels), levels)
+    assert sorted(r.level for r in nodes.collect()) == list(range(levels + 1))
     assert [(r.record_id, r.state) for r in damaged.collect()] == [(123, "corrupt")]
 
 
 def test_odd_tables(spark):
     odd = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", ""), (None, "u", "x"), (9, "v", "y" * 200_000)], "page_id long, url string, html string")
     index = record_table(odd, F.lit("w"))
-    row = fixity_report(index, index).first()
-    assert row.intact and row.n_records == 5 and row.damaged == ""
-    assert fixity_report(index.limit(0), index.limit(0)).count() == 0
-    lone = fixity_report(index, index.limit(0)).first()
-    assert not lone.intact and lone.root_b is None and lone.damaged.count("missing") == 5
+    rows, listed = _found(index, index)
+    assert rows["w"].intact and rows["w"].n_records == 5 and not listed
+    assert fixity_report(index.limit(0), index.limit(0))[0].count() == 0
+    rows, listed = _found(index, index.limit(0))
+    assert not rows["w"].intact and rows["w"].root_b is None and [s for s, _ in listed["w"]] == ["missing"] * 5
+
+
+@pytest.mark.parametrize("partitions", ["1", "5"])
+def test_repeats_extras_and_null_keys(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        make = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string")
+        rows = [(1, "u", "a"), (2, "u", "b"), (2, "u", "b"), (2, "u", "c"), (3, "u", "d"), (None, "u", "x"), (None, None, "x")]
+        index = record_table(make(rows), F.lit(None))
+        whole, listed = _found(index, replica_table(make(rows[::-1]), index, F.lit(None)))
+        assert whole[""].intact and not listed  # a repeated id, null ids, a null archive
+        other = [*rows[:2], (2, "u", "changed"), rows[3], *rows[4:], (9, "u", "new"), (9, "u", "new"), (1, "u", "a")]
+        whole, listed = _found(index, replica_table(make(other), index, F.lit(None)))
+        assert not whole[""].intact and whole[""].n_damaged == 4
+        assert sorted(listed[""]) == [("corrupt", 2), ("extra", 1), ("extra", 9), ("extra", 9)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_long_archives_have_one_root(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 300)
+    monkeypatch.setattr(warc, "FAN_OUT", 2)
+    pages = _pages(spark, 60)
+    index = record_table(pages, F.lit("w"))
+    assert height(index) > warc.LEVELS
+    rows, _ = _found(index, replica_table(pages.filter("page_id <> 7"), index, F.lit("w")))
+    assert len(rows) == 1 and rows["w"].n_records == 60 and rows["w"].n_damaged == 1
+
+
+def test_running_sums_of_groups_of_any_size(spark):
+    rows = [(g, i, i % 7 + 1) for g, n in (("a", 300), ("b", 3), (None, 2)) for i in range(n) if g]
+    got = warc.running(spark.createDataFrame(rows, "g string, i long, x long").repartition(6), ["g"], ["i"], F.col("x"), "before")
+    for r in got.collect():
+        assert r.before == sum(i % 7 + 1 for i in range(r.i))
 
 
 def _record(i, block):
@@ -78,4 +123,28 @@ def test_reads_warc_files(spark, tmp_path, packed):
     assert [bytes(r.payload) for r in rows] == blocks
     assert [r.offset for r in rows] == [sum(map(len, raw[:i])) for i in range(4)]
     assert [r.sha256 for r in rows] == [hashlib.sha256(b).hexdigest() for b in blocks]
-    assert list(parse_warc(b"")) == [] and list(parse_warc(b"WARC/1.0\r\ncut")) == []
+    assert list(parse_warc(b"")) == []
+
+
+def test_damaged_files_give_errors_and_go_on(spark, tmp_path):
+    good = [_record(i, b"block %d" % i * 20) for i in range(3)]
+    errors = lambda data: [(h.get("warc-record-id"), e) for _, h, _, e in parse_warc(data)]
+    fine = [(f"<urn:{i}>", None) for i in range(3)]
+    assert errors(b"".join(good)) == fine
+    assert errors(b"WARC/1.0\r\ncut") == [(None, "cut")]
+    for size in (b"five", b"-50", b""):
+        broken = good[1].replace(b"Content-Length: 140", b"Content-Length: " + size)
+        assert errors(good[0] + broken + good[2]) == [fine[0], ("<urn:1>", "bad length"), fine[2]]
+    assert errors(good[0] + b"junk\r\n\r\n" + good[2]) == [fine[0], (None, "no record"), fine[2]]
+    assert errors(good[0] + good[1][:-30]) == [fine[0], ("<urn:1>", "cut")]
+    packed = [gzip.compress(x) for x in good]
+    assert errors(b"".join(packed)) == fine and errors(gzip.compress(b"".join(good))) == fine
+    flipped = bytearray(packed[1])
+    flipped[len(flipped) // 2] ^= 0xFF
+    got = errors(packed[0] + bytes(flipped) + packed[2])
+    assert got[0] == fine[0] and got[-1] == fine[2] and any(e == "bad gzip" for _, e in got)
+    assert errors(packed[0] + packed[1][:-12])[-1][1] == "cut"
+    (tmp_path / "x.warc.gz").write_bytes(packed[0] + bytes(flipped) + packed[2])
+    assert read_warc(spark, str(tmp_path)).filter("error IS NULL").count() == 2
+    big = b"".join(gzip.compress(_record(i, b"x" * 1000)) for i in range(20_000))
+    assert sum(1 for _ in parse_warc(big)) == 20_000
