@@ -1,17 +1,22 @@
 """Operator 10, main text of web pages by wrapper induction.
 
 Pages of a host share a template. Each page's element tree is aligned with that of one base page
-of its host by simple tree matching (the most nodes that match in order, level by level). A base
-node whose text is the same on at least CONSTANT of all the host's pages, and on CONSTANT_LEAST of
-them, is template; nodes whose text varies are slots. Slots become content unless the template
-element around them has another role (menu, header, footer, sidebar, notice, advert, form, comments),
-which its tag, class, id or role names. Where a page marks its article, only slots in it count.
-
-The supports are counts over all pages, pre-aggregated before they are shuffled. Base pages are sent
-to all tasks only if the hosts are few (BROADCAST_HOSTS); else they are joined by host.
+of its host by simple tree matching (the most nodes that match in order, level by level). A block of
+text has its place by the nearest ancestor that matches a base node, and the labels below it. Over all
+distinct pages of the host each place's texts are counted: a text that CONSTANT of the pages with that
+place share (LEAST pages at least) is template, as is a place outside an article that holds nothing
+but links on most pages; what varies are slots, and slots are content. Elements that
+say another role (menu, header, footer, sidebar, notice, advert, form, comments) by tag or name are no
+slots. A name counts only as the noun of a class or id ("cookie-notice" is one, "notice-of-intent" is
+none), never on html, body, main and article, and a header's never within an article. Where a page
+marks its article, only slots in it count. A page whose slots are all constant (copies) keeps them.
+
+Counts are pre-aggregated before they are shuffled. Base pages are sent to all tasks only if they are
+few bytes (BROADCAST_BYTES); else they are joined by host.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; broken,
-cut or deeply nested markup is read as far as it goes; repeated pages are extracted one by one.
+cut or deeply nested markup is read as far as it goes; repeated pages are extracted one by one and
+count as one page.
 """
 
 from __future__ import annotations
@@ -20,22 +25,26 @@ import html
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import keep_only, materialise, remembers, slices
 
-CONSTANT, CONSTANT_LEAST = 0.5, 5
-BROADCAST_HOSTS = 2_000
-#: Cells of one alignment table; longer child lists are aligned from both ends towards the middle.
+CONSTANT, LEAST, LINKED = 0.5, 3, 0.5
+BROADCAST_BYTES = 32_000_000
+#: Cells of one alignment table; longer child lists are cut at common ends, single labels and halves.
 MATCH_CELLS = 250_000
-DEPTH = 120
 
 # Elements without end tag, elements that begin a block, elements and names that are no article text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _OTHER = frozenset("aside button canvas dialog footer form head header iframe input menu nav noscript object option script select style svg template textarea title".split())
 _NAMES = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted recommended related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+_HEADS = frozenset("banner header masthead".split())
+#: Words that say what an element holds others in, not what it is about; and those that deny a name.
+_HOLDERS = frozenset("area articles bar block box buttons container inner items left links list panel posts region right row section slot stories unit wrap wrapper".split())
+_DENIALS = frozenset("has hide is no not with without".split())
 _ROLES = frozenset("banner complementary contentinfo dialog form navigation search alert".split())
 #: A start tag of these ends open elements of the listed kinds.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -43,44 +52,57 @@ _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z!?][^>]*\Z""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_NAME = re.compile(r"[a-z0-9]+")
+_NAME = re.compile(r"[a-z]+|[0-9]+")
 _RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>?", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe")}
 
 
 class Node:
-    __slots__ = ("tag", "label", "kids", "off", "inside", "shape", "blocks", "at")
+    __slots__ = ("tag", "label", "up", "kids", "off", "inside", "linked", "shape", "at")
 
-    def __init__(self, tag: str, label: str, off: bool, inside: bool):
-        self.tag, self.label, self.off, self.inside = tag, label, off, inside
+    def __init__(self, tag: str, label: str, up: Node | None, off: bool, inside: bool):
+        self.tag, self.label, self.up, self.off, self.inside = tag, label, up, off, inside
+        self.linked = tag == "a" or up is not None and up.linked
         self.kids: list[Node] = []
-        self.blocks: list[str] = []
         self.shape = self.at = -1
 
 
+def _named_role(word: str, inside: bool) -> bool:
+    """Whether a class or id names a role: its noun, when words for holders are taken off its end."""
+    if word in _NAMES:
+        return not (inside and word in _HEADS)
+    parts = _NAME.findall(word)
+    if not parts or parts[0] in _DENIALS:
+        return False
+    while len(parts) > 1 and (parts[-1] in _HOLDERS or parts[-1].isdigit()):
+        parts.pop()
+    return parts[-1] in _NAMES and not (inside and parts[-1] in _HEADS)
+
+
 def _role_off(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
     """The class part of an element's label, and whether its role is another than content."""
     off = tag in _OTHER and not (inside and tag == "header")
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return "", off
-    label = ""
+    label, named = "", tag not in ("html", "body", "main", "article")
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
             label = label or value if name == "class" else label
-            words = value.lower()
-            off = off or words in _NAMES or any(w in _NAMES for part in words.split() for w in (part, *_NAME.findall(part)))
+            off = off or named and any(_named_role(x, inside) for x in value.lower().split())
         elif name == "role":
-            off = off or value.lower() in _ROLES
+            off = off or value.lower() in _ROLES and not (inside and value.lower() in _HEADS)
         elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
             off = True
     return label, off
 
 
-def parse(page: str) -> tuple[Node, list[tuple[str, Node]], bool]:
-    """The element tree, the text blocks in page order with their elements, whether it has an article."""
-    root = Node("#root", "#root", False, False)
+def parse(page: str) -> tuple[Node, list[tuple[str, Node, bool]], bool]:
+    """The element tree, the text blocks in page order with their elements and whether they are mostly
+    links, and whether the page has an article."""
+    root = Node("#root", "#root", None, False, False)
     stack, order, text, marked = [root], [], [], False
-    at, find = 0, _TOKEN.search
+    opened: dict[str, int] = {}
+    at, find, sizes = 0, _TOKEN.search, [0, 0]
 
     def flush() -> None:
         if text:
@@ -88,43 +110,52 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]], bool]:
             text.clear()
             if block:
                 owner = next(x for x in reversed(stack) if x.tag in _BLOCK or x is root)
-                owner.blocks.append(block)
-                order.append((block, owner))
+                order.append((block, owner, sizes[1] >= LINKED * sizes[0]))
+            sizes[:] = 0, 0
+
+    def add(piece: str) -> None:
+        text.append(piece)
+        size = len(piece.strip())
+        sizes[0] += size
+        sizes[1] += size * stack[-1].linked
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
 
     while m := find(page, at):
         if m.start() > at and not stack[-1].off:
-            text.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if not tag:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if any(x.tag in _BLOCK for x in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
-            else:
-                if tag in _BLOCK:
+            if opened.get(tag):
+                k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag)
+                if any(x.tag in _BLOCK for x in stack[k:]):
                     flush()
+                close(k)
+            elif tag in _BLOCK:
+                flush()
             continue
-        block = tag in _BLOCK
-        if block:
+        if tag in _BLOCK:
             flush()
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in _BLOCK:
-                    break
-        if tag in _ENDS:
+            if opened.get("p"):
+                for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
+                    if stack[k].tag == "p":
+                        close(k)
+                        break
+                    if stack[k].tag in _BLOCK:
+                        break
+        if tag in _ENDS and any(opened.get(x) for x in _ENDS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in _HOLDS[tag]:
                     break
                 if stack[k].tag in _ENDS[tag]:
-                    del stack[k:]
+                    close(k)
                     break
         if tag == "br":
             text.append(" ")
@@ -132,15 +163,16 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]], bool]:
         name, off = _role_off(tag, m[3], up.inside)
         inside = up.inside or tag in ("article", "main") and not up.off
         marked = marked or inside
-        node = Node(tag, f"{tag}.{name}" if name else tag, up.off or off, inside)
+        node = Node(tag, f"{tag}.{name}" if name else tag, up, up.off or off, inside)
         up.kids.append(node)
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in _VOID and not m[3].endswith("/") and len(stack) < DEPTH:
+        elif tag not in _VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     if at < len(page) and not stack[-1].off:
-        text.append(page[at:])
+        add(page[at:])
     flush()
     return root, order, marked
 
@@ -151,13 +183,12 @@ class Wrapper:
     def __init__(self, base: str):
         self.shapes: dict[tuple, int] = {}
         self.known: dict[tuple[int, int], int] = {}
-        self.root = parse(base)[0]
-        self.nodes: list[Node] = []
+        self.root, self.size, stack = parse(base)[0], 0, []
         stack = [self.root]
         while stack:
             node = stack.pop()
-            node.at = len(self.nodes)
-            self.nodes.append(node)
+            node.at = self.size
+            self.size += 1
             stack.extend(reversed(node.kids))
         self._shape(self.root)
 
@@ -173,15 +204,28 @@ class Wrapper:
                 todo.extend((k, False) for k in node.kids)
 
     def _value(self, a: Node, b: Node) -> int:
-        if a.label != b.label:
-            return 0
+        """Nodes matched below two elements of one label, themselves included; inner pairs come first."""
         if not a.kids or not b.kids:
             return 1
-        key = (a.shape, b.shape)
-        got = self.known.get(key)
-        if got is None:
-            got = self.known[key] = 1 + self._table(a.kids, b.kids)[-1][-1]
-        return got
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            key = (x.shape, y.shape)
+            if key in self.known:
+                todo.pop()
+                continue
+            xs = {k.shape: k for k in x.kids if k.kids}.values()
+            ys = {k.shape: k for k in y.kids if k.kids}.values()
+            inner = [(i, j) for i in xs for j in ys if i.label == j.label and (i.shape, j.shape) not in self.known]
+            if inner:
+                todo += inner
+                continue
+            todo.pop()
+            if len(x.kids) * len(y.kids) > MATCH_CELLS:
+                self.known[key] = 1 + sum(self.known.get((i.shape, j.shape), 1) for i, j in self._pairs(x.kids, y.kids))
+            else:
+                self.known[key] = 1 + self._table(x.kids, y.kids)[-1][-1]
+        return self.known[a.shape, b.shape]
 
     def _table(self, xs: list[Node], ys: list[Node]) -> list[list[int]]:
         prev = [0] * (len(ys) + 1)
@@ -214,22 +258,46 @@ class Wrapper:
                     todo.append((x, y))
         return out
 
-    def _pairs(self, xs: list[Node], ys: list[Node]):
-        labels = [x.label for x in xs]
-        if labels == [y.label for y in ys] and len(set(labels)) == len(labels):
-            return list(zip(xs, ys))
-        if xs and ys and len({x.shape for x in xs} | {y.shape for y in ys}) == 1:
-            return list(zip(xs, ys))
-        if len(xs) * len(ys) > MATCH_CELLS:
-            n, out, k = min(len(xs), len(ys)), [], 0
-            while k < n and xs[k].label == ys[k].label:
-                out.append((xs[k], ys[k]))
-                k += 1
-            e = 1
-            while e <= n - k and xs[-e].label == ys[-e].label:
-                out.append((xs[-e], ys[-e]))
-                e += 1
-            return out
+    def _pairs(self, xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+        """Children matched in order. Lists too long for a table are cut where both begin or end alike,
+        then at labels that both hold once, then in halves, until tables take them."""
+        out, todo = [], [(xs, ys)]
+        while todo:
+            xs, ys = todo.pop()
+            if not xs or not ys:
+                continue
+            labels, others = [x.label for x in xs], [y.label for y in ys]
+            if labels == others and (len(set(labels)) == len(labels) or len({x.shape for x in xs} | {y.shape for y in ys}) == 1):
+                out += zip(xs, ys)
+            elif len(xs) * len(ys) <= MATCH_CELLS:
+                out += self._traced(xs, ys)
+            else:
+                todo += self._cut(xs, ys, labels, others, out)
+        return out
+
+    def _cut(self, xs: list[Node], ys: list[Node], labels: list[str], others: list[str], out: list) -> list[tuple[list, list]]:
+        n, head = min(len(xs), len(ys)), 0
+        while head < n and labels[head] == others[head]:
+            head += 1
+        tail = 0
+        while tail < n - head and labels[-tail - 1] == others[-tail - 1]:
+            tail += 1
+        out += zip(xs[:head], ys[:head])
+        if tail:
+            out += zip(xs[-tail:], ys[-tail:])
+        xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+        labels, others = labels[head : head + len(xs)], others[head : head + len(ys)]
+        if len(xs) * len(ys) <= MATCH_CELLS:
+            return [(xs, ys)]
+        where = {x: j for j, x in enumerate(others) if others.count(x) == 1} if len(set(others)) > 1 else {}
+        i = next((i for i in sorted(range(len(xs)), key=lambda i: abs(2 * i - len(xs))) if labels[i] in where and labels.count(labels[i]) == 1), None) if where else None
+        if i is None:
+            return [(xs[: len(xs) // 2], ys[: len(ys) // 2]), (xs[len(xs) // 2 :], ys[len(ys) // 2 :])]
+        j = where[labels[i]]
+        out.append((xs[i], ys[j]))
+        return [(xs[:i], ys[:j]), (xs[i + 1 :], ys[j + 1 :])]
+
+    def _traced(self, xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
         table, out, i, j = self._table(xs, ys), [], len(xs), len(ys)
         while i and j:
             if table[i][j] == table[i - 1][j]:
@@ -242,21 +310,36 @@ class Wrapper:
         return out
 
 
-_BLOCKS = "array<struct<text:string,node:int,same:boolean>>"
+def _place(owner: Node, to: dict[int, int]) -> int:
+    """Where a block stands: a hash of its nearest matched ancestor's base node and the labels below it,
+    so that a list's items have one place however many there are."""
+    labels = []
+    while owner.up is not None:
+        labels.append(owner.label)
+        owner = owner.up
+        if id(owner) in to:
+            break
+    return xxhash.xxh64_intdigest("\0".join([str(to[id(owner)]), *labels])) - (1 << 63)
+
+
+_BLOCKS = "array<struct<text:string,place:long,value:long,links:boolean>>"
 _WRAPPERS: dict[str, Wrapper] = {}
 remembers("wrappers", _WRAPPERS.clear)
 
 
-def aligned(pages: DataFrame) -> DataFrame:
-    """page_id, url, host and its slots: blocks of possible content, each with the base node that it
-    is aligned with (-1: none) and whether the texts agree. One pass over the pages."""
+def aligned(pages: DataFrame, sent) -> DataFrame:
+    """page_id, url, host, page (a digest) and its slots: blocks of possible content, each with its place,
+    a hash of its text and whether it is mostly links outside an article. One pass over the pages; base
+    pages are those of `sent` by host, or without it of the column base."""
 
     def run(batches):
         keep_only("wrappers")
-        kind = pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32()), ("same", pa.bool_())]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("place", pa.int64()), ("value", pa.int64()), ("links", pa.bool_())]))
         for b in slices(batches, rows=256):
-            out = []
-            for host, page, base in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("base").to_pylist()):
+            out, digests = [], []
+            hosts = b.column("host").to_pylist()
+            bases = map(sent.value.get, hosts) if sent else b.column("base").to_pylist()
+            for host, page, base in zip(hosts, b.column("html").to_pylist(), bases):
                 wrapper = _WRAPPERS.get(host)
                 if wrapper is None or wrapper.source != base:
                     if len(_WRAPPERS) >= 64:
@@ -266,31 +349,51 @@ def aligned(pages: DataFrame) -> DataFrame:
                 root, order, marked = parse(page or "")
                 to = wrapper.match(root)
                 slots = []
-                for block, owner in order:
+                for block, owner, links in order:
                     if not owner.off and (owner.inside or not marked):
-                        node = to.get(id(owner), -1)
-                        slots.append({"text": block, "node": node, "same": node >= 0 and block in wrapper.nodes[node].blocks})
+                        value = xxhash.xxh64_intdigest(block) - (1 << 63)
+                        slots.append({"text": block, "place": _place(owner, to), "value": value, "links": links and not owner.inside})
                 out.append(slots)
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), pa.array(out, kind)], names=["page_id", "url", "host", "slots"])
+                digests.append(xxhash.xxh64_intdigest(page or "") - (1 << 63))
+            columns = [b.column("page_id"), b.column("url"), b.column("host"), pa.array(digests, pa.int64()), pa.array(out, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "page", "slots"])
+
+    columns = ["page_id", "url", "host", "html"] + ["base"] * (not sent)
+    return pages.select(columns).mapInArrow(run, f"page_id long, url string, host string, page long, slots {_BLOCKS}")
+
 
-    return pages.select("page_id", "url", "host", "html", "base").mapInArrow(run, f"page_id long, url string, host string, slots {_BLOCKS}")
+def templates(slots: DataFrame) -> DataFrame:
+    """Per host its template: values (place and text that are constant) and links (places of links)."""
+    seen = slots.select("host", "page", F.explode("slots").alias("s")).select("host", "page", "s.place", "s.value", "s.links").distinct()
+    pages = seen.groupBy("host", "place").agg(F.count_distinct("page").alias("pages"), F.count_distinct(F.when(~F.col("links"), F.col("page"))).alias("texts"))
+    pages = pages.filter(F.col("pages") >= LEAST)
+    same = seen.groupBy("host", "place", "value").agg(F.count_distinct("page").alias("same")).filter(F.col("same") >= LEAST)
+    constant = same.join(pages, ["host", "place"]).filter(F.col("same") >= CONSTANT * F.col("pages"))
+    values = constant.groupBy("host").agg(F.collect_set(F.struct("place", "value")).alias("values"))
+    links = pages.filter(F.col("texts") <= (1 - LINKED) * F.col("pages")).groupBy("host").agg(F.collect_set("place").alias("links"))
+    return values.join(links, "host", "full_outer")
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    order = F.xxhash64("page_id")
-    chosen = src.groupBy("host").agg(F.min(order).alias("o"))
-    few = chosen.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    order = F.xxhash64("html")
+    chosen = materialise(src.groupBy("host").agg(F.min(F.struct(order.alias("o"), F.octet_length("html").alias("size"))).alias("c")).select("host", "c.o", "c.size"), "base-pages")
+    few = (chosen.agg(F.sum(F.coalesce("size", F.lit(0)) + F.octet_length("host") + 100)).first()[0] or 0) <= BROADCAST_BYTES
     # a written table is shuffled by itself, so that the pages of a hot host can be split in the join
-    sent = F.broadcast if few else (lambda df: materialise(df, "by-host"))
-    bases = src.withColumn("o", order).join(sent(chosen), ["host", "o"]).groupBy("host").agg(F.min("html").alias("base"))
-    slots = materialise(aligned(src.join(sent(bases), "host")), "page-slots")
-    node = slots.select("host", F.explode("slots").alias("s")).filter("s.node >= 0").groupBy("host", "s.node").agg(F.sum(F.col("s.same").cast("long")).alias("same"))
-    sizes = slots.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    template = node.join(sizes, "host").filter((F.col("same") >= CONSTANT_LEAST) & (F.col("same") >= CONSTANT * F.col("n"))).groupBy("host").agg(F.collect_set("node").alias("template"))
-    kept = F.filter("slots", lambda s: ~(s["same"] & F.array_contains(F.col("template"), s["node"])) | F.col("template").isNull())
-    text = F.array_join(F.transform(kept, lambda s: s["text"]), "\n")
-    out = slots.join(sent(template), "host", "left").select("page_id", "url", text.alias("text"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    join = F.broadcast if few else (lambda df: materialise(df, "by-host"))
+    bases = src.withColumn("o", order).join(join(chosen.select("host", "o")), ["host", "o"]).groupBy("host").agg(F.min("html").alias("base"))
+    if few:
+        sent = src.sparkSession.sparkContext.broadcast({r.host: r.base for r in bases.collect()})
+        slots = materialise(aligned(src, sent), "page-slots")
+    else:
+        slots = materialise(aligned(src.join(join(bases), "host", "left"), None), "page-slots")
+    template = materialise(templates(slots), "page-templates")
+    template = F.broadcast(template) if few else template
+    constant = lambda s: F.coalesce(F.array_contains("values", F.struct(s["place"], s["value"])), F.lit(False))
+    linked = lambda s: s["links"] & F.coalesce(F.array_contains("links", s["place"]), F.lit(False))
+    kept = F.filter("slots", lambda s: ~constant(s) & ~linked(s))
+    out = slots.join(template, "host", "left").select("page_id", "url", F.when(F.size(kept) > 0, kept).otherwise(F.col("slots")).alias("kept"))
+    text = F.array_join(F.transform("kept", lambda s: s["text"]), "\n")
+    return out.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -38,7 +38,7 @@ def test_many_hosts_are_joined(spark, monkeypatch):
     rows = [(i, f"http://{'a' if i % 3 else i}.example/{i}", PAGE.replace("{i}", str(i))) for i in range(24)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     sent = {r.page_id: r.text for r in main_text(df).collect()}
-    monkeypatch.setattr(module, "BROADCAST_HOSTS", 2)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 2)
     assert {r.page_id: r.text for r in main_text(df).collect()} == sent == {i: _text(i, i % 3 == 0) for i in range(24)}
 
 
@@ -70,3 +70,40 @@ def test_matching_is_the_largest_ordered_one():
         to = w.match(root)
         assert len(to) == _brute(root, w.root)
         assert len(set(to.values())) == len(to)
+
+
+def test_long_lists_and_deep_markup():
+    item = lambda k: f"<p><b>{k}</b></p>" if k % 3 else f"<div>{k}</div>"
+    base = "<ul>" + "".join(map(item, range(900))) + "</ul>"
+    more = "<ul>" + "<h2>new</h2>" + "".join(map(item, range(450))) + "<h3>in between</h3>" + "".join(map(item, range(450, 900))) + "<h4>end</h4></ul>"
+    w = Wrapper(base)
+    root, order, _ = parse(more)
+    to = w.match(root)
+    assert len(set(to.values())) == len(to) > 0.9 * w.size
+    # an inserted item in a long list ends no match
+    assert sum(id(owner) in to for _, owner, _ in order) > 800
+    deep = "<div>" * 5000 + "<nav>menu</nav><p>text</p>" + "</div>" * 5000
+    w = Wrapper(deep)
+    assert len(w.match(parse(deep)[0])) == w.size
+    assert [b for b, owner, _ in parse("<div id=page><article>" + deep + "<p>after</p></article></div>")[1] if not owner.off and owner.inside] == ["text", "after"]
+
+
+def _texts(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", x) for i, x in enumerate(pages)], "page_id long, url string, html string").repartition(2)
+    return [r.text for r in main_text(df).orderBy("page_id").collect()]
+
+
+def test_names_are_nouns_and_copies_keep_their_text(spark):
+    page = '<body class="has-sidebar"><div class="site-header">x</div><article class="comments-open"><div class="article-header"><h1>Head</h1></div><div class="social-science">a</div><p class="related-work">b</p><p class="menu-recipes">c</p><p id="comments-policy">d</p><div class="banner-history">e</div><div class="share-buttons">s</div><div class="comments-area">r</div><div class="cookie-notice">n</div><div class="ad-slot-2">v</div></article></body>'
+    assert _texts(spark, [page] * 6) == ["Head\na\nb\nc\nd\ne"] * 6
+
+
+def test_alignment_finds_what_the_base_page_lacks(spark):
+    # no names: a notice that some pages have, a constant line after lists of any length, menus whose links vary
+    def page(i):
+        menu = "".join(f'<div><a href="/{i}{k}">go {i} {k}</a></div>' for k in range(3))
+        notice = "<section><p>The site is down on Monday.</p></section>" if i % 3 == 0 else ""
+        return f"<div><div>{menu}</div>{notice}<section><h1>Title {i}</h1>" + "".join(f"<p>Text {i} {k}.</p>" for k in range(i % 4 + 1)) + "<p>Follow us everywhere.</p></section></div>"
+
+    for i, text in enumerate(_texts(spark, [page(i) for i in range(30)])):
+        assert text == "\n".join([f"Title {i}", *(f"Text {i} {k}." for k in range(i % 4 + 1))])
