@@ -65,15 +65,38 @@ def test_pack_small(spark):
     assert len(places) <= -(-total // 64) + 3
 
 
-def test_pack_many_tasks_merges_up_the_tree(spark):
-    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('word ', cast(1 + id % 37 as int)) AS text").repartition(80)
-    rows = pack(docs, P.path("byte_bpe_50k.json"), 2, spaced=True, size=128).collect()
+@pytest.mark.parametrize("chunk", [200_000, 7])
+def test_pack_many_tasks_merges_up_the_tree(spark, monkeypatch, chunk):
+    from folioscope.llm import packing as module
+
+    monkeypatch.setattr(module, "FAN_IN", 4)
+    monkeypatch.setattr(module, "CHUNK", chunk)
+    docs = spark.range(1600).selectExpr("id AS doc_id", "repeat('word ', cast(1 + id * 7919 % 97 as int)) AS text").repartition(80)
+    rows = pack(docs, P.path("byte_bpe_50k.json"), 2, spaced=True, size=256).collect()
     total = sum(r.length for r in rows)
-    # each of 80 tasks has a bin of about 104 ids of its own; merging whole bins saves some
-    assert len(rows) == 400 and len({r.sequence_id for r in rows}) < 80 and total > 128 * 60
-    for s in {r.sequence_id for r in rows}:
-        own = sorted((r.offset, r.length) for r in rows if r.sequence_id == s)
-        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]]
+    assert len(rows) == 1600 and len({r.sequence_id for r in rows}) <= 1.01 * (total / 256) + 1
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in map(sorted, places.values()):
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(own[-1]) <= 256
+
+
+def test_groups_of_the_tree_stay_bounded():
+    import pandas as pd
+
+    from folioscope.llm.packing import FAN_IN, HANDED, _merge, handed_on
+
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 900, 5000)
+    bins, at, fills = best_fit(lengths, 1024)
+    assert handed_on(np.array(fills), 1024).sum() <= HANDED
+    # a group at its largest: FAN_IN tasks with HANDED bins each; it hands on no more than one of them did
+    rows = pd.DataFrame({"bin": bins, "at": at, "length": lengths, "root": bins, "place": at, "live": True, "node": 7})
+    rows = rows[rows["bin"] < FAN_IN * HANDED]
+    out = _merge(1024, 2)(rows)
+    assert len(out) == len(rows) and out[out["live"]]["root"].nunique() <= HANDED
+    assert (out["root"] < 0).all() and (out.groupby("root")["length"].sum() <= 1024).all()
 
 
 def test_pack_empty(spark):
@@ -95,6 +118,40 @@ def test_token_files_round_trip(spark, tmp_path):
     assert len(rows) == len(texts)
 
 
+def test_shards_follow_the_bytes(spark, tmp_path, monkeypatch):
+    from folioscope.llm import token_files as module
+
+    path = P.path("word_bpe_49k.json")
+    docs = spark.range(300).selectExpr("id % 40 - 3 AS doc_id", "concat('text ', id, repeat(' of some words', cast(id as int))) AS text").repartition(4)
+    monkeypatch.setattr(module, "SHARD_BYTES", 20_000)
+    out = f"file://{tmp_path}/many"
+    stale = tmp_path / "many" / "shard-00000-0.bin"
+    stale.parent.mkdir()
+    stale.write_bytes(b"of a lost attempt")
+    manifest = module.write_token_files(docs, out, path, 2, spaced=False)
+    sizes = [r.n_ids * 2 for r in manifest.collect()]
+    assert len(sizes) > 10 and max(sizes) < 60_000 and not stale.exists()
+    # a repeated id may lie in several shards; ids ascend over all of them
+    rows = module.read_token_files(spark, out, with_ids=True).orderBy("start").collect()
+    assert len(rows) == 300 and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1]]
+    monkeypatch.setattr(module, "SHARD_BYTES", 64 << 20)
+    one = module.write_token_files(docs, f"file://{tmp_path}/few", path, 2, spaced=False)
+    assert one.count() == 1
+    assert module.read_token_files(spark, f"file://{tmp_path}/few", with_ids=True).orderBy("start").collect() == rows
+
+
+def test_files_of_a_remote_store_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from folioscope.llm import token_files as module
+
+    (tmp_path / "x.bin").write_bytes(np.arange(100, dtype="<u2").tobytes())
+    assert module._ranges(f"file://{tmp_path}", "x.bin", "<u2")(3, 6).tolist() == [3, 4, 5]
+    monkeypatch.setattr(module, "_filesystem", lambda uri: (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), ""))
+    assert module._ranges("store://x", "x.bin", "<u2")(97, 100).tolist() == [97, 98, 99]
+
+
 def test_token_files_empty_and_repeated(spark):
     assert token_files(_frame(spark, []), P.path("word_bpe_49k.json"), 2, spaced=False).count() == 0
     twice = _frame(spark, ["a b"]).union(_frame(spark, ["a b"]))
