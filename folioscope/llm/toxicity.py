@@ -2,15 +2,17 @@
 
 Features of a text are the distinct hashes of its words, neighbouring pairs and pairs with one word
 between. Training is the FTRL-proximal update with a rate per coordinate and L1, so most weights are
-exactly zero: what is sent to the executors are the few that are not, WEIGHTS_MOST at most.
+exactly zero: what is sent to the executors are the few that are not.
 
 Labels are learned only from rows whose crc32(doc id as text) mod 4 is not HELD_OUT, and from at
 most TRAIN_TOXIC toxic and TRAIN_OTHER other ones (those least by a hash of the id). Toxic texts are
 rare, so the sample holds more of them than there are; the intercept is set right by their share among
-all labels that may be learned from. All documents are scored.
+all labels that may be learned from. The sample is learned in order by one task of an executor, whose
+result, the weights, is all that the driver gets. All documents are scored.
 
 Defined results: a null, empty or word-free text has no features and gets the intercept's score;
-repeated labels of a document count as toxic if one is; without any label the score is 0.
+repeated labels of a document count as toxic if one is; of a document's repeated rows one is learned
+from (the least by its features); without any label the intercept is NO_LABELS, a score of nearly 0.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ HELD_OUT = 2
 TRAIN_TOXIC, TRAIN_OTHER, PASSES = 5_000, 7_000, 8
 BITS = 22
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.05
-WEIGHTS_MOST = 200_000
+NO_LABELS = -35.0
 THRESHOLD = 0.3
 _KNOWN_MOST = 150_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -92,9 +94,7 @@ class Ftrl:
 
     def compact(self) -> tuple[np.ndarray, np.ndarray, float]:
         at = np.flatnonzero(np.abs(self.z[:-1]) > L1)
-        w = self.weights(at)
-        most = np.sort(np.argsort(-np.abs(w), kind="stable")[:WEIGHTS_MOST])
-        return at[most].astype(np.int32), w[most].astype(np.float32), float(self.weights(np.array([1 << BITS]))[0])
+        return at.astype(np.int32), self.weights(at).astype(np.float32), float(self.weights(np.array([1 << BITS]))[0])
 
 
 def sigmoid(x: float) -> float:
@@ -105,9 +105,9 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == HELD_OUT
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[int, bytes]], float]:
-    """Label and distinct features of the sample, and the share of toxic rows among all that may be
-    learned from; the labels of a bounded number of ids are sent out."""
+def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, float]:
+    """doc_id, label and distinct features of the sample, a row for each document, and the share of toxic
+    ones among all that may be learned from; the labels of a bounded number of ids are sent out."""
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     allowed = named.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != HELD_OUT).groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label"))
     share = allowed.agg(F.avg("label")).first()[0] or 0.0
@@ -122,9 +122,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "label": b.column("label"), "features": pa.array(own, pa.binary())})
 
     joined = src.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    got = joined.mapInArrow(featured, "doc_id long, label int, features binary").collect()
-    order = sorted(got, key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.doc_id, bytes(r.features)))
-    return [(r.label, bytes(r.features)) for r in order], share
+    rows = joined.mapInArrow(featured, "doc_id long, label int, features binary")
+    return rows.groupBy("doc_id", "label").agg(F.min("features").alias("features")), share
 
 
 def fit(rows: list[tuple[int, bytes]], share: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -140,11 +139,27 @@ def fit(rows: list[tuple[int, bytes]], share: float) -> tuple[np.ndarray, np.nda
     return at, w, bias
 
 
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
+    """The compact weights, learned by one task from the bounded sample."""
+    rows, share = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+
+    def learn(batches):
+        keep_only()
+        held = [r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), b.column("features").to_pylist())]
+        held.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0]))
+        if held:
+            at, w, bias = fit([(label, features) for _, label, features in held], share)
+            yield pa.RecordBatch.from_pydict({"at": pa.array([at.tobytes()], pa.binary()), "w": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
+
+    got = rows.repartition(1).mapInArrow(learn, "at binary, w binary, bias double").first()
+    if got is None:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), NO_LABELS
+    return np.frombuffer(bytes(got.at), np.int32), np.frombuffer(bytes(got.w), np.float32), got.bias
+
+
 def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
     """The compact weights, sent to all tasks."""
-    rows, share = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
-    model = fit(rows, share) if rows else (np.zeros(0, np.int32), np.zeros(0, np.float32), -35.0)
-    return docs.sparkSession.sparkContext.broadcast(model)
+    return docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
 
 
 def _dense(at: np.ndarray, w: np.ndarray) -> np.ndarray:

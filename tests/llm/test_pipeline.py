@@ -41,7 +41,7 @@ def test_odd_rows_pass(spark):
     docs = spark.createDataFrame([(1, None, "en", "s", None), (2, "", "en", None, 0), (3, "x", None, "s", 1), (3, "x", None, "s", 1), (None, "y", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
-    assert docs.count() == 5
+    assert docs.count() == 4  # one of the two equal rows of id 3 goes as a duplicate
 
 
 def test_empty_tables_and_clashing_columns_pass(spark):
