@@ -12,27 +12,27 @@ remote store it reads ranges. Files of attempts that failed are in no manifest a
 Texts are encoded where they lie; only ids (two or four bytes each) pass the shuffle that orders them.
 
 Defined results: a null text counts as empty and gets the end id alone; repeated doc ids keep one
-entry per row, ordered by a hash of their ids; an empty table writes no shard; null doc ids come first
+entry per row, ordered by a hash of their texts; an empty table writes no shard; null doc ids come first
 as -1.
 """
 
 from __future__ import annotations
 
+import bisect
 import os
 import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import fresh_path, materialise, slices, texts_of
+from folioscope.llm.common import fresh_path, slices, texts_of
 from folioscope.llm.tokens import Encoder, crc32
 
-#: Bytes of ids that a shard is meant to hold, and the least for which a shard is made.
-SHARD_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
+#: Bytes of text that a shard is meant to hold, and the least for which a shard is made; keys looked at.
+SHARD_BYTES, LEAST_BYTES, SAMPLE = 128 << 20, 1 << 20, 100_000
 _MANIFEST = "shard int, name string, n_docs long, n_ids long, base long"
 
 
@@ -58,35 +58,50 @@ def _ranges(uri: str, name: str, dtype):
     return lambda a, b: np.frombuffer(file.read_at((b - a) * kind.itemsize, a * kind.itemsize), kind)
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, *, spaced: bool, dtype: str, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tie (a hash of the ids), n and ids (as they are written) of each row."""
+def boundaries(rows: DataFrame, shards: int | None) -> tuple[list[tuple], int]:
+    """The first keys (doc_id, tie, row) of all shards but the first, so that shards hold about equal bytes
+    of text; from one scan that counts and one that takes about SAMPLE keys."""
+    sizes = rows.select("doc_id", "tie", "row", F.octet_length("text").alias("size"))
+    n, size = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if shards is None:
+        shards = max(-(-size // SHARD_BYTES), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES), 1)
+    if shards == 1:
+        return [], 1
+    some = F.pmod(F.xxhash64("doc_id", "tie", "row"), F.lit(-(-n // SAMPLE))) == 0
+    keys = sorted(tuple(r) for r in sizes.filter(some).collect())
+    ends = np.cumsum([k[3] for k in keys])
+    cuts = np.searchsorted(ends, ends[-1] * np.arange(1, shards) / shards) if keys else []
+    return [keys[i][:3] for i in cuts], shards
+
+
+def encoded(rows: DataFrame, firsts: list[tuple], tokenizer_path: str, end_id: int, *, spaced: bool, dtype: str) -> DataFrame:
+    """doc_id, tie, row, the shard that the row goes to, n and ids (as they are written)."""
     kind = np.dtype(dtype)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
         enc, end = Encoder.shared(tokenizer_path, spaced), np.array([end_id], "<u4").tobytes()
         for b in slices(batches):
-            rows = []
+            sizes, ids = [], []
             for x in enc.encode(texts_of(b)):
                 flat = np.frombuffer(x + end, "<u4")
                 if flat.max() > np.iinfo(kind).max:
                     raise ValueError(f"id {flat.max()} does not fit {kind}")
-                rows.append((xxhash.xxh64_intdigest(flat) - (1 << 63), len(flat), flat.astype(kind).tobytes()))
-            tie, n, ids = zip(*rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tie, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "tie", "n", "ids"])
+                sizes.append(len(flat)), ids.append(flat.astype(kind).tobytes())
+            keys = [b.column(c) for c in ("doc_id", "tie", "row")]
+            shard = [bisect.bisect_right(firsts, k) for k in zip(*(c.to_pylist() for c in keys))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(shard, pa.int32()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "tie", "row", "shard", "n", "ids"])
 
-    return src.mapInArrow(run, "doc_id long, tie long, n long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, tie long, row long, shard int, n long, ids binary")
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, *, spaced: bool, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Encode and write docs in ascending id order under the folder URI out; returns the manifest.
 
-    Only one row per shard comes to the driver, for the prefix sums."""
+    Beside the sample of keys only one row per shard comes to the driver, for the prefix sums."""
     spark = docs.sparkSession
-    rows = materialise(encoded(docs, tokenizer_path, end_id, spaced=spaced, dtype=dtype, id_col=id_col, text_col=text_col), "encoded")
-    if shards is None:
-        size = (rows.agg(F.sum("n")).first()[0] or 0) * np.dtype(dtype).itemsize
-        shards = max(-(-size // SHARD_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES), 1)
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    src = src.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
+    firsts, shards = boundaries(src, shards)
     system, path = _filesystem(out)
     system.create_dir(path, recursive=True)
 
@@ -109,7 +124,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
             _put(out, f"{name}.idx", [np.array([len(n)], "<u8").tobytes(), offsets.tobytes(), np.concatenate(ids).astype("<i8").tobytes()])
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": pa.array([name]), "n_docs": pa.array([len(n)], pa.int64()), "n_ids": pa.array([int(n.sum())], pa.int64())})
 
-    ordered = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = encoded(src, firsts, tokenizer_path, end_id, spaced=spaced, dtype=dtype)
+    ordered = rows.repartitionById(shards, "shard").sortWithinPartitions("doc_id", "tie", "row")
     sizes = sorted(tuple(r) for r in ordered.mapInArrow(write, "shard int, name string, n_docs long, n_ids long").collect())
     manifest, base = [], 0
     for shard, name, n_docs, n_ids in sizes:
