@@ -63,11 +63,12 @@ def _named(path: str) -> str:
 def grobid(xml: Column) -> Column:
     """struct(title, authors, year, journal, abstract) of a TEI header."""
     one = lambda p: F.nullif(F.get(_xpath(xml, _named(p)), 0), F.lit(""))
-    surnames = _xpath(xml, _named("//sourceDesc//author") + "[.//*[local-name()='surname']/text()]/descendant::*[local-name()='surname'][1]/text()")
-    # a forename for each author with a surname: authors without one are told apart by their own count
-    firsts = _xpath(xml, _named("//sourceDesc//author") + "[.//*[local-name()='surname']/text()][.//*[local-name()='forename']/text()]/descendant::*[local-name()='forename'][1]/text()")
-    aligned = F.size(firsts) == F.size(surnames)
-    authors = F.when(aligned, F.zip_with(firsts, surnames, lambda a, b: F.concat_ws(" ", a, b))).otherwise(surnames)
+    # author by author, so that one without a forename changes nothing for the others
+    source = F.regexp_extract(xml, r"(?s)<(?:\w+:)?sourceDesc\b.*?</(?:\w+:)?sourceDesc>", 0)
+    nodes = F.regexp_extract_all(source, F.lit(r"(?s)(<(?:\w+:)?author\b[^>]*[^/>]?>.*?</(?:\w+:)?author>)"), F.lit(1))
+    part = lambda a, tag: F.get(_xpath(a, _named(f"//{tag}/text()")), 0)
+    named = F.transform(nodes, lambda a: F.when(part(a, "surname").isNotNull(), F.concat_ws(" ", part(a, "forename"), part(a, "surname"))))
+    authors = F.filter(named, lambda a: a.isNotNull())
     year = found(one("//publicationStmt//date/@when"), r"^(\d{4})").cast("int")
     paragraphs = F.filter(F.transform(_xpath(xml, _named("//profileDesc/abstract//p/text()")), trimmed), lambda p: p != "")
     abstract = F.coalesce(F.nullif(F.array_join(paragraphs, " "), F.lit("")), F.nullif(trimmed(one("//profileDesc/abstract/text()")), F.lit("")))

@@ -35,7 +35,9 @@ def similarity(distance: Column) -> Column:
 
 
 def mean_pooled(chunks: DataFrame, key: str, vector: str) -> DataFrame:
-    """Mean vector per key, added up position by position (no group is gathered in one place)."""
-    flat = chunks.select(key, F.posexplode(as_doubles(F.col(vector))).alias("pos", "x"))
-    means = flat.groupBy(key, "pos").agg(F.avg("x").alias("x"))
-    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias(vector))
+    """Mean vector per key, summed where the rows lie; rows without a vector do not count."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = chunks.filter(F.col(vector).isNotNull()).select(key, array_to_vector(as_doubles(F.col(vector))).alias("v"))
+    return rows.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias(vector))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.sources.places import work_path
+
 
 def insert_new(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not there yet are added (the first of equals by all columns); others are left out."""
@@ -59,11 +61,24 @@ def update_from(table: DataFrame, delta: DataFrame, key: list[str], columns: lis
     return out.withColumns({c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}).select(*table.columns)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their places from 1 by order: dealt by range, numbered in each task, and the tasks'
+    counts added up (one row a task), so that no task holds all rows."""
+    spark, path = rows.sparkSession, work_path(rows.sparkSession, "numbered")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt.withColumn("_part", F.spark_partition_id()).withColumn("_place", place).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    bases = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+    return dealt.join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_place") + 1).select(*rows.columns, name)
+
+
 def append_log(table: DataFrame, rows: DataFrame) -> DataFrame:
     """Log rows with the next numbers, in the order of their time."""
     last = table.agg(F.coalesce(F.max("log_id"), F.lit(0)).alias("_last"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy("timestamp", "content_sha256", "action"))).crossJoin(F.broadcast(last))
-    return table.unionByName(numbered.withColumn("log_id", (F.col("_last") + F.col("_n")).cast("long")).drop("_n", "_last"))
+    fresh = numbered(rows.drop("log_id"), ["timestamp", "content_sha256", "action"], "_n").crossJoin(F.broadcast(last))
+    return table.unionByName(fresh.withColumn("log_id", (F.col("_last") + F.col("_n")).cast("long")).drop("_n", "_last"))
 
 
 def set_decisions(decisions: DataFrame, history: DataFrame, rows: DataFrame, domain: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -6,11 +6,51 @@ ids, never by arrival.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RRF_K = 60
+#: Ranks up to which Spark keeps the best rows of a task before it shuffles them; beyond it a task does it here.
+GROUP_LIMIT, HELD_ROWS = 1_000, 200_000
+
+
+def _best_of_task(k: int, by: str, order: tuple[tuple[str, bool], ...]):
+    """Rows of a task that can be among the k best of their group."""
+
+    def pruned(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(by, "ascending"), *[(c, "descending" if down else "ascending") for c, down in order]])
+        group = table.column(by).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        place = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
+        return table.filter(pa.array(place < k))
+
+    def run(batches):
+        held, rows, least = [], 0, HELD_ROWS
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows > least:
+                kept = pruned(pa.Table.from_batches(held))
+                held, rows = kept.to_batches(), kept.num_rows
+                least = max(HELD_ROWS, 2 * rows)
+        if held:
+            yield from pruned(pa.Table.from_batches(held)).to_batches(max_chunksize=10_000)
+
+    return run
+
+
+def top_k(scored: DataFrame, k: int, *order: tuple[str, bool], by: str = "query_id") -> DataFrame:
+    """The k best rows of each group with their rank from 0, by columns (name, descending) without nulls
+    whose last one is unique. A task hands at most k rows of a group to the shuffle."""
+    if k > GROUP_LIMIT:
+        scored = scored.mapInArrow(_best_of_task(k, by, order), scored.schema)
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*[F.desc(c) if down else F.asc(c) for c, down in order]))
+    # the filter on the number itself is what lets Spark cut each task's rows
+    return scored.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def _named() -> Column:
@@ -18,8 +58,8 @@ def _named() -> Column:
 
 
 def _ranked(scored: DataFrame, *order: Column, n: int | None = None) -> DataFrame:
-    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "doc_id")) - 1)
-    return out if n is None else out.filter(F.col("rank") < n)
+    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "doc_id")))
+    return (out if n is None else out.filter(F.col("rank") <= n)).withColumn("rank", F.col("rank") - 1)
 
 
 def by_similarity(hits: DataFrame, n: int | None = None) -> DataFrame:

@@ -38,7 +38,9 @@ def class_tfidf(docs: DataFrame, min_df: int = 2) -> DataFrame:
     """topic_id, term, weight of (topic_id, doc_id, text): term share in the topic times
     ln(1 + mean words per topic / frequency over all topics)."""
     words = docs.select("topic_id", F.col("doc_id").alias("_d"), F.explode(tokens(F.col("text"))).alias("term")).filter(~F.col("term").isin(STOP_WORDS) & (F.length("term") > 1))
-    per = words.groupBy("topic_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("_d").alias("df"))
+    # words of a document are counted where it lies, then documents and words by topic
+    own = words.groupBy("topic_id", "_d", "term").agg(F.count(F.lit(1)).alias("tf"))
+    per = own.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
     total = per.groupBy("term").agg(F.sum("tf").alias("f"), F.sum("df").alias("df")).filter(F.col("df") >= min_df)
     kept = per.select("topic_id", "term", "tf").join(total.select("term", "f"), "term")
     size = kept.groupBy("topic_id").agg(F.sum("tf").alias("words"))

@@ -1,7 +1,7 @@
 """Exact vector search: a scan with filters before the top-k, for one query or many.
 
-Queries are few and stated; they are sent to the scan in blocks of QUERY_BLOCK rows, whose size is
-therefore bounded, and every block keeps its k best per task before anything is shuffled.
+Queries are few and stated; they are sent to the scan in blocks of about QUERY_BLOCK rows, whose size is
+therefore bounded, and every task keeps its k best a query before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -10,18 +10,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioscope.functions.vectors import DISTANCES, as_doubles, norm, similarity
+from folioscope.operators.ranking import top_k
 
 QUERY_BLOCK, WIDE_FETCH, CHUNK_CAP = 1_000, 10_000, 100
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", where: Column | None = None, digits: int = 9) -> DataFrame:
-    """query_id, chunk_id, doc_id, distance, similarity, rank (from 0) of the k nearest chunks.
-
-    chunks: (chunk_id, doc_id, embedding, ...), queries: (query_id, vector). Filters come first.
-    """
+def _search_block(chunks: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", where: Column | None = None, digits: int = 9) -> DataFrame:
     pool = chunks if where is None else chunks.filter(where)
     pool = pool.select("chunk_id", "doc_id", as_doubles(F.col("embedding")).alias("v"))
     ask = queries.select("query_id", as_doubles(F.col("vector")).alias("q"))
@@ -31,18 +27,22 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosi
     else:
         distance = DISTANCES[metric](F.col("q"), F.col("v"))
     scored = pool.crossJoin(F.broadcast(ask)).select("query_id", "chunk_id", "doc_id", F.round(distance, digits).alias("distance"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id")) - 1).filter(F.col("rank") < k)
+    # without a vector there is no distance; such chunks come last
+    ranked = top_k(scored.withColumn("far", F.coalesce("distance", F.lit(float("inf")))), k, ("far", False), ("chunk_id", False))
     return ranked.select("query_id", "chunk_id", "doc_id", "distance", similarity(F.col("distance")).alias("similarity"), "rank")
 
 
-def search_in_blocks(chunks: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
-    """As search, for query tables of any size: each block of queries is one broadcast."""
+def search(chunks: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
+    """query_id, chunk_id, doc_id, distance, similarity, rank (from 0) of the k nearest chunks.
+
+    chunks: (chunk_id, doc_id, embedding, ...), queries: (query_id, vector), of any number: each block
+    of queries is one broadcast. Filters (where=) come first."""
     n = queries.count()
     if n <= QUERY_BLOCK:
-        return search(chunks, queries, k, **options)
+        return _search_block(chunks, queries, k, **options)
     blocks = -(-n // QUERY_BLOCK) * 2
     dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    return reduce(DataFrame.union, (search(chunks, dealt.filter(F.col("_block") == i).drop("_block"), k, **options) for i in range(blocks)))
+    return reduce(DataFrame.union, (_search_block(chunks, dealt.filter(F.col("_block") == i).drop("_block"), k, **options) for i in range(blocks)))
 
 
 def chunk_search(chunks: DataFrame, queries: DataFrame, k: int = 5, *, document_ids: list | None = None, where: Column | None = None, metric: str = "cosine") -> DataFrame:

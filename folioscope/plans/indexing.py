@@ -36,7 +36,7 @@ def index_documents(spark: SparkSession, docs: DataFrame, store: str, embedder:
     chunks = fresh if old is None else replace_chunks(old, fresh)
     chunks.write.parquet(f"{store}/chunks")
     written = spark.read.parquet(f"{store}/chunks")
-    bm25.build(written).write(f"{store}/bm25")
+    bm25.build(written, path=f"{store}/bm25")
     rows = written.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count")).withColumn("status", F.lit("extracted"))
     rows.write.parquet(f"{store}/documents")
     return spark.read.parquet(f"{store}/documents")

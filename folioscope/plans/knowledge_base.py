@@ -19,7 +19,7 @@ class KnowledgeBase:
         self.spark, self.metric, self.metadata = spark, metric, metadata
         self.model, self.threshold = embedder(embedder_name)["factory"](), embedder(embedder_name)["minimum_threshold"]
         self.chunks, self.documents = spark.read.parquet(f"{store}/chunks"), spark.read.parquet(f"{store}/documents")
-        self.index = bm25.Bm25Index.read(spark, f"{store}/bm25")
+        self.index = bm25.Bm25Index.load(spark, f"{store}/bm25")
 
     def _asked(self, queries: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(i, q, v) for i, (q, v) in enumerate(zip(queries, self.model(queries)))], "query_id int, query string, vector array<double>")
@@ -31,10 +31,16 @@ class KnowledgeBase:
             out = t if out is None else out if t is None else out & t
         return out
 
+    def _keywords(self, asked: DataFrame, n: int, among: DataFrame | None) -> DataFrame:
+        """Keyword hits among the chunks that a filter leaves; without a written index there are none."""
+        if self.index is None:
+            return self.spark.createDataFrame([], "query_id int, chunk_id string, rank int, raw_score double, score double")
+        return bm25.search(self.index, asked.select("query_id", "query"), n, among=among)
+
     def search_documents(self, queries: list[str], n: int = 10, *, mode: str = "hybrid", ranked_by: str = "similarity", n_candidates: int = 200, equations: bool | None = None, project: str | None = None) -> DataFrame:
         """query_id, doc_id, score, rank, chunk_count, the best chunk with its section and page, title.
 
-        Filters hold in every mode. In hybrid mode keywords order what the vectors find."""
+        Filters hold in every mode, before any ranking. In hybrid mode keywords order what the vectors find."""
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}, not {mode!r}")
         if ranked_by not in ranking.METRICS:
@@ -47,8 +53,7 @@ class KnowledgeBase:
         if mode == "semantic":
             docs = ranking.METRICS[ranked_by](hits, self.threshold, n)
         else:
-            keyword = bm25.search(self.index, asked.select("query_id", "query"), n_candidates if mode == "hybrid" else 20 * n)
-            keyword = keyword.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+            keyword = self._keywords(asked, n_candidates if mode == "hybrid" else 20 * n, None if where is None else chunks)
             docs = ranking.fused_documents(ranking.fuse(hits, keyword, n_candidates), n).drop("chunk_id") if mode == "hybrid" else ranking.keyword_documents(keyword, chunks, n)
         best = ranking.best_chunk(hits).select("query_id", "doc_id", F.col("chunk_id").alias("best_chunk_id"))
         shown = docs.join(best, ["query_id", "doc_id"], "left")

@@ -51,12 +51,14 @@ _BM25_SQL = f"""WITH tok AS (SELECT doc_id AS chunk_id, {_TOKENS_SQL} AS t FROM
 len AS (SELECT chunk_id, len(t) AS dl FROM tok), post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM tok) GROUP BY ALL),
 corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, corpus), mean AS (SELECT avg(raw) AS m FROM raw),
-terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw, mean),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw, mean)"""
+_KEYWORD_SQL = f""",
 q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOKENS_SQL.replace('text', 'query')}) AS term FROM {_ASKED_SQL}) GROUP BY ALL),
 sc AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS s FROM q JOIN terms USING (term) JOIN post USING (term) JOIN len USING (chunk_id), corpus GROUP BY ALL),
-al AS (SELECT a.query_id, l.chunk_id, coalesce(s, 0) AS s FROM {_ASKED_SQL.replace('asked(', 'a(')} CROSS JOIN len l LEFT JOIN sc ON sc.query_id = a.query_id AND sc.chunk_id = l.chunk_id),
+al AS (SELECT a.query_id, l.chunk_id, coalesce(s, 0) AS s FROM {_ASKED_SQL.replace('asked(', 'a(')} CROSS JOIN len l LEFT JOIN sc ON sc.query_id = a.query_id AND sc.chunk_id = l.chunk_id WHERE {{where}}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) - 1 AS rank FROM al),
 kw AS (SELECT query_id, chunk_id, rank, s AS raw_score, CASE WHEN max(s) OVER (PARTITION BY query_id) > 0 THEN s / max(s) OVER (PARTITION BY query_id) ELSE 0 END AS score FROM rk WHERE rank < 200)"""
+_FOUND_SQL = _BM25_SQL + _KEYWORD_SQL.replace("{where}", "TRUE")
 
 
 def _index(spark, sf_dir) -> bm25.Bm25Index:
@@ -67,7 +69,7 @@ def _keyword(spark, sf_dir) -> DataFrame:
     return bm25.search(_index(spark, sf_dir), _asked(spark).select("query_id", "query"), 200)
 
 
-@_query(_BM25_SQL + " SELECT query_id, chunk_id, rank, raw_score, round(score, 9) AS score FROM kw")
+@_query(_FOUND_SQL + " SELECT query_id, chunk_id, rank, raw_score, round(score, 9) AS score FROM kw")
 def bm25_topk(spark, sf_dir):
     return _rounded(_keyword(spark, sf_dir), "score")
 
@@ -82,12 +84,12 @@ def tokenize_counts(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(_BM25_SQL + " SELECT query_id, term, df, qtf FROM q JOIN terms USING (term)")
+@_query(_FOUND_SQL + " SELECT query_id, term, df, qtf FROM q JOIN terms USING (term)")
 def bm25_index_round_trip(spark, sf_dir):
     """The index written, read again, and asked for the queries' words."""
     path = work_path(spark, "bm25")
-    _index(spark, sf_dir).write(path)
-    read = bm25.Bm25Index.read(spark, path)
+    bm25.build(_t(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", path=path)
+    read = bm25.Bm25Index.load(spark, path)
     return bm25.query_terms(_asked(spark).select("query_id", "query")).join(read.terms, "term").select("query_id", "term", "df", "qtf")
 
 
@@ -151,7 +153,8 @@ def fetch_stats(spark, sf_dir):
     return ranking.fetch_statistics(_hits(spark, sf_dir, k=vector_search.WIDE_FETCH), 0.52)
 
 
-_FUSED = _BM25_SQL + f", {_vec_sql('cosine')}, fused AS (SELECT h.query_id, h.chunk_id, h.doc_id, h.rank AS rank_semantic, kw.rank AS rank_bm25, 1 / (60.0::DOUBLE + h.rank) + 1 / (60.0::DOUBLE + coalesce(kw.rank, 201)) AS rrf_score FROM hits h LEFT JOIN kw ON kw.query_id = h.query_id AND kw.chunk_id = h.chunk_id)"
+_FUSED_PART = ", fused AS (SELECT h.query_id, h.chunk_id, h.doc_id, h.rank AS rank_semantic, kw.rank AS rank_bm25, 1 / (60.0::DOUBLE + h.rank) + 1 / (60.0::DOUBLE + coalesce(kw.rank, 201)) AS rrf_score FROM hits h LEFT JOIN kw ON kw.query_id = h.query_id AND kw.chunk_id = h.chunk_id)"
+_FUSED = _FOUND_SQL + f", {_vec_sql('cosine')}" + _FUSED_PART
 
 
 @_query(_FUSED + " SELECT query_id, chunk_id, doc_id, rank_semantic, rank_bm25, round(rrf_score, 9) AS rrf_score FROM fused")
@@ -168,12 +171,12 @@ def hybrid_rrf_docs(spark, sf_dir):
 _KW_DOCS = "SELECT query_id, doc_id, max(score) AS score, count(*) AS matching_chunks FROM {src} GROUP BY ALL"
 
 
-@_query(_BM25_SQL + " SELECT query_id, doc_id, matching_chunks, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM (" + _KW_DOCS.format(src="(SELECT kw.*, label AS doc_id FROM kw JOIN embeddings e ON e.vec_id = kw.chunk_id)") + ")")
+@_query(_FOUND_SQL + " SELECT query_id, doc_id, matching_chunks, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM (" + _KW_DOCS.format(src="(SELECT kw.*, label AS doc_id FROM kw JOIN embeddings e ON e.vec_id = kw.chunk_id)") + ")")
 def bm25_mode_docs(spark, sf_dir):
     return _rounded(ranking.keyword_documents(_keyword(spark, sf_dir), _chunks(spark, sf_dir)), "score")
 
 
-@_query(_BM25_SQL + f", {_vec_sql('cosine')} SELECT query_id, doc_id, matching_chunks, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM (" + _KW_DOCS.format(src="(SELECT kw.*, c.doc_id FROM kw JOIN (SELECT DISTINCT chunk_id, doc_id FROM hits) c ON c.chunk_id = kw.chunk_id)") + ")")
+@_query(_FOUND_SQL + f", {_vec_sql('cosine')} SELECT query_id, doc_id, matching_chunks, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM (" + _KW_DOCS.format(src="(SELECT kw.*, c.doc_id FROM kw JOIN (SELECT DISTINCT chunk_id, doc_id FROM hits) c ON c.chunk_id = kw.chunk_id)") + ")")
 def bm25_mode_docs_strict(spark, sf_dir):
     """The narrow form: only documents among the semantic candidates."""
     return _rounded(ranking.keyword_documents(_keyword(spark, sf_dir), _hits(spark, sf_dir).select("chunk_id", "doc_id").distinct()), "score")
@@ -691,3 +694,6 @@ def sync_outcomes(spark, sf_dir):
     key = lambda df, c: df.select(F.col(c).alias("content_sha256"))
     tried = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("content_sha256"), F.when(F.col("toxic") == 1, "x").alias("error"))
     return reconcile.sync_outcomes(key(_t(spark, sf_dir, "documents"), "doc_id"), key(_t(spark, sf_dir, "pages"), "page_id"), tried)
+
+
+from folioscope.plans import more_queries  # noqa: E402,F401  (registers its own)

@@ -10,6 +10,12 @@ from pyspark.sql import SparkSession
 _OWN: dict[str, str] = {}
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Remove a folder of any store that Spark knows; whether it was there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; only where that is unset in a local session
     (as in tests) in a folder of its own, else in the warehouse."""

@@ -14,15 +14,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioscope.operators import bm25
 from folioscope.operators.dml import insert_new, upsert_sightings
+from folioscope.sources.places import remove
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def _versions(spark: SparkSession, path: str, mark: str = "_SUCCESS") -> list[int]:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    done = lambda n: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    done = lambda n: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/{mark}"))
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and done(n))
 
 
@@ -77,12 +78,28 @@ def windowed_counts(stream: DataFrame, ts: str, late: str, width: str, *keys: st
 
 
 def index_stream(stream: DataFrame, chunks_path: str, index_path: str, checkpoint: str, schema: str = "chunk_id string, content string") -> StreamingQuery:
-    """New chunks are added once; the keyword index is built anew from all of them after each batch."""
+    """New chunks are added once; after each batch the keyword index of all of them is built anew, as a
+    version of its own: readers of the one before are not disturbed (current_index)."""
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = current(spark, chunks_path, schema, before=number)
         insert_new(old, batch, ["chunk_id"]).write.mode("overwrite").parquet(f"{chunks_path}/v={number:012d}")
-        bm25.build(current(spark, chunks_path, schema)).write(index_path)
+        bm25.build(current(spark, chunks_path, schema), path=f"{index_path}/v={number:012d}")
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_index(spark: SparkSession, index_path: str) -> bm25.Bm25Index | None:
+    """The newest whole keyword index that index_stream has written."""
+    for v in reversed(_versions(spark, index_path, "corpus/_SUCCESS")):
+        return bm25.Bm25Index.load(spark, f"{index_path}/v={v:012d}")
+    return None
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2, mark: str = "_SUCCESS") -> list[int]:
+    """Remove all but the newest `keep` versions of a table or index; their numbers."""
+    old = _versions(spark, path, mark)[:-keep] if keep else _versions(spark, path, mark)
+    for v in old:
+        remove(spark, f"{path}/v={v:012d}")
+    return old

@@ -93,7 +93,57 @@ def test_vector_search(spark):
     assert vector_search.similar_chunks(chunks, 999, 5).count() == 0
     vector_search.QUERY_BLOCK, old = 2, vector_search.QUERY_BLOCK
     try:
-        blocks = vector_search.search_in_blocks(chunks, asked, 5, metric="l2").collect()
+        blocks = vector_search.search(chunks, asked, 5, metric="l2").collect()
     finally:
         vector_search.QUERY_BLOCK = old
     assert sorted(map(tuple, blocks)) == sorted(map(tuple, got))
+
+
+@pytest.mark.parametrize("k", [3, 40])
+def test_tasks_hand_on_only_their_best(spark, monkeypatch, k):
+    monkeypatch.setattr(ranking, "GROUP_LIMIT", 10)
+    monkeypatch.setattr(ranking, "HELD_ROWS", 200)
+    rng = random.Random(4)
+    rows = [(q, i, float(rng.randrange(50))) for q in range(3) for i in range(700)]
+    frame = spark.createDataFrame(rows, "query_id int, chunk_id int, s double").repartition(6)
+    top = ranking.top_k(frame, k, ("s", True), ("chunk_id", False))
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString() if k <= 10 else True
+    for q in range(3):
+        want = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))[:k]
+        assert [(r.chunk_id, r.rank) for r in top.filter(F.col("query_id") == q).orderBy("rank").collect()] == [(r[1], i) for i, r in enumerate(want)]
+    if k > 10:
+        best = frame.mapInArrow(ranking._best_of_task(k, "query_id", (("s", True), ("chunk_id", False))), frame.schema)
+        assert best.groupBy(F.spark_partition_id(), "query_id").count().agg(F.max("count")).first()[0] <= k
+
+
+def test_searches_prune_before_they_shuffle(spark):
+    from folioscope.plans.queries import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert all("WindowGroupLimit" in plan(n) for n in ("vector_topk_cosine", "bm25_topk", "hybrid_filtered"))
+    assert "MapInArrow" in plan("fetch_stats")
+
+
+def test_filters_come_before_the_keyword_ranking(spark, tmp_path):
+    """Many documents hold the word often; the only one with an equation holds it once."""
+    from folioscope.plans.indexing import index_documents
+    from folioscope.plans.knowledge_base import KnowledgeBase
+
+    docs = [(f"d{i:03}", "# Heading\n\n" + ("needle " * 12 if i % 3 else "other ") + "words to fill up a chunk of some length " * 4) for i in range(330)]
+    docs.append(("eq", "# Heading\n\nneedle once, and $x^2$ beside " + "words to fill up a chunk of some length " * 4))
+    index_documents(spark, spark.createDataFrame(docs, "doc_id string, content string"), str(tmp_path / "kb"))
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    for mode in ("bm25", "hybrid", "semantic"):
+        assert [r.doc_id for r in kb.search_documents(["needle"], 5, mode=mode, equations=True).collect()] == ["eq"]
+
+
+def test_index_state(spark, tmp_path):
+    path = str(tmp_path / "index")
+    assert bm25.Bm25Index.load(spark, path) is None and not bm25.wipe(spark, path)
+    chunks = spark.createDataFrame([("c1", "alpha beta"), ("c2", ""), ("c3", None)], "chunk_id string, content string")
+    bm25.build(chunks, path=path)
+    index = bm25.Bm25Index.load(spark, path)
+    assert index.corpus.first().n == 3 and index.postings.count() == 2
+    assert bm25.wipe(spark, path) and bm25.Bm25Index.load(spark, path) is None
+    empty = bm25.build(chunks.limit(0))
+    assert bm25.search(empty, _ask(spark, "alpha"), 3).count() == 0

@@ -74,7 +74,16 @@ def test_streams_fold_batches(spark, tmp_path):
     ch = "chunk_id string, content string"
     spark.createDataFrame([("c1", "alpha beta"), ("c2", "beta")], ch).write.parquet(str(tmp_path / "ch"))
     incremental.index_stream(spark.readStream.schema(ch).parquet(str(tmp_path / "ch")), str(tmp_path / "cht"), str(tmp_path / "bm"), str(tmp_path / "chc")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "bm/terms")).count() == 2
+    assert incremental.current_index(spark, str(tmp_path / "bm")).terms.count() == 2
+    more = tmp_path / "ch2"
+    spark.createDataFrame([("c3", "gamma")], ch).write.parquet(str(more))
+    for f in more.glob("*.parquet"):
+        f.rename(tmp_path / "ch" / f.name)
+    incremental.index_stream(spark.readStream.schema(ch).parquet(str(tmp_path / "ch")), str(tmp_path / "cht"), str(tmp_path / "bm"), str(tmp_path / "chc")).awaitTermination()
+    assert incremental.current_index(spark, str(tmp_path / "bm")).terms.count() == 3
+    assert incremental.drop_versions(spark, str(tmp_path / "bm"), 1, "corpus/_SUCCESS") == [0]
+    assert incremental.current_index(spark, str(tmp_path / "bm")).terms.count() == 3
+    assert incremental.current_index(spark, str(tmp_path / "nothing")) is None
 
 
 def test_late_rows_are_left_out(spark, tmp_path):
