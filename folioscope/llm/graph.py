@@ -20,7 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+            # one frame, not a union of scans and sums, whose tasks would be of very different sizes
+            both = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root")))
+            return now.select(F.explode(both).alias("n")).select("n.node", "n.root").distinct()
         before = state
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
