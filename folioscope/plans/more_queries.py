@@ -289,3 +289,78 @@ def stream_keyword_index(spark, sf_dir):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     incremental.index_stream(stream, f"{path}/table", f"{path}/index", f"{path}/checkpoint").awaitTermination()
     return incremental.current_index(spark, f"{path}/index").terms.select("term", "df")
+
+
+# ---- upkeep
+
+def _library(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content_sha256"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    held = d.filter("doc_id % 3 <> 0").select("content_sha256")
+    other = d.filter("doc_id % 4 = 0").select("content_sha256")
+    return d, held, other, d.filter("doc_id % 40 = 0").select("content_sha256")
+
+
+_LIBRARY_SQL = """d AS (SELECT doc_id, sha256(text) AS h, source || '/' || doc_id AS path FROM documents), held AS (SELECT DISTINCT h FROM d WHERE doc_id % 3 <> 0), other AS (SELECT DISTINCT h FROM d WHERE doc_id % 4 = 0),
+store AS (SELECT h, min(path) AS path FROM d WHERE doc_id % 2 = 1 AND h NOT IN (SELECT h FROM held) GROUP BY h), fetched AS (SELECT h FROM other WHERE h NOT IN (SELECT h FROM held) AND h NOT IN (SELECT h FROM store) AND h NOT IN (SELECT h FROM d WHERE doc_id % 40 = 0)),
+link AS (SELECT h FROM (SELECT h FROM held UNION ALL SELECT h FROM store) WHERE h NOT IN (SELECT h FROM other))"""
+
+
+@_query(f"WITH {_LIBRARY_SQL} SELECT h AS content_sha256, path, 'store' AS action FROM store UNION ALL SELECT h, NULL, 'fetch' FROM fetched UNION ALL SELECT h, NULL, 'link' FROM link")
+def reconcile_plan(spark, sf_dir):
+    from folioscope.plans.upkeep import reconcile_actions
+
+    d, held, other, missing = _library(spark, sf_dir)
+    return reconcile_actions(d.filter("doc_id % 2 = 1"), held, other, missing)
+
+
+@_query(f"WITH {_LIBRARY_SQL} SELECT 'stored' AS name, count(*) AS n FROM (SELECT h FROM held UNION SELECT h FROM store UNION SELECT h FROM fetched) UNION ALL SELECT 'linked', count(*) FROM (SELECT h FROM other UNION SELECT h FROM link) UNION ALL SELECT 'left to do', count(*) FROM fetched WHERE FALSE")
+def reconcile_applied(spark, sf_dir):
+    """After the plan is applied, another finds nothing to do but to link what was fetched (it is linked already)."""
+    from folioscope.plans.upkeep import apply_actions, reconcile_actions
+
+    d, held, other, missing = _library(spark, sf_dir)
+    found = d.filter("doc_id % 2 = 1")
+    stored, linked = apply_actions(reconcile_actions(found, held, other, missing), held, other)
+    left = reconcile_actions(found, stored, linked, missing)
+    return dml.union_all([t.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, t in (("stored", stored), ("linked", linked), ("left to do", left))])
+
+
+@_query("WITH o AS (SELECT sha256(text) AS h FROM documents WHERE doc_id = 7) SELECT 'files' AS store, count(*) AS removed FROM documents, o WHERE sha256(text) = h UNION ALL SELECT 'chunks', count(*) FROM conversations, o WHERE sha256(text) = h UNION ALL SELECT 'vectors', count(*) FROM embeddings, o WHERE vec_id = 7")
+def removed_everywhere(spark, sf_dir):
+    """One file out of catalog, chunks and vectors; a name that means several files removes none (tests)."""
+    from folioscope.plans.upkeep import remove_document
+
+    hashed = lambda name, key: _t(spark, sf_dir, name).withColumn("content_sha256", key)
+    files = hashed("documents", F.sha2("text", 256)).withColumn("display_name", F.col("source"))
+    own = files.filter("doc_id = 7").first().content_sha256
+    vectors = hashed("embeddings", F.when(F.col("vec_id") == 7, own))
+    stores = {"files": (files, "content_sha256"), "chunks": (hashed("conversations", F.sha2("text", 256)), "content_sha256"), "vectors": (vectors, "content_sha256")}
+    return remove_document(files, own, stores).counts
+
+
+@_query("SELECT sha256(text) AS content_sha256, max(source || '/' || d.doc_id) AS path FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND quality = 1 WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 5 = 0) AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) GROUP BY ALL")
+def migrated_extractions(spark, sf_dir):
+    from folioscope.plans.upkeep import migrated_extractions as migrated
+
+    d = _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content_sha256"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    kinds = _t(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "one").otherwise("two").alias("extractor"))
+    return migrated(d.select("doc_id", "path").join(kinds, "doc_id"), d, d.filter("doc_id % 2 = 0"), d.filter("doc_id % 5 = 0"), "one")
+
+
+@_query("WITH c AS (SELECT conv_id, turn FROM conversations WHERE turn % 3 = 0 OR conv_id % 4 <> 0) SELECT conv_id AS doc_id, count(*) AS chunks FROM c GROUP BY conv_id HAVING min(turn) <> 0 OR max(turn) + 1 <> count(*)")
+def backfilled_gaps(spark, sf_dir):
+    from folioscope.plans.upkeep import backfilled_chunks
+
+    rows = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("content"))
+    return backfilled_chunks(rows.filter("doc_id % 4 <> 0"), rows.filter("chunk_index % 3 = 0"))[1].select("doc_id", "chunks")
+
+
+@_query("SELECT d.doc_id, 'T' || quality AS title, n AS chunk_count, CASE WHEN d.doc_id % 2 = 0 THEN 'b' WHEN d.doc_id % 3 = 0 THEN 'a' END AS extraction_path FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT label AS doc_id, count(*) AS n FROM embeddings GROUP BY label) USING (doc_id)")
+def file_details(spark, sf_dir):
+    from folioscope.plans.upkeep import document_details
+
+    key = F.col("doc_id").alias("content_sha256")
+    files = _docs(spark, sf_dir).select(key)
+    resolved = _t(spark, sf_dir, "labels").select(key, F.concat(F.lit("T"), F.col("quality").cast("string")).alias("title"), F.lit(2000).alias("year"))
+    texts = files.filter("content_sha256 % 3 = 0").withColumn("path", F.lit("a")).union(files.filter("content_sha256 % 2 = 0").withColumn("path", F.lit("b")))
+    return document_details(files, resolved, _chunks(spark, sf_dir), texts).select(F.col("content_sha256").alias("doc_id"), "title", "chunk_count", "extraction_path")

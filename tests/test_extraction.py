@@ -22,6 +22,8 @@ def test_a_bad_window_costs_only_its_pages(spark):
     body = "\n".join(f"\n\n<!-- Pages {i}-{i} -->\n\n\n{page(c)}" for i, c in ((1, "a"), (2, "b"), (5, "e")))
     assert rows["a.pdf"].content == "<!-- Extraction of a.pdf -->\n<!-- Actual page count: 5 -->\n<!-- Successful chunks: 3 -->\n<!-- Failed chunks: 2 -->\n\n" + body
     assert extract_windows(files.limit(0), "fragile").count() == 0
+    cut = extract_windows(files, "fragile", step=1, most=1).filter("error LIKE 'Not read%'")
+    assert cut.count() == files.filter("page_count > 1").count() > 0
     with pytest.raises(ValueError, match="fragile"):
         extract_windows(files, "none")
 
