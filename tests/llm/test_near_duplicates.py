@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from folioscope.llm import graph
 from folioscope.llm.graph import components
 from folioscope.llm.near_duplicates import candidates, distance, kmers, near_duplicates, similar, sketched, sketches, without_near_duplicates
 
@@ -56,9 +57,13 @@ def test_sketches_keep_order_and_repeats():
     assert len(sketches([b"x"])[0]) == len(sketches([b"x"] * 30000)[0])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many,sent", [(100, 500_000), (3, 500_000), (3, 0)])
+def test_components(spark, monkeypatch, many, sent):
+    monkeypatch.setattr(graph, "MANY_EDGES", many)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", sent)
     rng = random.Random(1)
     edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
+    edges += [(5000, 5001 + i) for i in range(150)] + [(7000 + i, 6000) for i in range(150)]  # stars
     parent = {}
 
     def find(x):
