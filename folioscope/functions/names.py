@@ -120,9 +120,10 @@ def file_link(path: Column, pages: Column) -> Column:
 
 
 def human_bytes(size: Column) -> Column:
+    """'1.2 KB' and the like; halves go to the even digit."""
     out = None
     for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
-        shown = F.concat(size.cast("string") if k == 0 else F.format_string("%.1f", size / (1024.0**k)), F.lit(f" {unit}"))
+        shown = F.concat(size.cast("string") if k == 0 else F.format_string("%.1f", F.bround(size / (1024.0**k), 1)), F.lit(f" {unit}"))
         out = shown if out is None else F.when(size < 1024 ** (k + 1), shown).otherwise(out)
     return out
 

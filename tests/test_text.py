@@ -92,7 +92,7 @@ def test_names(spark):
     assert one(spark, names.display_name(null, F.lit(None).cast("int"), null, null, c), c="file.PDF") == "file.PDF"
     assert one(spark, names.doc_label(c), c="A - 2020 - T - x") == "A | 2020 | T - x" and one(spark, names.doc_label(c), c="A - B") == "A - B"
     assert one(spark, names.file_link(c, F.array(F.lit(4))), c="/a b/ü+~.pdf") == "file:///a%20b/%C3%BC%2B~.pdf#page=4"
-    assert [one(spark, names.human_bytes(F.col("n")), n=x) for x in (12, 1536, 5 << 30, 3 << 50)] == ["12 B", "1.5 KB", "5.0 GB", "3072.0 TB"]
+    assert [one(spark, names.human_bytes(F.col("n")), n=x) for x in (12, 1280, 1536, 5 << 30, 3 << 50)] == ["12 B", "1.2 KB", "1.5 KB", "5.0 GB", "3072.0 TB"]
     assert one(spark, names.author_list(F.col("a")), a=["a", "b", "c", "d"]) == "a, b, c et al."
     assert one(spark, names.storage_id(c), c="/h/Zotero/storage/AB12/x.pdf") == "AB12" and one(spark, names.storage_id(c), c="/x") is None
     assert [one(spark, names.source_type(c), c=x) for x in ("/Zotero/storage/x", "/Dropbox/x", "/x")] == ["zotero", "dropbox", "local"]
