@@ -1,17 +1,18 @@
 """Operator 2, licence scans: sparse TF-IDF cosine to templates, then inheritance from directories.
 
 1. Document frequencies of the templates' words are counted over all files (one small row per word).
-2. Every line of every whole file, and the whole text of licence files, is compared with the templates:
-   cosine of TF-IDF vectors over the templates' words, all other words of the line being one dimension
-   more with the weight of a word that no file has. A file's own licence is the best line's, from
-   LEAST upwards. A line that has none of a template's weighty words cannot reach LEAST (the rest of
-   the template's weight is too small, by Cauchy's inequality), and is passed over.
+2. Every line and every sentence of every whole file (sentences run on over line ends, as in wrapped
+   headers), and the whole text of licence files, is compared with the templates: cosine of TF-IDF
+   vectors, where words that no template has weigh as much as a word that no file has, each a dimension
+   of its own. A file's own licence is that of its best line or sentence, from LEAST upwards. One that
+   has none of a template's weighty words cannot reach LEAST (the rest of the template's weight is too
+   small, by Cauchy's inequality), and is passed over.
 3. A licence file speaks for its directory. Each directory takes the licence of its nearest ancestor
    (itself first) by joining its ancestors' paths; files without an own licence take their directory's.
 
 Defined results: null paths have no directory and inherit nothing; null texts have no licence; of
-licence files in one directory the best score counts, then the least path; ties between templates go by
-name; repeated rows are scanned one by one; empty tables give no rows.
+licence files in one directory the best score counts, then the least path; ties between templates (to
+nine digits) go by name; repeated rows are scanned one by one; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,16 +33,59 @@ LEAST = 0.6
 BROADCAST_ROWS = 200_000
 # How files of each licence name it.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
-    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ],
+    "CC-BY-4.0": [
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Licensed under CC BY 4.0.",
+    ],
+    "CC-BY-NC-4.0": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Licensed under CC BY-NC 4.0.",
+    ],
+    "CC-BY-SA-4.0": [
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-SA 4.0.",
+    ],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+    ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Unlicense": [
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
 }
 _LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 _WORD = re.compile(r"[a-z0-9]+")
+#: Between sentences: an end mark and white space, or a blank line.
+SENTENCE_END = r"[.!?][\t\n\f\r ]+|\n[\t\f\r ]*\n"
+_SENTENCE_END = re.compile(SENTENCE_END)
 
 
 class TemplateIndex:
@@ -72,9 +116,9 @@ class TemplateIndex:
         own = Counter(_WORD.findall(text.lower()))
         if self.triggers.isdisjoint(own):
             return 0.0, None
-        unknown = sum(n for w, n in own.items() if w not in self.idf)
+        unknown = sum(n * n for w, n in own.items() if w not in self.idf)
         v = {w: n * self.idf[w] for w, n in own.items() if w in self.idf}
-        norm = math.sqrt(sum(x * x for x in v.values()) + (unknown * self.other) ** 2)
+        norm = math.sqrt(sum(x * x for x in v.values()) + unknown * self.other**2)
         score, name = 0.0, None
         for label, t in self.templates:
             dot = sum(x * t[w] for w, x in v.items() if w in t) / norm
@@ -85,10 +129,9 @@ class TemplateIndex:
     def scan(self, text: str | None, whole: bool) -> tuple[float, str | None]:
         if not text or not self.at_all.search(text.lower()):
             return 0.0, None
-        found = [self.best(line) for line in text.split("\n") if self.at_all.search(line.lower())]
-        if whole:
-            found.append(self.best(text))
-        return max(found, key=lambda x: (x[0], [-ord(c) for c in x[1] or ""]), default=(0.0, None))
+        parts = {*text.split("\n"), *_SENTENCE_END.split(text), *([text] if whole else [])}
+        found = [self.best(part) for part in parts if self.at_all.search(part.lower())]
+        return min(found, key=lambda x: (-round(x[0], 9), x[1] or "", -x[0]), default=(0.0, None))
 
 
 def frequencies(files: DataFrame, text_col: str, templates: dict[str, list[str]] = TEMPLATES) -> tuple[int, dict[str, int]]:
@@ -137,5 +180,6 @@ def licenses(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path"
     ancestors = own.filter("dir IS NOT NULL").select("dir").distinct().select("dir", F.posexplode(F.array_distinct(ups)).alias("depth", "above"))
     near = ancestors.join(sent(stated.withColumnRenamed("dir", "above")), "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "license")).alias("m"))
     near = near.select("dir", F.col("m.above").alias("above"), F.col("m.license").alias("from_dir"))
-    out = own.join(near, "dir", "left")
-    return out.select("doc_id", "path", "own_license", "own_score", F.coalesce("own_license", "from_dir").alias("license"), F.when(F.col("own_license").isNull(), F.col("above")).alias("inherited_from"))
+    out = own.filter("dir IS NOT NULL").join(near, "dir", "left")
+    nowhere = own.filter("dir IS NULL").withColumns({"above": F.lit(None).cast("string"), "from_dir": F.lit(None).cast("string")})
+    return out.unionByName(nowhere).select("doc_id", "path", "own_license", "own_score", F.coalesce("own_license", "from_dir").alias("license"), F.when(F.col("own_license").isNull(), F.col("above")).alias("inherited_from"))

@@ -162,7 +162,7 @@ UNION ALL SELECT archive::VARCHAR, id, off, state, NULL, NULL, NULL, NULL, NULL,
 
 
 def _license_sql() -> str:
-    from folioscope.llm.licenses import LEAST, TEMPLATES
+    from folioscope.llm.licenses import LEAST, SENTENCE_END, TEMPLATES
 
     quote = lambda t: t.replace("'", "''")
     listed = ", ".join(f"('{n}', {i}, '{quote(t)}')" for n, ts in sorted(TEMPLATES.items()) for i, t in enumerate(ts))
@@ -173,9 +173,9 @@ f AS (SELECT doc_id, {path} AS path, text, doc_id % 50 = 0 AS is_license FROM do
 df AS (SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM f) WHERE word IN (SELECT word FROM tpl) GROUP BY word),
 idf AS (SELECT word, ln((1 + n_files) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT word FROM tpl) LEFT JOIN df USING (word), total),
 tv AS (SELECT name, i, word, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY name, i)) AS x FROM tpl JOIN idf USING (word)),
-part AS (SELECT doc_id, 0 AS k, unnest(string_split(text, chr(10))) AS t FROM f UNION ALL SELECT doc_id, 1, text FROM f WHERE is_license), lines AS (SELECT row_number() OVER () AS line, doc_id, t FROM part),
+part AS (SELECT doc_id, 0 AS k, unnest(string_split(text, chr(10))) AS t FROM f UNION ALL SELECT doc_id, 1, unnest(string_split_regex(text, '{SENTENCE_END}')) FROM f UNION ALL SELECT doc_id, 2, text FROM f WHERE is_license), lines AS (SELECT row_number() OVER () AS line, doc_id, t FROM part),
 tok AS (SELECT line, doc_id, word, count(*) AS n FROM (SELECT line, doc_id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS word FROM lines) GROUP BY ALL),
-norm AS (SELECT line, sqrt(sum(CASE WHEN idf IS NULL THEN 0 ELSE (n * idf) ** 2 END) + (sum(CASE WHEN idf IS NULL THEN n ELSE 0 END) * (ln(1 + n_files) + 1)) ** 2) AS norm FROM tok LEFT JOIN idf USING (word), total GROUP BY line, n_files),
+norm AS (SELECT line, sqrt(sum(CASE WHEN idf IS NULL THEN 0 ELSE (n * idf) ** 2 END) + sum(CASE WHEN idf IS NULL THEN n * n ELSE 0 END) * (ln(1 + n_files) + 1) ** 2) AS norm FROM tok LEFT JOIN idf USING (word), total GROUP BY line, n_files),
 cosine AS (SELECT doc_id, line, name, i, sum(n * idf * x) / norm AS c FROM tok JOIN idf USING (word) JOIN tv USING (word) JOIN norm USING (line) GROUP BY doc_id, line, name, i, norm),
 own AS (SELECT doc_id, name AS own_license, c AS own_score FROM cosine WHERE c >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, name) = 1),
 g AS (SELECT f.doc_id, path, is_license, regexp_replace(path, '/[^/]*$', '') AS dir, own_license, coalesce(own_score, 0) AS own_score FROM f LEFT JOIN own USING (doc_id)),

@@ -12,8 +12,7 @@ def brute(line, n, df):
     idf = lambda w: math.log((1 + n) / (1 + df.get(w, 0))) + 1
     vocab = {w for ts in TEMPLATES.values() for t in ts for w in WORD.findall(t.lower())}
     own = Counter(WORD.findall(line.lower()))
-    other = sum(c for w, c in own.items() if w not in vocab)
-    norm = math.sqrt(sum((c * idf(w)) ** 2 for w, c in own.items() if w in vocab) + (other * (math.log(1 + n) + 1)) ** 2)
+    norm = math.sqrt(sum((c * (idf(w) if w in vocab else math.log(1 + n) + 1)) ** 2 for w, c in own.items()))
     best = (0.0, None)
     for name, ts in sorted(TEMPLATES.items()):
         for t in ts:
@@ -41,6 +40,24 @@ def test_trigger_words_lose_nothing():
             assert abs(got[0] - want[0]) < 1e-9 and got[1] == want[1], line
 
 
+def test_notices_within_lines_and_over_line_ends():
+    index = TemplateIndex(10_000, {"the": 9900, "this": 9000, "of": 9800, "to": 9700, "under": 3000, "is": 9500, "in": 9600, "and": 9700, "or": 8000})
+    assert index.scan("Copyright 2020 Foo Inc. Released under the MIT License. All rights reserved by nobody else at all", False)[1] == "MIT"
+    assert index.scan("Released under the MIT License by us", False)[1] == "MIT"
+    for name, notices in TEMPLATES.items():
+        for notice in notices:
+            words, lines = notice.split(), []
+            while words:
+                lines.append(" # " + " ".join(words[:4]))
+                words = words[4:]
+            text = "A file about whales and ships\n\n" + "\n".join(lines) + "\n\nimport everything from nowhere" + " and more" * 50
+            score, got = index.scan(text, False)
+            # "v. 2.0." ends a sentence after "v."
+            assert got == name and score > (0.9 if "v. 2.0" in notice else 0.99), (name, got, score)
+    assert index.scan("The licence of the museum was under review. Free software is a public domain.", False) == (0.0, None)
+    assert index.scan(TEMPLATES["MIT"][0] + "\n" + TEMPLATES["Apache-2.0"][0], False)[1] == "Apache-2.0"
+
+
 def test_inheritance(spark):
     rows = [(1, "LICENSE", f"text\n{GPL}"), (2, "a/b/COPYING", MIT), (3, "a/b/c/x.txt", "nothing"), (4, "a/y.txt", "nothing"), (5, "a/b/z.txt", f"more text\n{GPL}\nend"), (6, "abc/w.txt", None), (7, None, MIT), (8, None, None), (9, "a/b/LICENSE.txt", "no licence words"), (10, "q/LICENSE", ""), (11, "a/b/c/x.txt", "nothing"), (None, "a/b/c/d", "long " * 50000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, path string, text string, license string").repartition(3)
