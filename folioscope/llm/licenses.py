@@ -109,7 +109,6 @@ class TemplateIndex:
                     break
                 self.triggers.add(w)
                 rest -= x * x
-        self.at_all = re.compile("|".join(map(re.escape, sorted(self.triggers))))
 
     def best(self, text: str) -> tuple[float, str | None]:
         """Highest cosine of the text to a template, and the template's name (none under the limit)."""
@@ -127,10 +126,10 @@ class TemplateIndex:
         return (score, name) if score >= self.least else (0.0, None)
 
     def scan(self, text: str | None, whole: bool) -> tuple[float, str | None]:
-        if not text or not self.at_all.search(text.lower()):
+        if not text or self.triggers.isdisjoint(_WORD.findall(text.lower())):
             return 0.0, None
         parts = {*text.split("\n"), *_SENTENCE_END.split(text), *([text] if whole else [])}
-        found = [self.best(part) for part in parts if self.at_all.search(part.lower())]
+        found = [self.best(part) for part in parts]
         return min(found, key=lambda x: (-round(x[0], 9), x[1] or "", -x[0]), default=(0.0, None))
 
 
