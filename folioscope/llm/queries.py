@@ -105,6 +105,28 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.fill_in_middle import fill_in_middle, restored
+
+    out = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_group_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.alignment import alignment
+
+    return alignment(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from folioscope.llm.byte_bpe import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_warc_fixity": op1_warc_fixity,
     "op2_license_scan": op2_license_scan,
@@ -116,8 +138,12 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_wrapper_induction": op10_wrapper_induction,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_group_alignment": op12_group_alignment,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
+
 def _warc_sql() -> str:
     from folioscope.llm.warc import FAN_OUT, LEVELS, RANGE_BYTES
 
@@ -222,4 +248,17 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op1_warc_fixity": _warc_sql(), "op2_license_scan": _license_sql(), "op4_distribution_divergence": _divergence_sql(), "op7_decontamination": _contamination_sql()}
+def _middle_sql() -> str:
+    rank = lambda k: f"('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT"
+    joined = lambda part: f"coalesce(array_to_string({part}, ''), '')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS w FROM d),
+r AS (SELECT *, len(w) AS n, least({rank(0)} % (len(w) + 1), {rank(1)} % (len(w) + 1)) AS i, greatest({rank(0)} % (len(w) + 1), {rank(1)} % (len(w) + 1)) AS j,
+CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {rank(2)} % 100 >= 100 THEN 'plain' WHEN {rank(3)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, {joined('w[1:i]')} AS prefix, {joined('w[i + 1:j]')} AS middle, {joined('w[j + 1:]')} AS suffix FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+sha256(prefix || middle || suffix) AS restored_sha256 FROM p"""
+
+
+ORACLES: dict[str, str] = {"op1_warc_fixity": _warc_sql(), "op2_license_scan": _license_sql(), "op4_distribution_divergence": _divergence_sql(), "op7_decontamination": _contamination_sql(), "op11_fill_in_middle": _middle_sql()}
