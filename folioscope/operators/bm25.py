@@ -99,8 +99,14 @@ def search(index: Bm25Index, queries: DataFrame, n: int = 200, digits: int = 6,
     list in insertion order. Scores are rounded before they are ordered, so that ties are ties on every
     engine."""
     pool = index.lengths if among is None else index.lengths.join(among.select("chunk_id"), "chunk_id", "left_semi")
+    scored = scores(index, queries, among).select("query_id", "chunk_id", "seq", F.round("score", digits).alias("s"))
+    return with_fill(scored, pool, queries, n)
+
+
+def with_fill(scored: DataFrame, pool: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """The n best of (query_id, chunk_id, seq, s), lists filled up from the pool (chunk_id, seq) as in search."""
     fill = pool.orderBy("seq").limit(n).select("chunk_id", "seq").crossJoin(F.broadcast(queries.select("query_id")))
-    both = scores(index, queries, among).select("query_id", "chunk_id", "seq", F.round("score", digits).alias("s")).union(fill.select("query_id", "chunk_id", "seq", F.lit(0.0)))
+    both = scored.union(fill.select("query_id", "chunk_id", "seq", F.lit(0.0)))
     # a chunk that fills up and hits keeps its hit, below zero or not
     one = both.groupBy("query_id", "chunk_id", "seq").agg(F.coalesce(F.max(F.when(F.col("s") != 0, F.col("s"))), F.lit(0.0)).alias("s"))
     ranked = top_k(one, n, ("s", True), ("seq", False))
