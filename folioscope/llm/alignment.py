@@ -32,11 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import keep_only, materialise, remembers, slices, texts_of
+from folioscope.llm.tokens import Encoder
 
 #: Groups whose sums are sent to all tasks: at most HOT * 50 bytes.
 HOT = 100_000
 #: Distinct pieces and groups that a worker remembers, and the longest of these pieces.
-CACHE_PIECES, CACHE_GROUPS, CACHE_CHARS = 300_000, 300_000, 200
+CACHE_PIECES, CACHE_GROUPS, CACHE_CHARS = 700_000, 300_000, 200
 #: Where a piece ends: before a space, behind a character that neither rule takes for white space.
 _PIECE_END = re.compile(r"(?<=\S)(?= )")
 _LOADED: dict[tuple[str, str], "Aligner"] = {}
@@ -58,20 +59,17 @@ class Aligner:
     """Both tokenizers, their entries' bytes, and what was learned of pieces and groups."""
 
     def __init__(self, a_path: str, b_path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
+        self.a, self.b = Encoder(a_path, True), SentencePieceProcessor(model_file=b_path)
+        self.a.tokenizer.encode_special_tokens = True
         alphabet = byte_alphabet()
-        self.a_bytes = {i: bytes(map(alphabet.__getitem__, entry)) if all(c in alphabet for c in entry) else entry.encode() for entry, i in self.a.get_vocab(True).items()}
+        self.a_bytes = {i: bytes(map(alphabet.__getitem__, entry)) if all(c in alphabet for c in entry) else entry.encode() for entry, i in self.a.tokenizer.get_vocab(True).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in x.lstrip("▁") for x in pieces):
             raise ValueError("an entry goes on behind a space: texts cannot be cut at spaces")
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
+        self.a_length, self.b_length = {i: len(x) for i, x in self.a_bytes.items()}, [len(x) for x in self.b_bytes]
         self.space = self.b.piece_to_id("▁")
         self.kind = np.dtype("<u2" if max(max(self.a_bytes), len(pieces)) < 1 << 16 else "<u4")
         self.forget()
@@ -85,8 +83,9 @@ class Aligner:
         return _LOADED[a_path, b_path]
 
     def forget(self) -> None:
-        """Groups are numbered anew: between texts only."""
-        self.pieces, self.groups, self.keys, self.pairs, self.links = {}, {}, [], [], []
+        """Groups are numbered anew, from 1: between slices of texts only. 0 stands for bytes that do not agree."""
+        self.pieces, self.groups = {}, {}
+        self.keys, self.pairs, self.shown, self.counts = [b""], [np.empty(0, "i8")], [""], [(0, 0, 0)]
 
     def expand(self, a_ids: list[int], b_ids: list[int]) -> Counter:
         """Linked occurrence pairs of one group, whose tokens end together only at its end."""
@@ -111,59 +110,66 @@ class Aligner:
         ids = np.frombuffer(key, self.kind, offset=at).tolist()
         return ids[:n], ids[n:]
 
-    def learn(self, piece: str):
-        """(numbers of the piece's groups, n_a, n_b, the groups written out), or None where bytes do not agree.
-        The piece begins with a space, which B adds by itself."""
-        a_ids = self.a.encode(piece, add_special_tokens=False).ids
-        b_ids = self.b.encode(piece[1:], num_threads=1) if len(piece) > 1 else [self.space]
-        a_parts, b_parts = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
+    def group(self, a_ids: tuple[int, ...], b_ids: tuple[int, ...]) -> int:
+        """The number of a group that is met for the first time."""
+        linked = self.expand(a_ids, b_ids)
+        self.groups[a_ids, b_ids] = number = len(self.keys)
+        self.keys.append(self.key(a_ids, b_ids))
+        self.pairs.append(np.array([x << 32 | y for x, y in linked], "i8"))
+        self.shown.append(f"{','.join(map(str, a_ids))}|{','.join(map(str, b_ids))}")
+        self.counts.append((len(a_ids), len(b_ids), linked.total()))
+        return number
+
+    def cut(self, piece: str, a_ids: tuple[int, ...], b_ids: tuple[int, ...]) -> list[int]:
+        """The piece's groups, or 0."""
         whole = piece.encode()
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            got = None
-        else:
-            a_ends, b_ends = np.cumsum([len(x) for x in a_parts]), np.cumsum([len(x) for x in b_parts])
-            both = np.intersect1d(a_ends, b_ends, assume_unique=True)
-            a_cut, b_cut = (np.searchsorted(a_ends, both) + 1).tolist(), (np.searchsorted(b_ends, both) + 1).tolist()
-            numbers, shown, i, j = [], [], 0, 0
-            for to_a, to_b in zip(a_cut, b_cut):
-                own_a, own_b = a_ids[i:to_a], b_ids[j:to_b]
-                key = self.key(own_a, own_b)
-                if (number := self.groups.get(key)) is None:
-                    number = self.groups[key] = len(self.keys)
-                    linked = self.expand(own_a, own_b)
-                    self.keys.append(key)
-                    self.pairs.append(np.array([x << 32 | y for x, y in linked], "i8"))
-                    self.links.append(linked.total())
-                numbers.append(number)
-                shown.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                i, j = to_a, to_b
-            got = np.array(numbers, "i8"), len(a_ids), len(b_ids), ";".join(shown)
-        if len(piece) <= CACHE_CHARS:
-            self.pieces[piece] = got
-        return got
-
-    def align(self, text: str):
-        """(n_a, n_b, n_groups, n_links, groups_sha256, keys, freqs, again) of a text."""
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b_bytes.__getitem__, b_ids)) != whole:
+            return [0]
+        numbers, a_length, b_length = [], self.a_length, self.b_length
+        i = j = from_a = from_b = end_a = end_b = 0
+        for a in a_ids:
+            end_a += a_length[a]
+            i += 1
+            while end_b < end_a:
+                end_b += b_length[b_ids[j]]
+                j += 1
+            if end_a == end_b:
+                own = a_ids[from_a:i], b_ids[from_b:j]
+                numbers.append(self.groups.get(own) or self.group(*own))
+                from_a, from_b = i, j
+        return numbers
+
+    def learn(self, new: list[str]) -> None:
+        """Encode and group distinct pieces; each begins with a space, which B adds by itself."""
+        self.a.known = {}
+        self.a._learn(set(new))
+        of_b = self.b.encode([x[1:] for x in new], num_threads=1)
+        for piece, b_ids in zip(new, of_b):
+            a_ids = tuple(np.frombuffer(self.a.known[piece], "<u4").tolist())
+            self.pieces[piece] = np.array(self.cut(piece, a_ids, tuple(b_ids) if len(piece) > 1 else (self.space,)), "<u4").tobytes()
+        self.a.known = {}
+
+    def align(self, texts: list[str]):
+        """(n_a, n_b, n_groups, n_links, groups_sha256, keys, freqs, again) of each text."""
         if len(self.pieces) > CACHE_PIECES or len(self.keys) > CACHE_GROUPS:
             self.forget()
-        known, got, shown = self.pieces, [], hashlib.sha256()
-        nothing = 0, 0, 0, 0, "", [], [], []
-        if not text:
-            return nothing
-        n_a = n_b = 0
-        for n, piece in enumerate(_PIECE_END.split(" " + text)):
-            x = known[piece] if piece in known else self.learn(piece)
-            if x is None:
-                return nothing
-            got.append(x[0])
-            n_a += x[1]
-            n_b += x[2]
-            shown.update((";" + x[3] if n else x[3]).encode())
-        own, freqs = np.unique(np.concatenate(got), return_counts=True)
-        numbers = own.tolist()
-        pairs, held = np.unique(np.concatenate([self.pairs[i] for i in numbers]), return_counts=True)
-        n_links = int(np.dot([self.links[i] for i in numbers], freqs))
-        return n_a, n_b, int(freqs.sum()), n_links, shown.hexdigest(), [self.keys[i] for i in numbers], freqs, np.repeat(pairs, held - 1)
+        cut = [_PIECE_END.split(" " + x) if x else [] for x in texts]
+        self.learn(list({p for x in cut for p in x}.difference(self.pieces)))
+        nothing, known = (0, 0, 0, 0, "", [], [], []), self.pieces.__getitem__
+        counts = np.array(self.counts, "i8")
+        for pieces in cut:
+            numbers = np.frombuffer(b"".join(map(known, pieces)), "<u4")
+            if not len(numbers) or not numbers.all():
+                yield nothing
+                continue
+            shown = hashlib.sha256(";".join(map(self.shown.__getitem__, numbers.tolist())).encode()).hexdigest()
+            own, freqs = np.unique(numbers, return_counts=True)
+            n_a, n_b, n_links = (int(x) for x in freqs @ counts[own])
+            groups = own.tolist()
+            pairs, held = np.unique(np.concatenate([self.pairs[i] for i in groups]), return_counts=True)
+            yield n_a, n_b, len(numbers), n_links, shown, [self.keys[i] for i in groups], freqs, np.repeat(pairs, held - 1)
+        for piece in {p for x in cut for p in x if len(p) > CACHE_CHARS}:
+            del self.pieces[piece]
 
 
 def _short(key: Column) -> Column:
@@ -180,7 +186,7 @@ def grouped(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id"
     def run(batches):
         aligner = Aligner.shared(a_path, b_path)
         for b in slices(batches, chars=1_000_000):
-            cols = zip(*map(aligner.align, texts_of(b)))
+            cols = zip(*aligner.align(texts_of(b)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *[pa.array(x, k) for x, k in zip(cols, kinds)]], names=["doc_id", "row", *names])
 
     schema = "doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys array<binary>, freqs array<long>, again array<long>"
