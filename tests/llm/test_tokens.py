@@ -82,21 +82,58 @@ def test_pack_many_tasks_merges_up_the_tree(spark, monkeypatch, chunk):
         assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(own[-1]) <= 256
 
 
-def test_groups_of_the_tree_stay_bounded():
+def test_counts_are_packed_as_single_items_are():
+    from folioscope.llm.packing import best_fit_counts
+
+    rng = np.random.default_rng(3)
+    for trial in range(300):
+        size = int(rng.choice([7, 64, 1024]))
+        lengths = rng.choice(rng.integers(1, size + 1, int(rng.integers(1, 9))), int(rng.integers(0, 200)))
+        names, n = np.unique(lengths, return_counts=True)
+        got = best_fit_counts(dict(zip(names.tolist(), n.tolist())), size)
+        bins, at, fills = best_fit(lengths, size)
+        # equal rooms are filled in another order, so only the fills are the same
+        assert sorted(sum(c) for c, times in got for _ in range(times)) == sorted(fills)
+        assert sorted(x for c, times in got for x in c * times) == sorted(lengths.tolist())
+    # a thousand million items cost no more than a few
+    assert sum(n for _, n in best_fit_counts({600: 10**9, 400: 10**9 + 1, 24: 10**9}, 1024)) == 10**9 + 1
+
+
+def _lay_out(spark, kind, tasks):
+    """Documents of known lengths (one id a word and the end id) dealt unevenly to tasks; the ids they have in all."""
+    one = {"sorted": "int(id * 1000 / 4000)", "two clusters": "if(id < 2000, 599, 399)", "chunked": "if(id % 500 < 250, 599, 399)", "mixed": "int(pow(pmod(id * 7919, 4000) / 4000.0, 3) * 1500)"}[kind]
+    return spark.range(0, 4000, 1, tasks).selectExpr("id AS doc_id", f"repeat('a ', {one}) AS text", "'clash' AS bin", "1 AS length")
+
+
+@pytest.mark.parametrize("kind", ["sorted", "two clusters", "chunked", "mixed"])
+@pytest.mark.parametrize("tasks", [2, 64, 200])
+def test_uneven_tasks_pack_as_well_as_the_whole(spark, monkeypatch, kind, tasks):
+    from folioscope.llm import packing as module
+
+    monkeypatch.setattr(module, "FAN_IN", 8)
+    monkeypatch.setattr(module, "CHUNK", 300)
+    rows = pack(_lay_out(spark, kind, tasks), P.path("byte_bpe_50k.json"), 2, spaced=True).select("doc_id", "length", "sequence_id", "offset").collect()
+    lengths = np.array([r.length for r in rows])
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in map(sorted, places.values()):
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(own[-1]) <= 1024
+    whole = len(best_fit(lengths, 1024)[2])
+    assert len(places) <= 1.01 * whole + 1, (len(places), whole)
+
+
+def test_groups_of_the_tree_stay_bounded(spark, monkeypatch):
+    """Rows into a group: children times lengths, however many pieces are handed on."""
     import pandas as pd
 
-    from folioscope.llm.packing import FAN_IN, HANDED, _merge, handed_on
+    from folioscope.llm import packing as module
 
-    rng = np.random.default_rng(3)
-    lengths = rng.integers(1, 900, 5000)
-    bins, at, fills = best_fit(lengths, 1024)
-    assert handed_on(np.array(fills), 1024).sum() <= HANDED
-    # a group at its largest: FAN_IN tasks with HANDED bins each; it hands on no more than one of them did
-    rows = pd.DataFrame({"bin": bins, "at": at, "length": lengths, "root": bins, "place": at, "live": True, "node": 7})
-    rows = rows[rows["bin"] < FAN_IN * HANDED]
-    out = _merge(1024, 2)(rows)
-    assert len(out) == len(rows) and out[out["live"]]["root"].nunique() <= HANDED
-    assert (out["root"] < 0).all() and (out.groupby("root")["length"].sum() <= 1024).all()
+    rows = pd.DataFrame([(7, child, length, 10**6) for child in range(32) for length in range(1, 1025)], columns=["node", "child", "length", "n"])
+    out = module._merge(1024, 2, False)(rows)
+    base, plan, left = (out[out["kind"] == k] for k in ("base", "plan", "left"))
+    assert len(base) == len(rows) and len(left) <= 1024 and len(plan) < 20_000
+    assert plan.groupby("length")["n"].sum().add(left.set_index("length")["n"], fill_value=0).eq(32 * 10**6).all()
 
 
 def test_pack_empty(spark):
