@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from folioscope.llm.tokens import Encoder
 #: Groups whose sums are sent to all tasks: at most HOT * 50 bytes.
 HOT = 100_000
 #: Distinct pieces and groups that a worker remembers, and the longest of these pieces.
-CACHE_PIECES, CACHE_GROUPS, CACHE_CHARS = 700_000, 300_000, 200
+CACHE_PIECES, CACHE_GROUPS, CACHE_CHARS = 250_000, 200_000, 200
 #: Where a piece ends: before a space, behind a character that neither rule takes for white space.
 _PIECE_END = re.compile(r"(?<=\S)(?= )")
 _LOADED: dict[tuple[str, str], "Aligner"] = {}
@@ -69,7 +70,10 @@ class Aligner:
         if any("▁" in x.lstrip("▁") for x in pieces):
             raise ValueError("an entry goes on behind a space: texts cannot be cut at spaces")
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
-        self.a_length, self.b_length = {i: len(x) for i, x in self.a_bytes.items()}, [len(x) for x in self.b_bytes]
+        self.a_length = np.zeros(max(self.a_bytes) + 1, "i8")
+        for i, x in self.a_bytes.items():
+            self.a_length[i] = len(x)
+        self.b_length = np.array([len(x) for x in self.b_bytes], "i8")
         self.space = self.b.piece_to_id("▁")
         self.kind = np.dtype("<u2" if max(max(self.a_bytes), len(pieces)) < 1 << 16 else "<u4")
         self.forget()
@@ -84,7 +88,7 @@ class Aligner:
 
     def forget(self) -> None:
         """Groups are numbered anew, from 1: between slices of texts only. 0 stands for bytes that do not agree."""
-        self.pieces, self.groups = {}, {}
+        self.pieces, self.before, self.groups, self.small = {}, {}, {}, {}
         self.keys, self.pairs, self.shown, self.counts = [b""], [np.empty(0, "i8")], [""], [(0, 0, 0)]
 
     def expand(self, a_ids: list[int], b_ids: list[int]) -> Counter:
@@ -120,41 +124,75 @@ class Aligner:
         self.counts.append((len(a_ids), len(b_ids), linked.total()))
         return number
 
-    def cut(self, piece: str, a_ids: tuple[int, ...], b_ids: tuple[int, ...]) -> list[int]:
-        """The piece's groups, or 0."""
-        whole = piece.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b_bytes.__getitem__, b_ids)) != whole:
-            return [0]
-        numbers, a_length, b_length = [], self.a_length, self.b_length
-        i = j = from_a = from_b = end_a = end_b = 0
-        for a in a_ids:
-            end_a += a_length[a]
-            i += 1
-            while end_b < end_a:
-                end_b += b_length[b_ids[j]]
-                j += 1
-            if end_a == end_b:
-                own = a_ids[from_a:i], b_ids[from_b:j]
-                numbers.append(self.groups.get(own) or self.group(*own))
-                from_a, from_b = i, j
-        return numbers
+    def cut(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the groups of tokens of the same bytes, and where each group's bytes end."""
+        a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
+        ends = a_ends[np.isin(a_ends, b_ends, assume_unique=True)]
+        to_a, to_b = np.searchsorted(a_ends, ends) + 1, np.searchsorted(b_ends, ends) + 1
+        from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
+        n_a, n_b = to_a - from_a, to_b - from_b
+        numbers = np.zeros(len(ends), "u4")
+        # groups of up to four ids are numbered by the ids in one integer, each kind in one go
+        wide = self.kind.itemsize * 8
+        for x, y in ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1)):
+            at = np.flatnonzero((n_a == x) & (n_b == y)) if (x + y) * wide <= 64 else []
+            if not len(at):
+                continue
+            code = np.zeros(len(at), "u8")
+            for ids, first, n in ((a_ids, from_a, x), (b_ids, from_b, y)):
+                for k in range(n):
+                    code = code << np.uint64(wide) | ids[first[at] + k].astype("u8")
+            codes, place, of = np.unique(code, return_index=True, return_inverse=True)
+            known = []
+            for c, i in zip(codes.tolist(), at[place].tolist()):
+                if (number := self.small.get((x, y, c))) is None:
+                    number = self.small[x, y, c] = self.group(tuple(a_ids[from_a[i] : to_a[i]].tolist()), tuple(b_ids[from_b[i] : to_b[i]].tolist()))
+                known.append(number)
+            numbers[at] = np.array(known, "u4")[of]
+        for i in np.flatnonzero(numbers == 0).tolist():
+            own = tuple(a_ids[from_a[i] : to_a[i]].tolist()), tuple(b_ids[from_b[i] : to_b[i]].tolist())
+            numbers[i] = self.groups.get(own) or self.group(*own)
+        return numbers, ends
 
     def learn(self, new: list[str]) -> None:
         """Encode and group distinct pieces; each begins with a space, which B adds by itself."""
         self.a.known = {}
         self.a._learn(set(new))
-        of_b = self.b.encode([x[1:] for x in new], num_threads=1)
-        for piece, b_ids in zip(new, of_b):
-            a_ids = tuple(np.frombuffer(self.a.known[piece], "<u4").tolist())
-            self.pieces[piece] = np.array(self.cut(piece, a_ids, tuple(b_ids) if len(piece) > 1 else (self.space,)), "<u4").tobytes()
+        a_ids = [self.a.known[x] for x in new]
+        b_ids = [x if len(piece) > 1 else [self.space] for piece, x in zip(new, self.b.encode([x[1:] for x in new], num_threads=1))]
         self.a.known = {}
+        of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        whole = [x.encode() for x in new]
+        flat_a, flat_b = np.frombuffer(b"".join(a_ids), "<u4").astype("i8"), list(chain.from_iterable(b_ids))
+        good, want = [True] * len(new), b"".join(whole)
+        # tokens never stand for more bytes than they were made of, so if all together agree each piece does
+        if b"".join(map(of_a, flat_a.tolist())) != want or b"".join(map(of_b, flat_b)) != want:
+            good = [b"".join(map(of_b, y)) == w and b"".join(map(of_a, np.frombuffer(x, "<u4").tolist())) == w for x, y, w in zip(a_ids, b_ids, whole)]
+            flat_a = np.frombuffer(b"".join(x for x, ok in zip(a_ids, good) if ok), "<u4").astype("i8")
+            flat_b = [i for x, ok in zip(b_ids, good) if ok for i in x]
+        numbers, ends = self.cut(flat_a, np.array(flat_b, "i8"))
+        sizes = np.cumsum([len(w) for w, ok in zip(whole, good) if ok])
+        edges = np.concatenate([[0], np.searchsorted(ends, sizes) + 1]).tolist() if len(sizes) else [0]
+        flat, at = numbers.tobytes(), 0
+        for piece, ok in zip(new, good):
+            if ok:
+                self.pieces[piece] = flat[4 * edges[at] : 4 * edges[at + 1]]
+                at += 1
+            else:
+                self.pieces[piece] = bytes(4)
 
     def align(self, texts: list[str]):
         """(n_a, n_b, n_groups, n_links, groups_sha256, keys, freqs, again) of each text."""
-        if len(self.pieces) > CACHE_PIECES or len(self.keys) > CACHE_GROUPS:
+        if len(self.keys) > CACHE_GROUPS:
             self.forget()
+        elif len(self.pieces) > CACHE_PIECES:
+            self.pieces, self.before = {}, self.pieces
         cut = [_PIECE_END.split(" " + x) if x else [] for x in texts]
-        self.learn(list({p for x in cut for p in x}.difference(self.pieces)))
+        new = set(chain.from_iterable(cut)).difference(self.pieces)
+        for piece in new.intersection(self.before):
+            self.pieces[piece] = self.before[piece]
+        if new := list(new.difference(self.before)):
+            self.learn(new)
         nothing, known = (0, 0, 0, 0, "", [], [], []), self.pieces.__getitem__
         counts = np.array(self.counts, "i8")
         for pieces in cut:
