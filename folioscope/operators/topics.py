@@ -1,7 +1,7 @@
 """Topics of documents: pooled vectors are clustered, class-based TF-IDF names the clusters.
 
-Density clustering with outliers has no counterpart in Spark; PCA and bisecting k-means stand in, and
-there is no outlier topic. The weights and labels are exact given the assignment.
+Clusters are those of operators.density (with outliers, -1), or with a given number of topics those of PCA and
+bisecting k-means, without outliers. The weights and labels are exact given the assignment.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions.text import tokens
+from folioscope.sources.places import written
 
 # English words that name no topic.
 STOP_WORDS = "a about after all also an and any are as at be because been but by can could did do for from had has have he her his if in into is it its may more most no not of on one or other our out she so some such than that the their them then there these they this to up us was we were what when which who will with would you your".split()
@@ -22,16 +23,28 @@ def document_texts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.array_join(F.transform(own, lambda c: c["content"]), " ").alias("text"))
 
 
-def assign_topics(pooled: DataFrame, n_topics: int, seed: int = 42, components: int = 5) -> DataFrame:
-    """doc_id, topic_id from (doc_id, embedding array)."""
-    from pyspark.ml.clustering import BisectingKMeans
+def _components(pooled: DataFrame, components: int) -> DataFrame:
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
     rows = pooled.select("doc_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    reduced = PCA(k=components, inputCol="features", outputCol="few").fit(rows).transform(rows)
-    model = BisectingKMeans(k=n_topics, seed=seed, featuresCol="few", predictionCol="topic_id").fit(reduced)
-    return model.transform(reduced).select("doc_id", "topic_id")
+    return PCA(k=components, inputCol="features", outputCol="few").fit(rows).transform(rows)
+
+
+def reduced(pooled: DataFrame, components: int = 5) -> DataFrame:
+    """doc_id, embedding: the vectors' principal components, for density clusters."""
+    from pyspark.ml.functions import vector_to_array
+
+    return _components(pooled.filter(F.col("embedding").isNotNull()), components).select("doc_id", vector_to_array("few").alias("embedding"))
+
+
+def assign_topics(pooled: DataFrame, n_topics: int, seed: int = 42, components: int = 5) -> DataFrame:
+    """doc_id, topic_id from (doc_id, embedding array)."""
+    from pyspark.ml.clustering import BisectingKMeans
+
+    few = _components(pooled, components)
+    model = BisectingKMeans(k=n_topics, seed=seed, featuresCol="few", predictionCol="topic_id").fit(few)
+    return model.transform(few).select("doc_id", "topic_id")
 
 
 def class_tfidf(docs: DataFrame, min_df: int = 2) -> DataFrame:
@@ -40,9 +53,10 @@ def class_tfidf(docs: DataFrame, min_df: int = 2) -> DataFrame:
     words = docs.select("topic_id", F.col("doc_id").alias("_d"), F.explode(tokens(F.col("text"))).alias("term")).filter(~F.col("term").isin(STOP_WORDS) & (F.length("term") > 1))
     # words of a document are counted where it lies, then documents and words by topic
     own = words.groupBy("topic_id", "_d", "term").agg(F.count(F.lit(1)).alias("tf"))
-    per = own.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    per = written(own.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")), "topic-counts")
     total = per.groupBy("term").agg(F.sum("tf").alias("f"), F.sum("df").alias("df")).filter(F.col("df") >= min_df)
-    kept = per.select("topic_id", "term", "tf").join(total.select("term", "f"), "term")
+    # size, mean and result all read it: one pass over the texts
+    kept = written(per.select("topic_id", "term", "tf").join(total.select("term", "f"), "term"), "topic-words")
     size = kept.groupBy("topic_id").agg(F.sum("tf").alias("words"))
     mean = size.agg(F.avg("words").alias("mean"))
     out = kept.join(F.broadcast(size), "topic_id").crossJoin(F.broadcast(mean))

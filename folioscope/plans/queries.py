@@ -696,4 +696,4 @@ def sync_outcomes(spark, sf_dir):
     return reconcile.sync_outcomes(key(_t(spark, sf_dir, "documents"), "doc_id"), key(_t(spark, sf_dir, "pages"), "page_id"), tried)
 
 
-from folioscope.plans import more_queries  # noqa: E402,F401  (registers its own)
+from folioscope.plans import more_queries, store_queries  # noqa: E402,F401  (register their own)
