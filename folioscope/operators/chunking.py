@@ -1,94 +1,94 @@
-"""Chunkers: page chunks as a fold of built-ins, section chunks in Arrow batches.
+"""Chunkers in Arrow batches: page chunks and section chunks.
 
-Both are greedy in a document and independent between documents. Page chunks are folded over the
-paragraphs' lengths (two integers of state), so a long document costs one pass.
+Both are greedy in a document and independent between documents, and one pass over a document's text: running
+lengths say where a chunk starts, and a chunk's pages are looked up among the sorted page marks.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import equation_counts, trimmed
+from folioscope.functions.text import equation_counts
 
-_MARK = r"<!-- Pages (\d+)-(\d+) -->"
+_MARK = re.compile(r"<!-- Pages ([0-9]+)-([0-9]+) -->")
+#: White space as Spark's patterns take it, so that both trim alike.
+_BLANK = " \t\n\x0b\f\r"
+#: Characters of chunks that are put into one Arrow batch.
+BATCH_CHARS = 4_000_000
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), 0)
+def _page_at(starts: list[int], marks: list[tuple[int, int, int]], position: int, total: int) -> int:
+    """Page of a position: spread evenly between a mark and the next; 1 before any mark."""
+    i = bisect_right(starts, position)
+    if not i:
+        return 1
+    at, first, last = marks[i - 1]
+    end = starts[i] if i < len(starts) else total
+    if position >= end:
+        return 1
+    return first if first == last else min(last, first + int((last - first + 1) * ((position - at) / (end - at)) // 1))
 
 
-def _paragraph_groups(paragraphs: Column, most: int) -> Column:
-    """For each paragraph the number of its chunk: a new one begins where the text so far and the
-    paragraph are longer than `most` together (the blank line between them is not counted)."""
-    start = F.struct(F.lit(0).alias("length"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("of"))
-
-    def step(s: Column, p: Column) -> Column:
-        cut = (s["length"] > 0) & (s["length"] + F.length(p) > most)
-        chunk = s["chunk"] + cut.cast("int")
-        length = F.when(cut | (s["length"] == 0), F.length(p)).otherwise(s["length"] + 2 + F.length(p))
-        return F.struct(length.alias("length"), chunk.alias("chunk"), F.concat(s["of"], F.array(chunk)).alias("of"))
-
-    return F.aggregate(paragraphs, start, step, lambda s: s["of"])
-
-
-def _chunk_texts(paragraphs: Column, groups: Column) -> Column:
-    """Texts of the chunks before trimming; leading empty paragraphs of a chunk leave no trace."""
-
-    def text(k: Column) -> Column:
-        first, after = F.array_position(groups, k), F.array_position(groups, k + 1)
-        count = F.when(after > 0, after - first).otherwise(F.size(groups) + 1 - first)
-        return F.regexp_replace(F.array_join(F.slice(paragraphs, first.cast("int"), count.cast("int")), "\n\n"), r"^\n\n(?:\n\n)*", "")
-
-    return F.transform(F.sequence(F.lit(0), F.array_max(groups)), text)
-
-
-def _page_at(marks: Column, position: Column, total: Column) -> Column:
-    """Page of a position: spread evenly between a marker and the next; 1 before any marker."""
-    before = F.filter(marks, lambda m: m["at"] <= position)
-    i = F.size(before)
-
-    def within(m: Column) -> Column:
-        end = F.coalesce(F.get(marks, i)["at"], total)
-        page = m["first"] + F.floor((m["last"] - m["first"] + 1) * ((position - m["at"]) / (end - m["at"]))).cast("int")
-        return F.when(position >= end, 1).when(m["first"] == m["last"], m["first"]).otherwise(F.least(page, m["last"]))
-
-    return F.when(i == 0, 1).otherwise(_let(F.get(marks, i - 1), within))
-
-
-def _marks(content: Column) -> Column:
-    """Markers in order: array of struct(at, first, last)."""
-    firsts, lasts = (F.regexp_extract_all(content, F.lit(_MARK), F.lit(g)) for g in (1, 2))
-    whole = F.regexp_extract_all(content, F.lit(f"({_MARK})"), F.lit(1))
-    between = F.split(content, _MARK)
-
-    def at(i: Column) -> Column:
-        return F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(whole, 1, i), F.lit(0), lambda s, x: s + F.length(x))
-
-    return F.transform(firsts, lambda f, i: F.struct(at(i).alias("at"), f.cast("int").alias("first"), F.get(lasts, i).cast("int").alias("last")))
-
+def _paragraph_groups(content: str, most: int) -> Iterator[str]:
+    """Paragraphs put together: a new group begins where the text so far and the paragraph are longer than `most`
+    together (the blank line between them is not counted). Empty paragraphs at a group's start leave no trace."""
+    group: list[str] = []
+    length = 0
+    for p in content.split("\n\n"):
+        if length and length + len(p) > most:
+            yield "\n\n".join(group)
+            group, length = [p], len(p)
+        elif length:
+            group.append(p)
+            length += 2 + len(p)
+        else:
+            group, length = [p], len(p)
+    yield "\n\n".join(group)
 
-def page_chunks(content: Column, most: int = 2000) -> Column:
-    """array<struct(text, pages)>: paragraphs put together up to `most` characters, with their pages."""
 
-    def build(paragraphs: Column) -> Column:
-        texts = _let(_paragraph_groups(paragraphs, most), lambda g: _chunk_texts(paragraphs, g))
-        return _let(texts, lambda t: _let(_marks(content), lambda m: located(t, m)))
+def page_chunks_of(content: str, most: int = 2000) -> Iterator[tuple[str, list[int]]]:
+    """Chunks of up to `most` characters with their pages, which eleven places of the chunk tell; [1] without marks.
+    Only the last chunk can be blank; it is left out."""
+    marks = [(m.start(), int(m[1]), int(m[2])) for m in _MARK.finditer(content)]
+    starts, start = [m[0] for m in marks], 0
+    groups = list(_paragraph_groups(content, most))
+    if not groups[-1].strip(_BLANK):
+        groups.pop()
+    for text in groups:
+        pages = {_page_at(starts, marks, start + len(text) * k // 10, len(content)) for k in range(11)} if marks else {1}
+        yield text.strip(_BLANK), sorted(pages)
+        start += len(text) + 2
 
-    def located(texts: Column, marks: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            start = F.aggregate(F.slice(texts, 1, i), F.lit(0), lambda s, x: s + F.length(x) + 2)
-            pages = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: _page_at(marks, start + F.floor(F.length(t) * k / 10).cast("int"), F.length(content)))
-            return F.struct(trimmed(t).alias("text"), F.when(F.size(marks) == 0, F.array(F.lit(1))).otherwise(F.array_sort(F.array_distinct(pages))).alias("pages"))
 
-        return F.transform(texts, one)
+def _chunk_table(docs: DataFrame, id_col: str, text_col: str, kinds: dict[str, tuple[str, pa.DataType]], chunks_of: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    """One row per chunk: id, chunk_index and what chunks_of gives. A long document fills several batches."""
+    names = [id_col, "chunk_index", *kinds]
 
-    chunks = _let(F.split(content, "\n\n"), build)
-    # only the last chunk can be blank; it is left out
-    return F.when(trimmed(content) == "", F.slice(chunks, 1, 0)).otherwise(F.filter(chunks, lambda c, i: (c["text"] != "") | (i < F.size(chunks) - 1)))
+    def run(batches):
+        for b in batches:
+            types = [b.schema.field(0).type, pa.int32(), *[k for _, k in kinds.values()]]
+            rows: list[tuple] = []
+            size = 0
+            for i in range(b.num_rows):
+                # one text at a time becomes a Python string
+                key, text = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                for index, chunk in enumerate(chunks_of(text or "")):
+                    rows.append((key, index, *chunk))
+                    size += len(chunk[0])
+                    if size >= BATCH_CHARS or len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
+
+    own = ", ".join(f"{name} {kind}" for name, (kind, _) in kinds.items())
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, chunk_index int, {own}")
 
 
 def merge_small(chunks: list[tuple[str, list[str]]], least: int) -> list[tuple[str, list[str]]]:
@@ -164,20 +164,14 @@ def section_chunks_of(content: str, most: int = 3000, least: int = 200) -> list[
 def section_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "content", most: int = 3000, least: int = 200) -> DataFrame:
     """One row per chunk: id, chunk_index, content, section (array of its heading)."""
 
-    def run(batches):
-        for b in batches:
-            rows = [(k, i, t, h) for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, (t, h) in enumerate(section_chunks_of(text or "", most, least))]
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.string()))], names=[id_col, "chunk_index", "content", "section"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, chunk_index int, content string, section array<string>")
+    kinds = {"content": ("string", pa.string()), "section": ("array<string>", pa.list_(pa.string()))}
+    return _chunk_table(docs, id_col, text_col, kinds, lambda text: section_chunks_of(text, most, least))
 
 
 def chunk_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "content", most: int = 2000) -> DataFrame:
     """Page chunks, one per row: id, chunk_index, content, page_numbers."""
-    flat = docs.select(id_col, F.posexplode(page_chunks(F.col(text_col), most)).alias("chunk_index", "c"))
-    return flat.select(id_col, "chunk_index", F.col("c.text").alias("content"), F.col("c.pages").alias("page_numbers"))
+    kinds = {"content": ("string", pa.string()), "page_numbers": ("array<int>", pa.list_(pa.int32()))}
+    return _chunk_table(docs, id_col, text_col, kinds, lambda text: page_chunks_of(text, most))
 
 
 def with_metadata(chunks: DataFrame, offset: int = 0) -> DataFrame:

@@ -119,7 +119,7 @@ def stream_document_states(spark, sf_dir):
 
 def _density(spark, sf_dir):
     vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return density.clusters(topics.reduced(vectors, 5), 10)
+    return density.clusters(topics.reduced(vectors, 5), 10, 3)
 
 
 @_query()

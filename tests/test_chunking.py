@@ -76,3 +76,26 @@ def test_section_rows_and_metadata(spark):
     df = spark.createDataFrame([("d", "# A\n\n$x$ and \\[y\\]\n\n# B\n\nplain")], "doc_id string, content string")
     rows = with_metadata(section_chunks(df, least=0), 10).orderBy("chunk_index").collect()
     assert [(r.chunk_index, r.section, r.display_eq_count, r.inline_eq_count, r.has_equations, r.chunk_length) for r in rows] == [(10, ["A"], 1, 1, True, len(rows[0].content)), (11, ["B"], 0, 0, False, len("# B\n\nplain"))]
+
+
+def test_thousands_of_page_marks_take_no_more_than_their_share(spark):
+    import time
+
+    from folioscope.operators.chunking import page_chunks_of
+
+    content = "\n\n".join(f"<!-- Pages {i}-{i + 1} -->\n\n" + f"paragraph {i} of some length. " * 20 for i in range(1, 4001))
+    start = time.monotonic()
+    got = list(page_chunks_of(content, 1000))
+    assert time.monotonic() - start < 2 and len(got) > 2000
+    assert got == brute(content, 1000)
+    rows = chunk_rows(spark.createDataFrame([(1, content), (2, None), (3, "x")], "doc_id long, content string"), most=1000).collect()
+    assert [(r.content, r.page_numbers) for r in sorted(rows) if r.doc_id == 1] == got and len(rows) == len(got) + 1
+
+
+def test_chunks_of_a_long_document_come_in_several_batches(spark, monkeypatch):
+    from folioscope.operators import chunking
+
+    monkeypatch.setattr(chunking, "BATCH_CHARS", 500)
+    df = spark.createDataFrame([(1, "\n\n".join(f"# Part {i}\n\n" + "word " * 30 for i in range(40)))], "doc_id long, content string")
+    want = chunking.section_chunks_of(df.first().content, 400, 100)
+    assert [(r.content, r.section) for r in chunking.section_chunks(df, most=400, least=100).orderBy("chunk_index").collect()] == want
