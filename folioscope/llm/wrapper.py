@@ -8,8 +8,11 @@ place share (LEAST pages at least) is template, as is a place outside an article
 but links on most pages; what varies are slots, and slots are content. Elements that
 say another role (menu, header, footer, sidebar, notice, advert, form, comments) by tag or name are no
 slots. A name counts only as the noun of a class or id ("cookie-notice" is one, "notice-of-intent" is
-none), never on html, body, main and article, and a header's never within an article. Where a page
-marks its article, only slots in it count. A page whose slots are all constant (copies) keeps them.
+none), never on html, body, main and article, and a header's never within an article, where an id of a section,
+heading or paragraph is an anchor and names comments at most. A form is no content unless its text outweighs
+its fields (pages set whole into one). Where a page marks an article, only slots in it count, unless the text
+beside it outweighs it: then marked articles are teasers, and go. A heading that most pages have stays where what
+follows it stays. A page whose slots are all constant (copies) keeps them.
 
 Counts are pre-aggregated before they are shuffled. Base pages are sent to all tasks only if they are
 few bytes (BROADCAST_BYTES); else they are joined by host.
@@ -53,15 +56,25 @@ _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z!?][^>]*\Z""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[a-z]+|[0-9]+")
+_FORM_END, _FIELD, _FIELD_TEXT, _TAG = re.compile(r"</form\b", re.I), re.compile(r"<(?:input(?![^>]*hidden)|select|textarea|button)\b", re.I), re.compile(r"<(label|option|select|button|textarea|script|style)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S), re.compile(r"<[^>]*>")
+#: Characters of text that outweigh a form, and so many more for each of its fields.
+FORM_TEXT, FIELD_TEXT = 200, 100
+#: By how much the text beside marked articles outweighs them, and an article's text that of a teaser.
+BESIDE, TEASER, LEAST_TEXT = 2, 4, 200
+#: Elements within an article whose id is an anchor, and what it may name all the same.
+_ANCHORED, _READERS = frozenset("section p li dl figure h1 h2 h3 h4 h5 h6".split()), frozenset("comment comments commentlist disqus".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>?", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe")}
 
 
 class Node:
-    __slots__ = ("tag", "label", "up", "kids", "off", "inside", "linked", "shape", "at")
+    __slots__ = ("tag", "label", "up", "kids", "off", "inside", "linked", "article", "shape", "at")
 
     def __init__(self, tag: str, label: str, up: Node | None, off: bool, inside: bool):
         self.tag, self.label, self.up, self.off, self.inside = tag, label, up, off, inside
         self.linked = tag == "a" or up is not None and up.linked
+        # the outermost marked article that holds it
+        self.article: Node | None = up.article if up is not None and up.article is not None else self if tag == "article" and inside else None
         self.kids: list[Node] = []
         self.shape = self.at = -1
 
@@ -88,7 +101,10 @@ def _role_off(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
             label = label or value if name == "class" else label
-            off = off or named and any(_named_role(x, inside) for x in value.lower().split())
+            words = value.lower().split()
+            if name == "id" and inside and tag in _ANCHORED:
+                words = [x for x in words if _READERS.intersection(_NAME.findall(x)[-1:])]
+            off = off or named and any(_named_role(x, inside) for x in words)
         elif name == "role":
             off = off or value.lower() in _ROLES and not (inside and value.lower() in _HEADS)
         elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
@@ -96,6 +112,38 @@ def _role_off(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
     return label, off
 
 
+def _form_holds_text(page: str, at: int) -> bool:
+    """Whether the text of a form that begins at a place outweighs its fields."""
+    end = _FORM_END.search(page, at)
+    form = page[at : end.start() if end else len(page)]
+    if len(form) < FORM_TEXT:
+        return False
+    fields = len(_FIELD.findall(form))
+    return len(" ".join(_TAG.sub(" ", _FIELD_TEXT.sub(" ", form)).split())) >= FORM_TEXT + FIELD_TEXT * fields
+
+
+def chosen(order: list[tuple[str, Node, bool]]) -> list[tuple[str, Node, bool]]:
+    """The blocks that can be content, by where the text of the page is: in marked articles, in the rest of a main
+    element, or beside both."""
+    able = [x for x in order if not x[1].off]
+    sizes: dict[Node | str, int] = {}
+    where = []
+    for block, owner, links in able:
+        at: Node | str = owner.article or ("main" if owner.inside else "beside")
+        where.append(at)
+        sizes[at] = sizes.get(at, 0) + (0 if links else len(block))
+    if not any(x[1].inside for x in able):
+        return able
+    inside, beside, main = sum(n for at, n in sizes.items() if at != "beside"), sizes.get("beside", 0), sizes.get("main", 0)
+    if beside >= LEAST_TEXT and beside > BESIDE * inside:
+        own, left_out = beside, {"main"}
+    else:
+        own, left_out = main, {"beside"}
+    if own >= LEAST_TEXT:
+        left_out |= {at for at, n in sizes.items() if not isinstance(at, str) and TEASER * n < own}
+    return [x for x, at in zip(able, where) if at not in left_out]
+
+
 def parse(page: str) -> tuple[Node, list[tuple[str, Node, bool]], bool]:
     """The element tree, the text blocks in page order with their elements and whether they are mostly
     links, and whether the page has an article."""
@@ -161,6 +209,8 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node, bool]], bool]:
             text.append(" ")
         up = stack[-1]
         name, off = _role_off(tag, m[3], up.inside)
+        if tag == "form" and off and not up.off and _form_holds_text(page, at):
+            off = False
         inside = up.inside or tag in ("article", "main") and not up.off
         marked = marked or inside
         node = Node(tag, f"{tag}.{name}" if name else tag, up, up.off or off, inside)
@@ -322,7 +372,7 @@ def _place(owner: Node, to: dict[int, int]) -> int:
     return xxhash.xxh64_intdigest("\0".join([str(to[id(owner)]), *labels])) - (1 << 63)
 
 
-_BLOCKS = "array<struct<text:string,place:long,value:long,links:boolean>>"
+_BLOCKS = "array<struct<text:string,place:long,value:long,links:boolean,head:boolean>>"
 _WRAPPERS: dict[str, Wrapper] = {}
 remembers("wrappers", _WRAPPERS.clear)
 
@@ -334,7 +384,7 @@ def aligned(pages: DataFrame, sent) -> DataFrame:
 
     def run(batches):
         keep_only("wrappers")
-        kind = pa.list_(pa.struct([("text", pa.string()), ("place", pa.int64()), ("value", pa.int64()), ("links", pa.bool_())]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("place", pa.int64()), ("value", pa.int64()), ("links", pa.bool_()), ("head", pa.bool_())]))
         for b in slices(batches, rows=256):
             out, digests = [], []
             hosts = b.column("host").to_pylist()
@@ -346,13 +396,12 @@ def aligned(pages: DataFrame, sent) -> DataFrame:
                         _WRAPPERS.clear()
                     wrapper = _WRAPPERS[host] = Wrapper(base or "")
                     wrapper.source = base
-                root, order, marked = parse(page or "")
+                root, order, _ = parse(page or "")
                 to = wrapper.match(root)
                 slots = []
-                for block, owner, links in order:
-                    if not owner.off and (owner.inside or not marked):
-                        value = xxhash.xxh64_intdigest(block) - (1 << 63)
-                        slots.append({"text": block, "place": _place(owner, to), "value": value, "links": links and not owner.inside})
+                for block, owner, links in chosen(order):
+                    value = xxhash.xxh64_intdigest(block) - (1 << 63)
+                    slots.append({"text": block, "place": _place(owner, to), "value": value, "links": links and not owner.inside, "head": owner.tag in _HEADINGS})
                 out.append(slots)
                 digests.append(xxhash.xxh64_intdigest(page or "") - (1 << 63))
             columns = [b.column("page_id"), b.column("url"), b.column("host"), pa.array(digests, pa.int64()), pa.array(out, kind)]
@@ -393,7 +442,12 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     template = F.broadcast(template) if few else template
     constant = lambda s: F.coalesce(F.array_contains("values", F.struct(s["place"], s["value"])), F.lit(False))
     linked = lambda s: s["links"] & F.coalesce(F.array_contains("links", s["place"]), F.lit(False))
-    kept = F.filter("slots", lambda s: ~constant(s) & ~linked(s))
-    out = slots.join(template, "host", "left").select("page_id", "url", F.when(F.size(kept) > 0, kept).otherwise(F.col("slots")).alias("kept"))
+    marked = F.transform("slots", lambda s: F.struct(s["text"].alias("text"), s["head"].alias("head"), (constant(s) | linked(s)).alias("gone")))
+    varies = lambda i: F.coalesce(~F.get("marked", i)["gone"], F.lit(False))
+    # a constant heading stays before what stays, through one more heading at most
+    leads = lambda i: varies(i + 1) | (F.coalesce(F.get("marked", i + 1)["head"], F.lit(False)) & varies(i + 2))
+    kept = F.filter("marked", lambda s, i: ~s["gone"] | (s["head"] & leads(i)))
+    some = F.exists("marked", lambda s: ~s["gone"])
+    out = slots.join(template, "host", "left").select("page_id", "url", marked.alias("marked")).select("page_id", "url", F.when(some, kept).otherwise(F.col("marked")).alias("kept"))
     text = F.array_join(F.transform("kept", lambda s: s["text"]), "\n")
     return out.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -107,3 +107,32 @@ def test_alignment_finds_what_the_base_page_lacks(spark):
 
     for i, text in enumerate(_texts(spark, [page(i) for i in range(30)])):
         assert text == "\n".join([f"Title {i}", *(f"Text {i} {k}." for k in range(i % 4 + 1))])
+
+
+def test_pages_set_whole_into_a_form(spark):
+    def page(i):
+        hidden = '<input type="hidden" name="state" value="x">' * 5
+        return f'<body><form action="x">{hidden}<nav>menu</nav><input name="q"><div><h1>Title {i}</h1>' + "".join(f"<p>Paragraph {k} of page {i} goes on for a while, as texts do, to its end.</p>" for k in range(8)) + "</div></form></body>"
+
+    want = ["\n".join([f"Title {i}", *(f"Paragraph {k} of page {i} goes on for a while, as texts do, to its end." for k in range(8))]) for i in range(6)]
+    assert _texts(spark, [page(i) for i in range(6)]) == want
+    # fields outweigh a letter's subscription
+    small = '<article><p>Text of {i}.</p><form><p>Have our news sent to you every week.</p><input name="mail"><button>Go</button></form></article>'
+    assert _texts(spark, [small.replace("{i}", str(i)) for i in range(4)]) == [f"Text of {i}." for i in range(4)]
+
+
+def test_teasers_in_articles_beside_the_text(spark):
+    def page(i):
+        teasers = "".join(f'<article><h3><a href="/{i}{k}">Other story {i} {k}</a></h3><p>Its first words {i} {k}</p></article>' for k in range(3))
+        return f"<body><div><div><h1>Title {i}</h1>" + "".join(f"<p>Paragraph {k} of page {i} goes on for a while, as texts do, to its end.</p>" for k in range(8)) + f"</div><div>{teasers}</div></div></body>"
+
+    want = ["\n".join([f"Title {i}", *(f"Paragraph {k} of page {i} goes on for a while, as texts do, to its end." for k in range(8))]) for i in range(6)]
+    assert _texts(spark, [page(i) for i in range(6)]) == want
+    assert _texts(spark, [page(i).replace("<body>", "<body><main>").replace("</body>", "</main></body>") for i in range(6)]) == want
+
+
+def test_anchors_and_repeated_headings_within_an_article(spark):
+    def page(i):
+        return f'<article><h1>Study {i}</h1><h2 id="banner">Introduction</h2><p>Why {i}.</p><section id="social"><h2>Methods</h2><h3>Setting</h3><p>How {i}.</p></section><h2>Results</h2><p>What {i}.</p><h2>Share</h2><p>Tell a friend.</p><section id="comments"><p>reader {i}</p></section></article>'
+
+    assert _texts(spark, [page(i) for i in range(6)]) == [f"Study {i}\nIntroduction\nWhy {i}.\nMethods\nSetting\nHow {i}.\nResults\nWhat {i}." for i in range(6)]
