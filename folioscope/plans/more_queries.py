@@ -325,7 +325,7 @@ def reconcile_applied(spark, sf_dir):
     return dml.union_all([t.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, t in (("stored", stored), ("linked", linked), ("left to do", left))])
 
 
-@_query("WITH o AS (SELECT sha256(text) AS h FROM documents WHERE doc_id = 7) SELECT 'files' AS store, count(*) AS removed FROM documents, o WHERE sha256(text) = h UNION ALL SELECT 'chunks', count(*) FROM conversations, o WHERE sha256(text) = h UNION ALL SELECT 'vectors', count(*) FROM embeddings, o WHERE vec_id = 7")
+@_query("WITH o AS (SELECT sha256(text) AS h FROM documents WHERE doc_id = 7) SELECT 'files' AS store, count(*) AS removed FROM documents, o WHERE sha256(text) = h UNION ALL SELECT 'chunks', coalesce(sum(len(string_split(text, chr(10)))), 0)::BIGINT FROM documents, o WHERE sha256(text) = h UNION ALL SELECT 'vectors', count(*) FROM embeddings, o WHERE vec_id = 7")
 def removed_everywhere(spark, sf_dir):
     """One file out of catalog, chunks and vectors; a name that means several files removes none (tests)."""
     from folioscope.plans.upkeep import remove_document
@@ -334,7 +334,7 @@ def removed_everywhere(spark, sf_dir):
     files = hashed("documents", F.sha2("text", 256)).withColumn("display_name", F.col("source"))
     own = files.filter("doc_id = 7").first().content_sha256
     vectors = hashed("embeddings", F.when(F.col("vec_id") == 7, own))
-    stores = {"files": (files, "content_sha256"), "chunks": (hashed("conversations", F.sha2("text", 256)), "content_sha256"), "vectors": (vectors, "content_sha256")}
+    stores = {"files": (files, "content_sha256"), "chunks": (files.select("content_sha256", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content")), "content_sha256"), "vectors": (vectors, "content_sha256")}
     return remove_document(files, own, stores).counts
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import names, text, vectors
 from folioscope.operators import bm25, catalog, chunking, dml, experiments, ranking, reconcile, topics, vector_search
 from folioscope.sources.files import remaining
-from folioscope.sources.places import work_path
+from folioscope.sources.places import work_path, written
 from folioscope.sources.sinks import bib_entries
 from folioscope.streaming import incremental
 
@@ -74,7 +74,9 @@ def bm25_topk(spark, sf_dir):
     return _rounded(_keyword(spark, sf_dir), "score")
 
 
-@_query(_BM25_SQL + " SELECT term, df, round(idf, 6) AS idf FROM terms")
+@_query(f"""WITH d AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS_SQL}) AS term FROM documents) GROUP BY term),
+r AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, (SELECT count(*) AS n FROM documents)), m AS (SELECT avg(raw) AS m FROM r)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END, 6) AS idf FROM r, m""")
 def bm25_term_stats(spark, sf_dir):
     return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -408,28 +410,36 @@ def _plain_times(df: DataFrame, like: DataFrame) -> DataFrame:
 
 @_query(_SEEN_SQL)
 def upsert_first_last_seen(spark, sf_dir):
+    """The second half of the events over a table of the first."""
     events = _t(spark, sf_dir, "events")
-    seen = _seen(events)
-    return _plain_times(dml.upsert_sightings(seen.limit(0), seen), events)
+    first = F.pmod("event_id", F.lit(2)) == 0
+    empty = _seen(events).limit(0)
+    old = written(dml.upsert_sightings(empty, _seen(events.filter(first))), "sightings")
+    return _plain_times(dml.upsert_sightings(old, _seen(events.filter(~first))), events)
 
 
 @_query(_SEEN_SQL)
 def stream_first_last_seen(spark, sf_dir):
-    """The same as a stream whose batches are folded into a table."""
+    """The same as a stream of two batches that are folded into a table."""
     events = _t(spark, sf_dir, "events")
     path = work_path(spark, "sightings")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
-    incremental.sightings_stream(_seen(stream), f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    for part in (0, 1):
+        events.filter(F.pmod("event_id", F.lit(2)) == part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        incremental.sightings_stream(_seen(stream), f"{path}/table", f"{path}/checkpoint").awaitTermination()
     schema = "content_sha256 string, source_path string, machine_id string, first_seen timestamp, last_seen timestamp"
     return _plain_times(incremental.current(spark, f"{path}/table", schema), events)
 
 
-@_query("SELECT sha256(text) AS content_sha256, min(source) AS path FROM documents GROUP BY ALL")
+@_query("SELECT sha256(text) AS content_sha256, coalesce(min(source) FILTER (doc_id % 2 = 0), min(source)) AS path FROM documents GROUP BY sha256(text)")
 def stream_ingest_once(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
+    """Two batches; what the second brings again stays as the first brought it."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_sha256"), F.col("source").alias("path"))
     path = work_path(spark, "ingest")
-    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]").select(F.sha2("text", 256).alias("content_sha256"), F.col("source").alias("path"))
-    incremental.ingest_stream(stream, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    for part in (0, 1):
+        docs.filter(F.pmod("doc_id", F.lit(2)) == part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{path}/in")
+        incremental.ingest_stream(stream, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return incremental.current(spark, f"{path}/table", "content_sha256 string, path string")
 
 

@@ -1,19 +1,20 @@
-"""Incremental forms as Structured Streaming: each batch is an upsert into a table kept as versions.
+"""Incremental forms as Structured Streaming: each batch is an upsert into a keyed table (operators.tables).
 
-A table lives in numbered folders under one path; a batch reads the newest version and writes the next,
-named by the batch's number, so a batch that is repeated after a failure does the same again.
+A batch reads and writes the hash buckets that its keys fall into, no others, and commits with the batch's number, so
+a batch that is repeated after a failure changes nothing. Results that are whole in every batch, and the keyword index of
+index_stream, lie in numbered folders instead (operators.segments has the index that grows).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioscope.operators import bm25
 from folioscope.operators.dml import insert_new, upsert_sightings
+from folioscope.operators.tables import Merge, Table
+from folioscope.schemas import DOCUMENT_STATES
 from folioscope.sources.places import remove
 
 
@@ -28,30 +29,32 @@ def _versions(spark: SparkSession, path: str, mark: str = "_SUCCESS") -> list[in
 
 
 def current(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """The newest whole version (before a batch), or an empty table."""
+    """A keyed table as it is, or of numbered folders the newest whole version (before a batch); else an empty table."""
+    log = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_log")
+    if before is None and log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(log):
+        return Table(spark, path, schema, []).read()
     have = [v for v in _versions(spark, path) if before is None or v < before]
     return spark.read.schema(schema).parquet(f"{path}/v={have[-1]:012d}") if have else spark.createDataFrame([], schema)
 
 
-def keep_upserted(stream: DataFrame, path: str, schema: str, merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Fold a stream into a versioned table by merge(old, batch); takes what is there and ends."""
+def keep_upserted(stream: DataFrame, path: str, schema: str, key: list[str], merge: Merge, checkpoint: str) -> StreamingQuery:
+    """Fold a stream into a keyed table by merge(old, batch), bucket by bucket; takes what is there and ends."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        old = current(batch.sparkSession, path, schema, before=number)
-        merge(old, batch).write.mode("overwrite").parquet(f"{path}/v={number:012d}")
+        Table(batch.sparkSession, path, schema, key).merge(batch, merge, app=(checkpoint, number))
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ingest_stream(stream: DataFrame, path: str, checkpoint: str, schema: str = "content_sha256 string, path string") -> StreamingQuery:
     """Content is taken in once, whatever batch or path brings it again."""
-    return keep_upserted(stream.select(*[c.split()[0] for c in schema.split(", ")]), path, schema, lambda old, new: insert_new(old, new.groupBy("content_sha256").agg(F.min("path").alias("path")), ["content_sha256"]), checkpoint)
+    return keep_upserted(stream.select(*[c.split()[0] for c in schema.split(", ")]), path, schema, ["content_sha256"], lambda old, new: insert_new(old, new.groupBy("content_sha256").agg(F.min("path").alias("path")), ["content_sha256"]), checkpoint)
 
 
 def sightings_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """First and last time that a file was seen at a place."""
     schema = "content_sha256 string, source_path string, machine_id string, first_seen timestamp, last_seen timestamp"
-    return keep_upserted(stream.select(*[c.split()[0] for c in schema.split(", ")]), path, schema, upsert_sightings, checkpoint)
+    return keep_upserted(stream.select(*[c.split()[0] for c in schema.split(", ")]), path, schema, ["content_sha256", "source_path", "machine_id"], upsert_sightings, checkpoint)
 
 
 def first_last_seen(stream: DataFrame, key: list[str], ts: str) -> DataFrame:
@@ -60,12 +63,14 @@ def first_last_seen(stream: DataFrame, key: list[str], ts: str) -> DataFrame:
 
 
 def state_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Newest state per document of (doc_id, status, at); failed ones can be read back and run again."""
+    """Newest state per document of (doc_id, status, at), of states at one time the one that comes later in a document's
+    life; failed ones can be read back and run again."""
+    place = F.array_position(F.array(*[F.lit(x) for x in DOCUMENT_STATES]), F.col("status"))
 
     def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        return old.unionByName(new.select("doc_id", "status", "at")).groupBy("doc_id").agg(F.max_by(F.struct("status", "at"), F.struct("at", "status")).alias("b")).select("doc_id", "b.*")
+        return old.unionByName(new.select("doc_id", "status", "at")).groupBy("doc_id").agg(F.max_by(F.struct("status", "at"), F.struct("at", place, "status")).alias("b")).select("doc_id", "b.*")
 
-    return keep_upserted(stream, path, "doc_id string, status string, at timestamp", merge, checkpoint)
+    return keep_upserted(stream, path, "doc_id string, status string, at timestamp", ["doc_id"], merge, checkpoint)
 
 
 def to_retry(states: DataFrame) -> DataFrame:
