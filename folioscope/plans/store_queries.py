@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import responses
 from folioscope.operators import density, topics, vector_index, vector_search
+from folioscope.operators.fragments import FragmentIndex
+from folioscope.operators.hooks import register_lookup
 from folioscope.operators.segments import SegmentedIndex, followed
 from folioscope.operators.tables import work_table
+from folioscope.plans.enriching import Library, Step, enrich
 from folioscope.plans.queries import _FOUND_SQL, _TOKENS_SQL, _asked, _chunks, _query, _rounded, _t, _vec_sql
+from folioscope.schemas import CANONICAL_FILES
 from folioscope.sources.places import work_path, written
 from folioscope.streaming import states
 
@@ -136,3 +141,62 @@ def density_topic_summary(spark, sf_dir):
     words = topics.topic_words(topics.class_tfidf(texts.filter("topic_id >= 0")), 5)
     best = topics.topic_summary(assigned.filter("topic_id >= 0"), words, 10)
     return assigned.filter("topic_id < 0").groupBy("topic_id").agg(F.count(F.lit(1)).alias("documents"), F.lit(None).cast("string").alias("label")).unionByName(best)
+
+
+# ---- fragments of names
+
+#: Patterns that are searched for.
+_FRAGMENTS = ["%anthe%", "web/%der%die%", "%_uxle%ou%", "%no such name%", "%.", "%EAU%"]
+
+
+@_query("SELECT p AS pattern, doc_id, name FROM (SELECT doc_id, source || '/' || split_part(text, chr(10), 1) AS name FROM documents), (VALUES " + ", ".join(f"('{p}')" for p in _FRAGMENTS) + ") AS v(p) WHERE name ILIKE p")
+def fragment_search(spark, sf_dir):
+    """Names by fragments, of which a trigram index leaves few to compare."""
+    names = _t(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), F.substring_index("text", "\n", 1)).alias("name"))
+    index = FragmentIndex.build(names, work_path(spark, "fragments"), id_col="doc_id", name_col="name")
+    out = None
+    for p in _FRAGMENTS:
+        found = index.search(p).select(F.lit(p).alias("pattern"), F.col("id").alias("doc_id"), "name")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# ---- metadata
+
+def _registry():
+    """Stands in for a service that knows two of three files by the hash of their content."""
+    import json
+
+    def ask(key: str) -> str | None:
+        n = int(key, 16)
+        return None if n % 3 == 0 else json.dumps({"message": {"title": [f"Study {n % 1000}"], "author": [{"given": "A", "family": f"Author{n % 7}"}], "published": {"date-parts": [[1980 + n % 40]]}}})
+
+    return ask
+
+
+def _reader():
+    """Stands in for a service that reads a first page: its title and what it says, where there are five words."""
+    import json
+
+    return lambda front: json.dumps({"title": front[:40], "abstract": front}) if len(front.split(" ")) >= 5 else None
+
+
+_WAVES = ((Step("doi_crossref", lambda: F.substring("content_sha256", 1, 8), responses.crossref),), (Step("semantic_scholar", lambda: F.col("front"), responses.scholar),))
+
+
+@_query("""WITH f AS (SELECT DISTINCT sha256(text) AS content_sha256, split_part(text, chr(10), 1) AS front FROM documents WHERE text IS NOT NULL), n AS (SELECT *, ('0x' || substr(content_sha256, 1, 8))::BIGINT AS n, len(string_split(front, ' ')) >= 5 AND trim(front[1:40], ' ') <> '' AS has_text FROM f)
+SELECT content_sha256, CASE WHEN has_text THEN trim(front[1:40], ' ') ELSE 'Study ' || n % 1000 END AS title, CASE WHEN n % 3 <> 0 THEN (1980 + n % 40)::INTEGER END AS year, CASE WHEN n % 3 <> 0 THEN 'A Author' || n % 7 END AS first_author, has_text AS has_abstract, 0 AS asked_again FROM n WHERE has_text OR n % 3 <> 0""")
+def enriched_library(spark, sf_dir):
+    """Files resolved from two sources, wave by wave; a second run has nothing left to ask."""
+    register_lookup("doi_crossref", _registry)
+    register_lookup("semantic_scholar", _reader)
+    texts = _t(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("content_sha256"), F.substring_index("text", "\n", 1).alias("front")).distinct()
+    library = Library(spark, work_path(spark, "library"), 8)
+    name = F.concat(F.col("content_sha256"), F.lit(".pdf"))
+    files = texts.select("content_sha256", F.concat(F.lit("/library/"), name).alias("canonical_path"), name.alias("display_name"), name.alias("original_filename"))
+    empty = spark.createDataFrame([], CANONICAL_FILES)
+    library.files.insert_new(empty.unionByName(files, allowMissingColumns=True))
+    enrich(library, "2024-01-01", fronts=texts, waves=_WAVES)
+    again, _ = enrich(library, "2024-01-02", fronts=texts, waves=_WAVES)
+    out = library.resolved.read()
+    return out.select("content_sha256", "title", "year", F.get("authors", 0).alias("first_author"), F.col("abstract").isNotNull().alias("has_abstract"), F.lit(again["asked"]).alias("asked_again"))
