@@ -13,6 +13,7 @@ from folioscope.operators.tables import work_table
 from folioscope.plans.enriching import Library, Step, enrich
 from folioscope.plans.queries import _FOUND_SQL, _TOKENS_SQL, _asked, _chunks, _query, _rounded, _t, _vec_sql
 from folioscope.schemas import CANONICAL_FILES
+from folioscope.sources import listing
 from folioscope.sources.places import work_path, written
 from folioscope.streaming import states
 
@@ -200,3 +201,16 @@ def enriched_library(spark, sf_dir):
     again, _ = enrich(library, "2024-01-02", fronts=texts, waves=_WAVES)
     out = library.resolved.read()
     return out.select("content_sha256", "title", "year", F.get("authors", 0).alias("first_author"), F.col("abstract").isNotNull().alias("has_abstract"), F.lit(again["asked"]).alias("asked_again"))
+
+
+# ---- folders
+
+@_query("SELECT coalesce(source, 'none') AS folder, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY ALL")
+def listed_folders(spark, sf_dir):
+    """Documents written as files of a folder per source, and what a listing of these folders says of their sizes."""
+    docs = _t(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("folder"), F.coalesce("text", F.lit("")).alias("text"))
+    path = work_path(spark, "listed")
+    docs.write.partitionBy("folder").text(path)
+    listing.register(spark)
+    files = spark.read.format("file_listing").option("pattern", "*.txt").load(path)
+    return files.select(F.regexp_extract("path", "/folder=([^/]+)/", 1).alias("folder"), "size").groupBy("folder").agg(F.sum("size").alias("bytes"))
