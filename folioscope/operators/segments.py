@@ -224,19 +224,21 @@ class SegmentedIndex:
     # ---- search
 
     def _weights(self, state: State, queries: DataFrame) -> tuple[DataFrame, list[str], float]:
-        """(query_id, term, weight) of the words asked for, these words, and the mean length."""
+        """(query_id, term, weight) of the words asked for, these words, and the mean length. Queries are stated and few;
+        their words come to the driver."""
         asked = bm25.query_terms(queries)
-        words = [r[0] for r in asked.select("term").distinct().collect()]
+        kind = asked.schema["query_id"].dataType.simpleString()
+        asked = asked.collect()
+        words = sorted({r.term for r in asked})
         n, length = self.sizes(state)
-        raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        found = self.term_counts(state, words).withColumn("raw", raw)
-        found = self.spark.createDataFrame(found.collect(), "term string, df long, raw double")
+        raw = {r.term: math.log(n - r.df + 0.5) - math.log(r.df + 0.5) for r in self.term_counts(state, words).collect()}
         floor = 0.0
-        if found.filter("raw < 0").count():
+        if any(x < 0 for x in raw.values()):
             # only then the mean over all words is needed
-            floor = bm25.EPSILON * (self.term_counts(state).select(F.avg(raw)).first()[0] or 0.0)
-        weight = F.col("qtf") * F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw"))
-        return asked.join(F.broadcast(found), "term").select("query_id", "term", weight.alias("weight")), words, length / n if n else 0.0
+            mean = F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+            floor = bm25.EPSILON * (self.term_counts(state).select(mean).first()[0] or 0.0)
+        rows = [(r.query_id, r.term, r.qtf * (raw[r.term] if raw[r.term] >= 0 else floor)) for r in asked if r.term in raw]
+        return self.spark.createDataFrame(rows, f"query_id {kind}, term string, weight double"), words, length / n if n else 0.0
 
     def _bounds(self, state: State, weights: DataFrame, words: list[str], mean_length: float) -> DataFrame:
         """(query_id, segment, stripe, bound, n): the most that a chunk of the stripe can score, and its postings. Reads
@@ -272,12 +274,12 @@ class SegmentedIndex:
         full reading would have read, and what was."""
         state = self.log.state()
         weights, words, mean_length = self._weights(state, queries)
-        weights = written(weights, "segment-weights")
         bounds = self._bounds(state, weights, words, mean_length)
         # every stripe has a hit, so n stripes are enough to look at
         best = top_k(bounds, n, ("bound", True), ("segment", False), ("stripe", False))
         before = F.sum("chunks").over(Window.partitionBy("query_id").orderBy("rank")) - F.col("chunks")
-        first = written(best.withColumn("before", before).filter(F.col("before") < n).select("query_id", "segment", "stripe"), "segment-first")
+        first = best.withColumn("before", before).filter(F.col("before") < n).select("query_id", "segment", "stripe")
+        first = self.spark.createDataFrame(first.collect(), first.schema)
         score = lambda stripes: self._scored(state, weights, words, mean_length, stripes, among, digits)
         early = written(score(first), "segment-early")
         last = top_k(early, n, ("s", True), ("seq", False)).filter(F.col("rank") == n - 1).select("query_id", F.col("s").alias("least"))

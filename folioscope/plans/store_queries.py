@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.functions import responses
+from folioscope.functions import pdf, responses
 from folioscope.operators import density, topics, vector_index, vector_search
 from folioscope.operators.fragments import FragmentIndex
 from folioscope.operators.hooks import register_lookup
@@ -214,3 +214,39 @@ def listed_folders(spark, sf_dir):
     listing.register(spark)
     files = spark.read.format("file_listing").option("pattern", "*.txt").load(path)
     return files.select(F.regexp_extract("path", "/folder=([^/]+)/", 1).alias("folder"), "size").groupBy("folder").agg(F.sum("size").alias("bytes"))
+
+
+# ---- PDF files
+
+def _pdf_of(title: str, pages: int, year: int) -> bytes:
+    """A small file with so many pages, in a tree of tens."""
+    objects = {1: "<< /Type /Catalog /Pages 2 0 R >>", 3: f"<< /Title <FEFF{title.encode('utf-16-be').hex()}> /CreationDate (D:{year}0101) >>"}
+    tens = [range(at, min(at + 10, pages)) for at in range(0, pages, 10)]
+    objects[2] = f"<< /Type /Pages /Kids [{' '.join(f'{4 + i} 0 R' for i in range(len(tens)))}] >>"
+    for i, own in enumerate(tens):
+        first = 4 + len(tens)
+        objects[4 + i] = f"<< /Type /Pages /Kids [{' '.join(f'{first + p} 0 R' for p in own)}] >>"
+        objects |= {first + p: "<< /Type /Page >>" for p in own}
+    out, places = b"%PDF-1.4\n", {}
+    for n in sorted(objects):
+        places[n] = len(out)
+        out += f"{n} 0 obj\n{objects[n]}\nendobj\n".encode()
+    table = "".join(f"{places[n]:010d} 00000 n \n" for n in sorted(objects))
+    return out + f"xref\n1 {len(objects)}\n{table}trailer\n<< /Root 1 0 R /Info 3 0 R >>\nstartxref\n{len(out)}\n%%EOF".encode()
+
+
+@_query("SELECT doc_id, nullif(split_part(coalesce(text, ''), chr(10), 1)[1:60], '') AS title, len(string_split(coalesce(text, ''), chr(10)))::INTEGER AS page_count, (2000 + doc_id % 20)::INTEGER AS year FROM documents")
+def pdf_facts(spark, sf_dir):
+    """Each text as a PDF file, a page a line; what is read out of the files."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def files(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                key, lines = b.column("path")[i].as_py(), b.column("text")[i].as_py().split("\n")
+                yield pa.RecordBatch.from_pydict({"path": [key], "content": pa.array([_pdf_of(lines[0][:60], len(lines), 2000 + int(key) % 20)], pa.binary())})
+
+    made = docs.mapInArrow(files, "path string, content binary")
+    return pdf.pdf_metadata(made).select(F.col("path").cast("long").alias("doc_id"), "title", "page_count", "year")
