@@ -304,12 +304,23 @@ def _talks(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["p"]), "\n\n").alias("content"))
 
 
-@_query()
+#: Sections of the talks (longer ones are cut behind their heading line, texts hold no blank line), put together until they
+#: have 200 characters; what is left at the end goes to the chunk before it.
+_SECTIONS_SQL = """WITH b AS (SELECT conv_id, turn, role, text, '# ' || role || chr(10) || chr(10) || text AS body FROM conversations WHERE role || text IS NOT NULL),
+p AS (SELECT conv_id, turn, 0 AS k, role, body AS t FROM b WHERE length(body) <= 3000 UNION ALL SELECT conv_id, turn, 0, role, '# ' || role || chr(10) || chr(10) || '# ' || role FROM b WHERE length(body) > 3000 UNION ALL SELECT conv_id, turn, 1, role, body FROM b WHERE length(body) > 3000),
+l AS (SELECT conv_id, list({'t': t, 'role': role} ORDER BY turn, k) AS own FROM p GROUP BY conv_id),
+f AS (SELECT conv_id, own, list_reduce(list_prepend({'n': 0::BIGINT, 'k': 0::BIGINT, 'of': []::BIGINT[]}, list_transform(own, lambda x: {'n': length(x.t)::BIGINT, 'k': 0::BIGINT, 'of': []::BIGINT[]})),
+lambda s, x: CASE WHEN CASE WHEN s.n = 0 THEN x.n ELSE s.n + 2 + x.n END >= 200 THEN {'n': 0::BIGINT, 'k': s.k + 1, 'of': list_append(s.of, s.k)} ELSE {'n': CASE WHEN s.n = 0 THEN x.n ELSE s.n + 2 + x.n END, 'k': s.k, 'of': list_append(s.of, s.k)} END) AS g FROM l),
+u AS (SELECT conv_id, unnest(own) AS x, unnest(g.of) AS of, unnest(range(len(own))) AS i, g.k AS k FROM f),
+c AS (SELECT conv_id, CASE WHEN of = k AND k > 0 THEN k - 1 ELSE of END AS chunk, string_agg(x.t, chr(10) || chr(10) ORDER BY i) AS content, [arg_max(x.role, i) FILTER (of < k OR k = 0)] AS section FROM u GROUP BY ALL)"""
+
+
+@_query(_SECTIONS_SQL + " SELECT conv_id, chunk::INTEGER AS chunk_index, content, section FROM c")
 def section_chunks(spark, sf_dir):
     return chunking.section_chunks(_talks(spark, sf_dir), id_col="conv_id")
 
 
-@_query()
+@_query(_SECTIONS_SQL + r" SELECT conv_id, content, (chunk + 10)::INTEGER AS chunk_index, length(content) AS chunk_length, len(regexp_extract_all(content, '(?s)\\\[(.*?)\\\]', 1)) AS display_eq_count, len(regexp_extract_all(content, '\$(.*?)\$', 1)) AS inline_eq_count, display_eq_count + inline_eq_count > 0 AS has_equations FROM c")
 def chunk_metadata(spark, sf_dir):
     return chunking.with_metadata(chunking.section_chunks(_talks(spark, sf_dir), id_col="conv_id"), 10).drop("section")
 
