@@ -78,12 +78,18 @@ def record_table(pages: DataFrame, archive: Column, *, id_col: str = "page_id",
 
 
 def replica_table(pages: DataFrame, index: DataFrame, archive: Column, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """A replica's records with their places: those of the index's equal records, of its changed ones
-    with the same id, or after the archive's end."""
+    """Pages as a replica's records with their places (placed)."""
+    return placed(_hashed(pages, archive, id_col, url_col, payload_col), index)
+
+
+def placed(records: DataFrame, index: DataFrame) -> DataFrame:
+    """A replica's records (archive, record_id, length, sha256) with their places: those of the index's equal records, of
+    its changed ones with the same id, or after the archive's end. Ids may be of any type. What is placed so does not
+    depend on the order of the replica: one whose records stand in another order is intact."""
     one = F.lit(1)
     same_record, same_id = ["archive", "record_id", "sha256"], ["archive", "record_id"]
     a = materialise(running(index, same_record, ["offset"], one, "k"), "index-records")
-    b = running(_hashed(pages, archive, id_col, url_col, payload_col), same_record, [], one, "k")
+    b = running(records, same_record, [], one, "k")
     b = materialise(b.join(a.select(*same_record, "k", "offset"), [*same_record, "k"], "left"), "replica-records")
     free = running(a.drop("k").join(b.select("archive", "offset"), ["archive", "offset"], "left_anti"), same_id, ["offset"], one, "k")
     rest = running(b.filter("offset IS NULL").select("archive", "record_id", "length", "sha256"), same_id, ["sha256"], one, "k")
@@ -255,3 +261,30 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
     return files.select("path", "content").mapInArrow(run, "archive string, record_id string, offset long, length long, uri string, payload binary, sha256 string, error string")
+
+
+def file_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the files under a folder: archive (the file's path below it), record_id (text, '' if there is none),
+    offset, length, sha256, error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    below = F.when(F.startswith("archive", F.lit(base + "/")), F.substring("archive", len(base) + 2, 1 << 20)).otherwise(F.element_at(F.split("archive", "/"), -1))
+    rows = read_warc(spark, path).select(below.alias("archive"), F.coalesce("record_id", F.lit("")).alias("record_id"), "offset", "length", "sha256", "error")
+    return materialise(rows, "file-records")
+
+
+def audit_files(spark: SparkSession, path: str, replica: str) -> tuple[DataFrame, DataFrame]:
+    """The audit of a folder of WARC files against a replica: files are compared by their path below the folders.
+
+    Per archive its archive, n_records, n_bytes, root_a, root_b, intact, n_ranges_differ, n_damaged; and per damaged record
+    its archive, record_id, state, offset (in the first folder's file; null for extras) and error (of the replica's
+    record). Places are sums over the records in the order of the file, so records that share a gzip member or are empty
+    have places of their own, and a lost record moves no other."""
+    own, other = file_records(spark, path), file_records(spark, replica)
+    index = running(own, ["archive"], ["offset", "record_id", "sha256"], F.col("length") + 1, "place")
+    index = materialise(index.withColumnRenamed("offset", "at").withColumnRenamed("place", "offset"), "file-index")
+    columns = ["archive", "record_id", "offset", "length", "sha256"]
+    report, damaged = fixity_report(index.select(columns), placed(other.select("archive", "record_id", "length", "sha256"), index.select(columns)))
+    errors = other.filter("error IS NOT NULL").groupBy("archive", "record_id").agg(F.min("error").alias("error"))
+    damaged = damaged.join(index.select("archive", "offset", "at"), ["archive", "offset"], "left").join(errors, ["archive", "record_id"], "left")
+    return report, damaged.select("archive", "record_id", "state", F.col("at").alias("offset"), "error")

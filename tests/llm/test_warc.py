@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.llm import warc
-from folioscope.llm.warc import audit, fixity_report, height, merkle_tree, parse_warc, read_warc, record_table, replica_table
+from folioscope.llm.warc import audit, audit_files, fixity_report, height, merkle_tree, parse_warc, read_warc, record_table, replica_table
 
 
 def _pages(spark, n=500):
@@ -148,3 +148,37 @@ def test_damaged_files_give_errors_and_go_on(spark, tmp_path):
     assert read_warc(spark, str(tmp_path)).filter("error IS NULL").count() == 2
     big = b"".join(gzip.compress(_record(i, b"x" * 1000)) for i in range(20_000))
     assert sum(1 for _ in parse_warc(big)) == 20_000
+
+
+def _write(folder, name, records, packed):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_bytes(b"".join(gzip.compress(r) if packed else r for r in records))
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_files_are_audited_from_end_to_end(spark, tmp_path, packed):
+    name = "x.warc.gz" if packed else "x.warc"
+    good = [_record(f"uuid:{i:04d}", b"block %d " % i * (i % 40)) for i in range(2000)]
+    _write(tmp_path / "a", name, good, packed)
+    _write(tmp_path / "a" / "sub", name, good[:50], packed)
+    _write(tmp_path / "b" / "sub", name, good[:50][::-1], packed)
+    # one lost record of two thousand is one damaged record
+    _write(tmp_path / "b", name, good[:700] + good[701:], packed)
+    report, damaged = audit_files(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert [tuple(r)[:3] for r in damaged.collect()] == [(name, "<urn:uuid:0700>", "missing")]
+    rows = {r.archive: r for r in report.collect()}
+    assert not rows[name].intact and rows[name].n_records == 2000 and rows[name].n_damaged == 1
+    # in another order is intact
+    assert rows[f"sub/{name}"].intact
+    # changed, cut, repeated and new records
+    changed = [*good[:10], good[10].replace(b"block", b"BLOCK"), *good[11:20], good[15], _record("uuid:new", b"new"), *good[20:]]
+    _write(tmp_path / "c", name, [*changed[:-1], changed[-1]], packed)
+    last = (tmp_path / "c" / name).read_bytes()
+    (tmp_path / "c" / name).write_bytes(last[:-30])
+    _, damaged = audit_files(spark, str(tmp_path / "a"), str(tmp_path / "c"))
+    got = {(r.record_id, r.state): r for r in damaged.filter("archive = '%s'" % name).collect()}
+    ends = {("<urn:uuid:1999>", "corrupt")} if ("<urn:uuid:1999>", "corrupt") in got else {("<urn:uuid:1999>", "missing"), ("", "extra")}
+    assert set(got) == {("<urn:uuid:0010>", "corrupt"), ("<urn:uuid:0015>", "extra"), ("<urn:uuid:new>", "extra")} | ends
+    assert got["<urn:uuid:0010>", "corrupt"].offset == sum(len(gzip.compress(r) if packed else r) for r in good[:10])
+    assert any(r.error for r in got.values())
+    assert audit_files(spark, str(tmp_path / "a"), str(tmp_path / "a"))[1].count() == 0
