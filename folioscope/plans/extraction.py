@@ -24,7 +24,8 @@ register_page_reader("form_feed", lambda: lambda data, first, last: "".join(data
 
 def extract_windows(files: DataFrame, reader: str, *, step: int = 3, most: int = 500, least: int = 50) -> DataFrame:
     """(path, content, page_count) -> path, first, last, text, error; text of `least` characters or less
-    is an error too, and so are the pages beyond `most`, which are not read."""
+    is an error too, and so are the pages beyond `most`, which are not read (also where the page count is not known
+    and the last window read still had text)."""
     if reader not in PAGE_READERS:
         raise ValueError(f"unknown page reader {reader!r}; there are: {', '.join(sorted(PAGE_READERS)) or 'none'}")
     factory = PAGE_READERS[reader]
@@ -43,6 +44,8 @@ def extract_windows(files: DataFrame, reader: str, *, step: int = 3, most: int =
                         out.append((path, first, last, text if ok else None, None if ok else "Empty or insufficient content"))
                     except Exception as e:  # noqa: BLE001 - whatever a reader raises is that window's outcome
                         out.append((path, first, last, None, f"{type(e).__name__}: {e}"))
+                if not pages and out[-1][3] is not None:
+                    out.append((path, most + 1, None, None, f"Not read: what is beyond {most} pages"))
                 if pages and pages > most:
                     out.append((path, most + 1, pages, None, f"Not read: more than {most} pages"))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]

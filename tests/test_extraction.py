@@ -31,3 +31,10 @@ def test_a_bad_window_costs_only_its_pages(spark):
 def test_converted_parts_count_images_through(spark):
     parts = spark.createDataFrame([("p", 10, "![](_page_1_P.png)"), ("p", 0, "![](_page_1_P.png)")], "path string, first_page int, text string")
     assert converted(parts).first().content == "![](_page_1_P.png)\n\n![](_page_11_P.png)"
+
+
+def test_unknown_page_counts_lose_nothing_without_a_word(spark):
+    text = "\f".join("word " * 20 for _ in range(7))
+    files = spark.createDataFrame([("long", bytearray(text.encode()), None), ("short", bytearray(b"page " * 30), None), ("known", bytearray(text.encode()), 7)], "path string, content binary, page_count int")
+    rows = extract_windows(files, "form_feed", step=2, most=4).filter("error LIKE 'Not read%'").collect()
+    assert sorted((r.path, r.first, r.last) for r in rows) == [("known", 5, 7), ("long", 5, None)]
