@@ -105,8 +105,7 @@ def _lay_out(spark, kind, tasks):
     return spark.range(0, 4000, 1, tasks).selectExpr("id AS doc_id", f"repeat('a ', {one}) AS text", "'clash' AS bin", "1 AS length")
 
 
-@pytest.mark.parametrize("kind", ["sorted", "two clusters", "chunked", "mixed"])
-@pytest.mark.parametrize("tasks", [2, 64, 200])
+@pytest.mark.parametrize("kind,tasks", [*[(kind, tasks) for kind in ("sorted", "two clusters", "chunked") for tasks in (2, 64, 200)], ("mixed", 64)])
 def test_uneven_tasks_pack_as_well_as_the_whole(spark, monkeypatch, kind, tasks):
     from folioscope.llm import packing as module
 
