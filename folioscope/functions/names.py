@@ -132,12 +132,17 @@ def size_mb(size: Column) -> Column:
     return F.round(size / 1048576, 2)
 
 
+def _formatted(at: Column, form: str) -> Column:
+    """A time as text; years of more than four digits stand without the sign that Spark sets before them."""
+    return F.regexp_replace(F.date_format(at, form), r"^\+", "")
+
+
 def epoch_text(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
+    return _formatted(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
 
 
 def local_minute(utc: Column, zone: str) -> Column:
-    return F.date_format(F.from_utc_timestamp(utc, zone), "yyyy-MM-dd HH:mm")
+    return _formatted(F.from_utc_timestamp(utc, zone), "yyyy-MM-dd HH:mm")
 
 
 def author_list(authors: Column) -> Column:

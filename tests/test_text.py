@@ -115,3 +115,11 @@ def test_responses(spark):
     xmp = '<x:xmpmeta xmlns:x="adobe:ns:meta/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/"><rdf:RDF><rdf:Description><dc:title><rdf:Alt><rdf:li>XT</rdf:li></rdf:Alt></dc:title><dc:creator><rdf:Seq><rdf:li>A B</rdf:li><rdf:li>C D</rdf:li></rdf:Seq></dc:creator><dc:identifier>https://arxiv.org/abs/2505.23302v1</dc:identifier><dc:identifier>doi:10.1234/x.y.</dc:identifier></rdf:Description></rdf:RDF></x:xmpmeta>'
     assert tuple(one(spark, responses.xmp(c), c=xmp)) == ("XT", ["A B", "C D"], "10.1234/x.y", "2505.23302v1")
     assert one(spark, responses.authors_from_json(responses.authors_to_json(F.col("a"))), a=["Smith, J", "B"]) == ["Smith, J", "B"]
+
+
+def test_times_beyond_the_year_9999(spark):
+    """As DuckDB's strftime writes them: no sign before a year of five digits."""
+    far = 5_999_999 * 86399
+    assert one(spark, names.epoch_text(c), c=far) == "18397-04-01 13:20:01"
+    assert one(spark, names.local_minute(F.timestamp_seconds(c), "+02:00"), c=far) == "18397-04-01 15:20"
+    assert one(spark, names.epoch_text(c), c=86399) == "1970-01-01 23:59:59"
