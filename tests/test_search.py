@@ -147,3 +147,25 @@ def test_index_state(spark, tmp_path):
     assert bm25.wipe(spark, path) and bm25.Bm25Index.load(spark, path) is None
     empty = bm25.build(chunks.limit(0))
     assert bm25.search(empty, _ask(spark, "alpha"), 3).count() == 0
+
+
+def test_postings_are_built_where_their_texts_lie(spark, monkeypatch, tmp_path):
+    """No word is shuffled: a chunk's postings are in one file, sorted by term in runs; counts are right."""
+    monkeypatch.setattr(bm25, "RUN", 40)
+    rng = random.Random(5)
+    docs = {i: [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 30))] for i in range(60)}
+    rows = spark.createDataFrame([(i, " ".join(w) if w else None) for i, w in docs.items()], "chunk_id long, content string").repartition(3)
+    index = bm25.build(rows, path=str(tmp_path / "i"))
+    got = index.postings.withColumn("file", F.input_file_name()).collect()
+    assert {(r.chunk_id, r.term): r.tf for r in got} == {(i, t): w.count(t) for i, w in docs.items() for t in w}
+    assert len(got) == sum(len(set(w)) for w in docs.values()) and all(r.dl == len(docs[r.chunk_id]) for r in got)
+    assert all(len({r.file for r in got if r.chunk_id == i}) <= 1 for i in docs)
+    assert {(r.term, r.df) for r in index.terms.collect()} == {(t, sum(t in w for w in docs.values())) for t in "abcdefgh"}
+
+
+def test_runs_are_sorted(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bm25, "RUN", 4)
+    batches = [pa.RecordBatch.from_pydict({"term": pa.array(list(t), pa.string()), "n": pa.array(range(len(t)), pa.int64())}) for t in ("db", "ca", "", "fe")]
+    assert ["".join(b.column("term").to_pylist()) for b in bm25.by_term(batches)] == ["abcd", "ef"]
