@@ -1,7 +1,9 @@
 """A keyword index that grows by segments: a batch writes its own rows, a search reads the blocks it needs.
 
-Layout. A segment is immutable: `docs` (a chunk's words with their counts, in insertion order), `postings` (one row per
-word and stripe of STRIPE neighbouring chunks, sorted by word and stripe) and `terms` (in how many chunks a word is). A
+Layout. A segment is immutable: `docs` (a chunk's words with their counts, as the batch brings them), `postings` (one row
+per word and stripe of STRIPE neighbouring chunks, sorted by word and stripe in runs; a stripe that two tasks read has a row
+of each) and `terms` (in how many chunks a word is). Words are counted and lists made where the texts lie: no posting is
+shuffled, and texts only where an id comes twice in a batch. A
 removal writes `dead` rows (segment, chunk) and what they take from the word counts. A commit log says which segments
 and removals count; word statistics are sums over them, so nothing old is rewritten. Where FAN segments of like size have
 come together they are merged into one without their dead chunks (each row is written about log_FAN(chunks) times).
@@ -21,21 +23,25 @@ from __future__ import annotations
 import math
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.functions.text import tokens
+from folioscope.functions.text import tokens, word_counts
 from folioscope.operators import bm25
 from folioscope.operators.ranking import top_k
 from folioscope.sources.commits import CommitLog, Conflict, State
-from folioscope.sources.places import written
+from folioscope.sources.places import remove, written
 
 #: Chunks of a stripe (a power of two), segments of a size that are merged, chunks of the smallest size.
 STRIPE, FAN, BASE = 1024, 4, 1000
 #: Words and stripes that are named in a scan's filter; more are joined.
 NAMED = 500
 TRIES = 10
+#: Postings whose lists a task makes at once: of whole stripes, unless one has MOST of them.
+RUN, MOST = 500_000, 2_000_000
 #: Rounded scores may be this much over the bound of what they are made of.
 SLACK = 1e-6
 
@@ -45,6 +51,41 @@ def _part(tf: Column, dl: Column, mean_length: float) -> Column:
     return tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * dl / F.lit(mean_length)))
 
 
+def _lists(rows: pa.Table) -> pa.Table:
+    """Rows of postings (term, stripe, chunk_id, seq, tf, dl), grouped by word and stripe and in their order."""
+    rows = rows.sort_by([("term", "ascending"), ("stripe", "ascending")]).combine_chunks()
+    term, stripe = (rows.column(c).combine_chunks() for c in ("term", "stripe"))
+    code = term.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    at = stripe.to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (at[1:] != at[:-1])]))
+    ends = np.append(first, len(rows))
+    own = {c: rows.column(c).combine_chunks() for c in ("chunk_id", "seq", "tf", "dl")}
+    hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(own.values()), names=list(own)))
+    tf, dl = (own[c].to_numpy(zero_copy_only=False) for c in ("tf", "dl"))
+    columns = [term.take(pa.array(first)), stripe.take(pa.array(first)), *[pa.array(x, pa.int32()) for x in (np.diff(ends), np.maximum.reduceat(tf, first), np.minimum.reduceat(dl, first))], hits]
+    return pa.Table.from_arrays(columns, names=["term", "stripe", "n", "max_tf", "min_dl", "hits"])
+
+
+def _packed(batches):
+    """The postings rows of rows (term, stripe, chunk_id, seq, tf, dl) that come stripe by stripe."""
+    held, rows = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows >= RUN:
+            now = pa.Table.from_batches(held)
+            at = now.column("stripe").to_numpy()
+            # the last stripe may go on in the next batch
+            cut = rows if rows >= MOST else int(np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))[-1])
+            if cut:
+                yield from _lists(now.slice(0, cut)).to_batches(max_chunksize=5_000)
+                held, rows = now.slice(cut).to_batches(), rows - cut
+    if rows:
+        yield from _lists(pa.Table.from_batches(held)).to_batches(max_chunksize=5_000)
+
+
 class SegmentedIndex:
     """The index under a path. id_type and seq_type: Spark types of chunk ids and of the insertion order."""
 
@@ -115,27 +156,27 @@ class SegmentedIndex:
         """A new segment of (chunk_id, seq, dl, words) rows: its name and entry."""
         name = f"s-{uuid.uuid4().hex}"
         place = F.monotonically_increasing_id()
-        dealt = chunks.select("chunk_id", "seq", "dl", "words").repartitionByRange("seq", "chunk_id").sortWithinPartitions("seq", "chunk_id")
-        dealt.select("chunk_id", "seq", "dl", F.floor(place / STRIPE).cast("long").alias("stripe"), "words").write.parquet(f"{self.path}/{name}/docs")
+        dealt = chunks.select("chunk_id", "seq", "dl", F.floor(place / STRIPE).cast("long").alias("stripe"), "words")
+        dealt.write.parquet(f"{self.path}/{name}/docs")
         docs = self.spark.read.schema(self.schemas["docs"]).parquet(f"{self.path}/{name}/docs")
-        each = docs.select("chunk_id", "seq", "dl", "stripe", F.explode("words").alias("w")).select("chunk_id", "seq", "dl", "stripe", "w.term", "w.tf")
-        hits = F.array_sort(F.collect_list(F.struct("chunk_id", "seq", "tf", "dl")))
-        rows = each.groupBy("term", "stripe").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), hits.alias("hits"))
-        rows.repartitionByRange("term", "stripe").sortWithinPartitions("term", "stripe").write.parquet(f"{self.path}/{name}/postings")
+        each = docs.select("chunk_id", "seq", "dl", "stripe", F.explode("words").alias("w")).select("w.term", "stripe", "chunk_id", "seq", "w.tf", "dl")
+        each.mapInArrow(_packed, self.schemas["postings"]).write.parquet(f"{self.path}/{name}/postings")
         postings = self.spark.read.schema(self.schemas["postings"]).parquet(f"{self.path}/{name}/postings")
         postings.groupBy("term").agg(F.sum("n").alias("df")).sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/terms")
         chunks_, words = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return name, {"kind": "segment", "chunks": chunks_, "words": words}
 
     def _write_dead(self, gone: DataFrame) -> tuple[str, dict] | None:
-        """The removal of live (segment, chunk_id, dl, words) rows."""
+        """The removal of live (segment, chunk_id, dl) rows."""
         name = f"d-{uuid.uuid4().hex}"
-        gone = written(gone.select("segment", "chunk_id", "dl", "words"), "segment-gone")
+        gone = written(gone.select("segment", "chunk_id", "dl"), "segment-gone")
         of = {r.segment: (r.n, r.w) for r in gone.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("w")).collect()}
         if not of:
             return None
         gone.select("segment", "chunk_id").write.parquet(f"{self.path}/{name}/dead")
-        gone.select("segment", F.explode("words.term").alias("term")).groupBy("segment", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{self.path}/{name}/taken")
+        # the words of those that go are looked up beside their ids, so that ids alone are matched above
+        lost = self._table("docs", sorted(of)).join(gone.select("segment", "chunk_id"), ["segment", "chunk_id"], "left_semi")
+        lost.select("segment", F.explode("words.term").alias("term")).groupBy("segment", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{self.path}/{name}/taken")
         return name, {"kind": "dead", "of": of}
 
     def _committed(self, change, app: tuple[str, int] | None = None) -> State:
@@ -155,16 +196,25 @@ class SegmentedIndex:
 
     def _counted(self, chunks: DataFrame, text_col: str, id_col: str, seq_col: str | None) -> DataFrame:
         own = chunks.select(F.col(id_col).cast(self.id_type).alias("chunk_id"), F.col(seq_col or id_col).cast(self.seq_type).alias("seq"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        one = own.groupBy("chunk_id").agg(F.max(F.struct("seq", "text")).alias("b")).select("chunk_id", "b.seq", tokens(F.col("b.text")).alias("t"))
-        each = one.select("chunk_id", "seq", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
-        counted = each.groupBy("chunk_id", "seq", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        words = F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))))
-        return counted.groupBy("chunk_id", "seq", "dl").agg(words.alias("words"))
+        twice = written(own.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("chunk_id"), "segment-twice")
+        if twice.limit(1).count():
+            # of an id that comes more than once the last row counts; the others' texts stay where they are
+            same = own.join(twice, own["chunk_id"].eqNullSafe(twice["chunk_id"]), "left_semi").groupBy("chunk_id").agg(F.max(F.struct("seq", "text")).alias("b")).select("chunk_id", "b.*")
+            own = own.join(twice, own["chunk_id"].eqNullSafe(twice["chunk_id"]), "left_anti").unionByName(same)
+        counted = own.select("chunk_id", "seq", tokens(F.col("text")).alias("t"))
+        return counted.select("chunk_id", "seq", F.size("t").alias("dl"), word_counts(F.col("t")).alias("words"))
 
     def add(self, chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "content", seq_col: str | None = None, app: tuple[str, int] | None = None, new: bool | None = None) -> int:
         """Chunks are added; those whose id is there already are replaced, or with new=True left as they are. The version."""
-        rows = written(self._counted(chunks, text_col, id_col, seq_col), "segment-batch")
-        made = None if new else self._write_segment(rows) if rows.limit(1).count() else None
+        rows = self._counted(chunks, text_col, id_col, seq_col)
+        if new:
+            rows, made = written(rows, "segment-batch"), None
+        else:
+            made = self._write_segment(rows)
+            rows = self._table("docs", [made[0]])
+            if not made[1]["chunks"]:
+                remove(self.spark, f"{self.path}/{made[0]}")
+                made = None
 
         def change(state):
             live = self.docs(state)
@@ -176,7 +226,7 @@ class SegmentedIndex:
                 return {name: entry}, []
             if made is None:
                 return {}, []
-            dead = self._write_dead(live.join(rows.select("chunk_id"), "chunk_id", "left_semi"))
+            dead = self._write_dead(live.select("segment", "chunk_id", "dl").join(rows.select("chunk_id"), "chunk_id", "left_semi"))
             return dict([made, *([dead] if dead else [])]), []
 
         version = self._committed(change, app).version
@@ -188,7 +238,7 @@ class SegmentedIndex:
         ids = ids.select(F.col(id_col).cast(self.id_type).alias("chunk_id")).distinct()
 
         def change(state):
-            dead = self._write_dead(self.docs(state).join(ids, "chunk_id", "left_semi"))
+            dead = self._write_dead(self.docs(state).select("segment", "chunk_id", "dl").join(ids, "chunk_id", "left_semi"))
             return dict([dead]) if dead else {}, []
 
         return self._committed(change, app).version

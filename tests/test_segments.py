@@ -127,3 +127,26 @@ def test_streams_and_writers_meet(spark, small, tmp_path):
     index.log.commit = slow
     index.remove(spark.createDataFrame([("c0",), ("c1",)], "chunk_id string"))
     assert index.sizes() == (4, 8)
+
+
+def test_lists_are_made_in_runs_of_whole_stripes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(segments, "RUN", 5)
+    rows = [(t, s, f"c{s}{i}", i, i + 1, 9 - i) for s in range(4) for i in range(3) for t in ("b", "a")]
+    schema = pa.schema([("term", pa.string()), ("stripe", pa.int64()), ("chunk_id", pa.string()), ("seq", pa.int64()), ("tf", pa.int32()), ("dl", pa.int32())])
+    batches = lambda: [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 4]), schema.types)], schema=schema) for i in range(0, len(rows), 4)]
+    got = [r for b in segments._packed(batches()) for r in b.to_pylist()]
+    assert sorted((r["term"], r["stripe"]) for r in got) == [(t, s) for t in "ab" for s in range(4)]
+    assert all((r["n"], r["max_tf"], r["min_dl"]) == (3, 3, 7) and [h["chunk_id"] for h in r["hits"]] == [f"c{r['stripe']}{i}" for i in range(3)] for r in got)
+    # a stripe with too many postings is handed on in parts
+    monkeypatch.setattr(segments, "MOST", 5)
+    assert sum(r["n"] for b in segments._packed(batches()) for r in b.to_pylist()) == len(rows)
+
+
+def test_an_id_that_comes_twice_in_a_batch(spark, small):
+    index = SegmentedIndex(spark, work_path(spark, "seg"))
+    rows = [("a", 1, "old words"), ("a", 3, "new new words"), ("a", 2, "older"), ("b", 1, None), ("c", 1, "words")]
+    index.add(spark.createDataFrame(rows, "chunk_id string, seq string, content string").repartition(3), seq_col="seq")
+    assert {(r.chunk_id, r.seq, r.dl, tuple(map(tuple, r.words))) for r in index.docs().collect()} == {("a", "3", 3, (("new", 2), ("words", 1))), ("b", "1", 0, ()), ("c", "1", 1, (("words", 1),))}
+    assert sorted(tuple(r) for r in index.term_counts().collect()) == [("new", 1), ("words", 2)]
