@@ -285,9 +285,10 @@ def stream_keyword_index(spark, sf_dir):
     rows = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
     path = work_path(spark, "chunks")
     for part in (0, 1):
-        rows.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    incremental.index_stream(stream, f"{path}/table", f"{path}/index", f"{path}/checkpoint").awaitTermination()
+        # what has come since the last run is a batch, of as many files as there are
+        rows.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        incremental.index_stream(stream, f"{path}/table", f"{path}/index", f"{path}/checkpoint").awaitTermination()
     return incremental.current_index(spark, f"{path}/index").terms.select("term", "df")
 
 

@@ -161,3 +161,14 @@ def test_lookups_wait_and_isolate_errors(spark):
     keys = spark.createDataFrame([(k,) for k in ("ok", "slow", "never", "bad", "ok")], "key string")
     got = {r.key: (r.response, r.error, r.attempts) for r in look_up(keys, "service", tries=3, base_seconds=0.01).collect()}
     assert got == {"ok": ('{"title": "ok"}', None, 1), "slow": ('{"title": "slow"}', None, 3), "never": (None, "slow down", 3), "bad": (None, "KeyError: 'gone'", 1)}
+
+
+def test_batches_of_the_keyword_stream_are_of_many_files(spark, tmp_path, monkeypatch):
+    """No task reads or writes a whole batch."""
+    from folioscope.plans import more_queries
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(more_queries, "work_path", lambda spark, name: f"{tmp_path}/{name}")
+    assert more_queries.stream_keyword_index(spark, str(tmp_path)).count() > 0
+    assert len(list((tmp_path / "chunks" / "in").glob("*.parquet"))) == 6
+    assert sorted(p.name for p in (tmp_path / "chunks" / "index").glob("v=*")) == ["v=000000000000", "v=000000000001"]
