@@ -5,16 +5,19 @@ characters that is no plain word: digits, inner capitals or signs in it) is judg
 context by a small network in numpy: character embedding, one convolution, the largest and the mean
 response inside the candidate and the largest in the context, two dense layers.
 
-It is fitted on labelled findings. Found are the base findings (TRAIN_MOST at most, those least by a
-hash) and generated secrets of random shapes; none are candidates of the corpus without a key-like
-context or finding (as many at most) and generated tokens of other kinds. Generated ones are set into
-the contexts of the corpus's own candidates, so the context alone tells nothing. Candidates that no
-pattern takes, but that change often between letters, digits and cases or stand where a key is named,
-are not labelled at all: what the patterns miss is not learned as harmless.
+It is fitted on labelled windows, on all of them. Found are the base findings and generated secrets of random
+shapes; none are candidates of the corpus without a key-like context or finding and generated tokens of other kinds.
+Every distinct window of the corpus also lends its context to a generated one of either label, so the context alone
+tells nothing. Candidates that no pattern takes, but that change often between letters, digits and cases or stand where
+a key is named, are not labelled at all: what the patterns miss is not learned as harmless.
 
-A fifth of the findings and generated shapes that were not trained on are held out: they calibrate the
-scores (Platt scaling) and set the threshold, of all that find RECALL of the held-out secrets the most
-precise, of equals the lowest.
+The fit begins on the driver with generated windows alone (their number is fixed), then goes EPOCHS times over the whole
+table in SLICES steps: tasks sum the gradients of a slice's windows, the driver takes a step by the sums. However many
+windows a group has (of the corpus or generated, by label), together they weigh no more than MOST_WEIGHT windows.
+
+A fifth of all windows was not trained on: it calibrates the scores (Platt scaling, losses summed by tasks) and sets the
+threshold, of all that find RECALL of the held-out secrets the most precise, of equals the lowest (exact, by running sums
+over ranges of scores).
 
 Positions are code points. A network span may hold base spans or overlap them; what is cut out of a text is the union
 of all spans. Defined results: a null or empty text has no findings; equal rows are
@@ -37,8 +40,10 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import keep_only, materialise, slices
 
-#: Windows of the corpus of each label, generated ones of each label for training and for calibration.
-TRAIN_MOST, GENERATED, HELD, RECALL = 2_000, 2_400, 800, 0.95
+#: What a group of windows weighs at most, generated windows of each label beside the corpus for training and for calibration.
+MOST_WEIGHT, GENERATED, HELD, RECALL = 2_000, 2_400, 800, 0.95
+#: Steps that go once over all windows, how often they do, and windows of a task of a step (at least).
+SLICES, EPOCHS, TASK_WINDOWS = 12, 4, 20_000
 BEFORE, INSIDE, AFTER = 24, 48, 8
 KINDS = ["assign", "access", "hex", "network"]
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -137,36 +142,55 @@ class CharNetwork:
         np.add.at(dE, c.ravel(), demb.reshape(-1, self.DIM))
         return {"E": dE, "W": np.tensordot(cols, dact, ((0, 1), (0, 1))), "b": dact.sum((0, 1)), "V": pooled.T @ dh, "c": dh.sum(0), "u": hidden.T @ dz, "e": dz.sum()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray, epochs: int = 6, rate: float = 0.01) -> None:
-        """Adam over shuffled batches, both labels of equal weight; the held-out windows calibrate."""
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01) -> None:
+        """Adam over shuffled batches, both labels of equal weight."""
         r, own = np.random.default_rng(88), np.arange(len(x))
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(v) for k, v in self.p.items()}
-        t, steps = 0, epochs * -(-len(x) // 64)
+        adam, steps = Adam(self.p), epochs * -(-len(x) // 64)
         for _ in range(epochs):
             r.shuffle(own)
             for at in range(0, len(own), 64):
                 b = own[at : at + 64]
-                t += 1
-                now = rate * (1 - t / (steps + 1))
-                for k, g in self._gradients(x[b], y[b], weight[b]).items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] = self.p[k] - now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-        self._calibrate(self.logits(held_x), held_y)
+                self.p = adam.step(self.p, self._gradients(x[b], y[b], weight[b]), rate * (1 - (adam.t + 1) / (steps + 1)))
+
+    def summed(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Gradients of the weighted losses, summed over windows, one after another."""
+        out = np.zeros(sum(v.size for v in self.p.values()))
+        for at in range(0, len(x), 512):
+            g = self._gradients(x[at : at + 512], y[at : at + 512], w[at : at + 512])
+            out += np.concatenate([np.ravel(g[k]) for k in self.p]) * len(x[at : at + 512])
+        return out
+
+    def parted(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        ends = np.cumsum([v.size for v in self.p.values()])[:-1]
+        return {k: part.reshape(v.shape) for (k, v), part in zip(self.p.items(), np.split(flat, ends))}
+
+
+class Adam:
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+
+    def step(self, p: dict[str, np.ndarray], gradients: dict[str, np.ndarray], rate: float) -> dict[str, np.ndarray]:
+        self.t, out = self.t + 1, {}
+        for k, g in gradients.items():
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g
+            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
+            out[k] = p[k] - rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
+        return out
+
 
-    def _calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling with smoothed targets (a grid keeps it finite where labels part cleanly), then
-        the threshold: of those that find RECALL of the secrets the most precise, of equals the lowest."""
-        target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+#: Scales and shifts that calibration chooses from: a grid keeps it finite where labels part cleanly.
+_GRID = [(a, b) for a in np.geomspace(0.05, 4, 40).tolist() for b in np.linspace(-5, 5, 41).tolist()]
 
-        def loss(a: float, b: float) -> float:
-            t = np.clip(a * z + b, -35, 35)
-            return float((np.log1p(np.exp(-np.abs(t))) + np.maximum(t, 0) - target * t).sum())
 
-        _, self.scale, self.shift = min((loss(a, b), a, b) for a in np.geomspace(0.05, 4, 40).tolist() for b in np.linspace(-5, 5, 41).tolist())
-        self.threshold = threshold_of(1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -35, 35))), y)
+def platt_losses(z: np.ndarray, y: np.ndarray, w: np.ndarray, targets: tuple[float, float]) -> np.ndarray:
+    """The weighted loss of each of _GRID, summed over windows; targets: of label 0 and of 1 (smoothed)."""
+    out, (a, b) = np.zeros(len(_GRID)), np.array(_GRID).T
+    for at in range(0, len(z), 512):
+        t = np.clip(a[:, None] * z[at : at + 512] + b[:, None], -35, 35)
+        target = np.where(y[at : at + 512] == 1, targets[1], targets[0])
+        out += (np.log1p(np.exp(-np.abs(t))) + np.maximum(t, 0) - target * t) @ w[at : at + 512]
+    return out
 
 
 def threshold_of(p: np.ndarray, y: np.ndarray) -> float:
@@ -238,14 +262,22 @@ def generated(seed: int, each: int, around: list[tuple[bytes, bytes]]) -> list[t
     return out
 
 
-def labelled_windows(docs: DataFrame, text_col: str) -> list[tuple[bytes, int]]:
-    """TRAIN_MOST windows of each label at most, those least by a hash; one scan of the texts."""
+def generated_in(window: bytes) -> list[tuple[bytes, int]]:
+    """A generated secret or other token in the context of a window, which decides on label and shape."""
+    seed = xxhash.xxh64_intdigest(window, 82)
+    r, label = random.Random(seed), seed & 1
+    before, core, after = window[:BEFORE].lstrip(b"\0"), (_secret_shape if label else _other_shape)(r)().encode(), window[BEFORE + INSIDE :].rstrip(b"\0")
+    return [(w, label) for w in windows(before + core + after, len(before), len(before) + len(core))]
+
+
+def labelled_windows(docs: DataFrame, text_col: str) -> DataFrame:
+    """window, label: all distinct windows of the corpus that have a label; one scan of the texts."""
     src = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def labelled(batches):
         keep_only()
-        kept: tuple[list, list] = ([], [])
         for b in slices(batches):
+            rows = []
             for text in b.column("text").to_pylist():
                 flat = flat_of(text)
                 found = candidates(flat)
@@ -253,29 +285,125 @@ def labelled_windows(docs: DataFrame, text_col: str) -> list[tuple[bytes, int]]:
                 for s, e in found:
                     label = int(any(x < e and s < y for x, _, y in base))
                     if label or 8 * len(_SWITCH.findall(flat[s:e])) <= e - s + 8 and not _KEYED.search(flat[max(0, s - BEFORE) : s]):
-                        kept[label].extend((xxhash.xxh64_intdigest(w) - (1 << 63), w) for w in windows(flat, s, e))
-            for label, rows in enumerate(kept):
-                if len(rows) > 2 * TRAIN_MOST:
-                    rows[:] = sorted(set(rows))[:TRAIN_MOST]
-        rows = [(at, label, w) for label, own in enumerate(kept) for at, w in sorted(set(own))[:TRAIN_MOST]]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["at", "label", "window"])
+                        rows += [(w, label) for w in windows(flat, s, e)]
+            if rows:
+                yield _window_batch(rows)
+
+    return materialise(src.mapInArrow(labelled, "window binary, label int").distinct(), "labelled-windows")
+
+
+def _window_batch(rows: list[tuple], **more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"window": pa.array([w for w, _ in rows], pa.binary()), "label": pa.array([y for _, y in rows], pa.int32())} | more)
+
 
-    seen = materialise(src.mapInArrow(labelled, "at long, label int, window binary"), "labelled-windows").distinct()
-    part = lambda label: seen.filter(F.col("label") == label).orderBy("at", "window").limit(TRAIN_MOST)
-    return sorted((bytes(r.window), r.label) for r in part(0).union(part(1)).collect())
+def training_windows(labelled: DataFrame, n: int) -> DataFrame:
+    """window, label, own (of the corpus), slice (-1: held out) of the n windows and of generated ones in their contexts,
+    in a folder per slice."""
+
+    def grow(batches):
+        keep_only()
+        for b in slices(batches):
+            own = list(zip(b.column("window").to_pylist(), b.column("label").to_pylist()))
+            made = [x for w, _ in own for x in generated_in(w)]
+            at = [xxhash.xxh64_intdigest(w, 8) for w, _ in own + made]
+            yield _window_batch(own + made, own=pa.array([True] * len(own) + [False] * len(made)), slice=pa.array([-1 if h % 5 == 0 else h // 5 % SLICES for h in at], pa.int32()))
+
+    grown = labelled.mapInArrow(grow, "window binary, label int, own boolean, slice int")
+    return materialise(grown.repartition(min(200, 1 + n // TASK_WINDOWS), "window"), "training-windows", by=["slice"])
+
+
+def _weights(counts: dict[tuple[bool, int], int]) -> dict[tuple[bool, int], float]:
+    """(own, label) -> the weight of one window of this group."""
+    return {group: min(n, MOST_WEIGHT) / n for group, n in counts.items()}
+
+
+def _read(b: pa.RecordBatch, weights: dict[tuple[bool, int], float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(b.column("window").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+    y = b.column("label").to_numpy(zero_copy_only=False)
+    return x, y, np.array([weights[g] for g in zip(b.column("own").to_pylist(), y.tolist())])
+
+
+def _sums(rows: DataFrame, of_batch) -> np.ndarray:
+    """of_batch's arrays over all rows, summed by tasks, then in the order of the tasks."""
+
+    def run(batches):
+        keep_only()
+        parts = [of_batch(b) for b in slices(batches)]
+        if parts:
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([np.sum(parts, axis=0).tolist()], pa.list_(pa.float64()))})
+
+    got = rows.mapInArrow(run, "sums array<double>").select(F.spark_partition_id().alias("part"), "sums").collect()
+    return np.sum([r.sums for r in sorted(got)], axis=0) if got else np.zeros(1)
+
+
+def threshold_over(scored: DataFrame) -> float:
+    """threshold_of over a table (z, label, w) of any size: the z of the threshold. Ranges of z run from the highest down; each
+    begins with the sums of those before it."""
+    spark = scored.sparkSession
+    each = scored.groupBy("z").agg(F.sum(F.col("label") * F.col("w")).alias("found"), F.sum("w").alias("taken"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = each.repartitionByRange(parts, F.desc("z")).sortWithinPartitions(F.desc("z")).withColumn("part", F.spark_partition_id())
+    ranged = materialise(ranged, "score-ranges", by=["part"])
+    sums = {r.part: (r.found, r.taken) for r in ranged.groupBy("part").agg(F.sum("found").alias("found"), F.sum("taken").alias("taken")).collect()}
+    before, so_far = {}, (0.0, 0.0)
+    for part in sorted(sums):
+        before[part] = so_far
+        so_far = (so_far[0] + sums[part][0], so_far[1] + sums[part][1])
+    # a little room for the order of the sums
+    wanted = RECALL * so_far[0] * (1 - 1e-12)
+
+    def best_of(key, rows):
+        z, found, taken = (rows.column(c).to_numpy() for c in ("z", "found", "taken"))
+        order = np.argsort(-z, kind="stable")
+        base = before[key[0].as_py()]
+        found, taken = base[0] + np.cumsum(found[order]), base[1] + np.cumsum(taken[order])
+        precision = np.where(found >= wanted, np.round(found / taken, 12), -1.0)
+        at = np.flatnonzero(precision == precision.max())[-1]
+        return pa.table({"precision": [float(precision[at])], "z": [float(z[order][at])]})
+
+    best = ranged.groupBy("part").applyInArrow(best_of, "precision double, z double").collect()
+    return min((-r.precision, r.z) for r in best)[1]
 
 
 def fit_network(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> CharNetwork:
-    """Fit on a bounded sample of the corpus's labelled candidates and on generated ones."""
-    corpus = labelled_windows(docs, text_col)
-    around = sorted({(w[:BEFORE].lstrip(b"\0"), w[BEFORE + INSIDE :].rstrip(b"\0")) for w, _ in corpus})
-    held_out = [xxhash.xxh64_intdigest(w, 8) % 5 == 0 for w, _ in corpus]
-    own = generated(80, GENERATED, around) + [x for x, h in zip(corpus, held_out) if not h]
-    held = generated(81, HELD, around) + [x for x, h in zip(corpus, held_out) if h]
+    """Fit on all labelled candidates of the corpus and on generated ones."""
     arrays = lambda rows: (np.frombuffer(b"".join(w for w, _ in rows), np.uint8).reshape(len(rows), -1), np.array([y for _, y in rows]))
+    labelled = labelled_windows(docs, text_col)
+    rows = training_windows(labelled, labelled.count())
+    counts = {(r.held, r.own, r.label): r["count"] for r in rows.groupBy((F.col("slice") < 0).alias("held"), "own", "label").count().collect()}
+    weights, held_weights = (_weights({k[1:]: n for k, n in counts.items() if k[0] == held}) for held in (False, True))
+    x, y = arrays(generated(80, GENERATED, []))
     network = CharNetwork()
-    network.fit(*arrays(own), *arrays(held))
+    network.fit(x, y)
+    if weights:
+        # both labels weigh the same; a slice is taken for its share of the whole
+        by_label = [sum(n * weights[k[1:]] for k, n in counts.items() if not k[0] and k[2] == label) + int((y == label).sum()) for label in (0, 1)]
+        even = [SLICES / (2 * total) for total in by_label]
+        weights = {k: w * even[k[1]] for k, w in weights.items()}
+        w, adam = np.array(even)[y], Adam(network.p)
+        for step in range(SLICES * EPOCHS):
+            part = rows.filter(F.col("slice") == step % SLICES)
+            gradients = _sums(part, lambda b: network.summed(*_read(b, weights))) + network.summed(*(a[step % SLICES :: SLICES] for a in (x, y, w)))  # noqa: B023
+            network.p = adam.step(network.p, network.parted(gradients), 0.01 * (1 - adam.t / (SLICES * EPOCHS)))
+    # ---- calibration
+    hx, hy = arrays(generated(81, HELD, []))
+    hz = network.logits(hx)
+
+    def score(batches):
+        keep_only()
+        for b in slices(batches):
+            bx, by, bw = _read(b, held_weights)
+            yield pa.RecordBatch.from_pydict({"z": pa.array(network.logits(bx)), "label": pa.array(by, pa.int32()), "w": pa.array(bw)})
+
+    schema = "z double, label int, w double"
+    fixed = docs.sparkSession.createDataFrame([(float(z), int(label), 1.0) for z, label in zip(hz, hy)], schema)
+    scored = materialise(rows.filter("slice = -1").mapInArrow(score, schema).unionByName(fixed), "held-out-scores")
+    yes, no = (sum(n * held_weights[k[1:]] for k, n in counts.items() if k[0] and k[2] == label) + int((hy == label).sum()) for label in (1, 0))
+    targets = (1 / (no + 2), (yes + 1) / (yes + 2))
+    losses = _sums(scored, lambda b: platt_losses(b.column("z").to_numpy(), b.column("label").to_numpy(), b.column("w").to_numpy(), targets))
+    network.scale, network.shift = _GRID[int(np.argmin(losses))]
+    z = threshold_over(scored)
+    network.threshold = float(1 / (1 + np.exp(-np.clip(network.scale * z + network.shift, -35, 35))))
     return network
 
 

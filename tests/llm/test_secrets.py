@@ -5,7 +5,7 @@ import string
 
 import numpy as np
 
-from folioscope.llm.secrets import RECALL, CharNetwork, base_spans, candidates, covered, find, fit_network, flat_of, redact, secrets, threshold_of
+from folioscope.llm.secrets import MOST_WEIGHT, RECALL, CharNetwork, _read, _sums, base_spans, candidates, covered, find, fit_network, flat_of, labelled_windows, redact, secrets, threshold_of, threshold_over, training_windows
 
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -157,3 +157,27 @@ def test_whole_query_against_plain_patterns(spark):
         assert [x for x in spans if not x.startswith("network")] == want
         runs = {f"network:{m.start()}:{m.end()}" for m in re.finditer("[A-Za-z0-9+/_.=-]{12,}", texts[r.doc_id] or "")}
         assert {x for x in spans if x.startswith("network")} <= runs
+
+
+def test_the_fit_takes_every_labelled_window(spark):
+    """More windows of each label than were taken before: all of them are there, and gradients are sums over all."""
+    n, r = MOST_WEIGHT + 300, random.Random(9)
+    texts = [f"see mail{i}.example.com, password={''.join(r.choices(string.ascii_letters, k=20))} there" for i in range(100_000, 100_000 + n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labelled = labelled_windows(docs, "text")
+    assert {x.label: x["count"] for x in labelled.groupBy("label").count().collect()} == {0: n, 1: n}
+    rows = training_windows(labelled, 2 * n)
+    assert rows.filter("own").count() == 2 * n and rows.filter("not own").count() >= 2 * n
+    net, weights = CharNetwork(2), {(own, label): 0.25 + own + label for own in (True, False) for label in (0, 1)}
+    got = _sums(rows, lambda b: net.summed(*_read(b, weights)))
+    whole = net.summed(*_read(rows.toArrow().combine_chunks().to_batches()[0], weights))
+    assert np.allclose(got, whole, rtol=1e-9, atol=1e-9)
+
+
+def test_threshold_over_a_table(spark):
+    rng = np.random.default_rng(4)
+    for _ in range(3):
+        y = rng.integers(0, 2, 80)
+        z = np.round(rng.normal(0.4 + y, 1), 1)  # with ties
+        rows = spark.createDataFrame([(float(a), int(b), 1.0) for a, b in zip(z, y)], "z double, label int, w double")
+        assert threshold_over(rows) == threshold_of(z, y)
