@@ -3,10 +3,11 @@
 1. Equal vectors become one point with a number of copies, so no vector is hot. Points are dealt to cells, the leaves of
    a k-d tree whose splits come from a bounded sample; every point is in a cell, and a cell's bounding box is
    exact. Two boxes' distance says whether their points have to be compared.
-2. Core distances: a point's distance to its k-th other one. A cell is compared with the cells that its own
-   bound on that distance reaches, as matrix blocks; only distances under the bound leave a task.
+2. Core distances: a point's distance to its k-th other one. Its own cell bounds that distance; a point goes to the
+   cells whose boxes are within its bound, as matrix blocks; only distances under the bound leave a task.
 3. The minimum spanning tree in Boruvka rounds: every component takes its least edge to another one, in
-   the total order (weight, point, point). Edges within cells bound what the search over pairs of cells has to look at.
+   the total order (weight, point, point). Edges within cells bound it, and a point goes to the cells whose boxes are
+   within its component's bound.
 4. The tree's edges are merged lightest first, STEP_EDGES at a time, and condensed at once: a component under the
    least size only says when its points leave a cluster. What stays is a tree of clusters, not of points;
    the excess of mass selects among them.
@@ -106,7 +107,7 @@ def _block(b: pa.RecordBatch, i: int, end: str = ""):
 def _kth(dist: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
     """By row the distance at which k copies are reached; infinite where there are fewer."""
     order = np.argsort(dist, 1, kind="stable")
-    reached = np.cumsum(copies[order], 1)
+    reached = np.cumsum(np.take_along_axis(np.broadcast_to(copies, dist.shape), order, 1), 1)
     at = (reached < k).sum(1)
     near = np.take_along_axis(dist, order, 1)
     return np.where(at < dist.shape[1], near[np.arange(len(dist)), np.minimum(at, dist.shape[1] - 1)], np.inf)
@@ -124,6 +125,13 @@ class Boxes:
     def farthest(self, i: int) -> np.ndarray:
         return np.sqrt((np.maximum(np.abs(self.hi[i] - self.lo), np.abs(self.hi - self.lo[i])) ** 2).sum(1))
 
+    def from_points(self, x: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Distances of points to some boxes, summed as _distances are (and a little less, so that none is over them)."""
+        out = np.zeros((len(x), len(j)))
+        for d in range(x.shape[1]):
+            out += np.square(np.maximum(0, np.maximum(self.lo[j, d] - x[:, d, None], x[:, d, None] - self.hi[j, d])))
+        return np.sqrt(out) * (1 - 1e-12)
+
 
 def _boxes(blocks: DataFrame) -> Boxes:
     def run(batches):
@@ -136,89 +144,87 @@ def _boxes(blocks: DataFrame) -> Boxes:
     return Boxes(*zip(*rows))
 
 
-def _pairs(blocks: DataFrame, boxes: Boxes, reach: np.ndarray, *, own: bool, least: np.ndarray | None = None, alone: np.ndarray | None = None) -> DataFrame:
-    """Blocks side by side (names end in _b for the second) whose boxes are within the first one's reach. With `least`
-    (a cell's least core distance) that counts as distance, too; cells that are alone in the same component
-    (>= 0) are no pair; unordered pairs are within the reach of either and come once."""
-    spark = blocks.sparkSession
+_ASK = "cell_b long, points array<long>, flat array<double>"
 
-    def run(batches):
-        for b in batches:
-            for i in b.column("id").to_pylist():
-                near = boxes.nearest(i)
-                if least is None:
-                    hit = near <= reach[i]
-                    if not own:
-                        hit[i] = False
-                else:
-                    near = np.maximum(near, np.maximum(least[i], least))
-                    hit = near <= np.maximum(reach[i], reach)
-                    hit &= (alone[i] < 0) | (alone != alone[i])
-                    hit[: i + 1] = False
-                found = np.flatnonzero(hit)
-                for at in range(0, len(found), 10_000):
-                    part = found[at : at + 10_000]
-                    yield pa.RecordBatch.from_pydict({"cell": pa.array(np.full(len(part), boxes.cells[i])), "cell_b": pa.array(boxes.cells[part])})
-
-    n = len(boxes.cells)
-    listed = spark.range(0, n, 1, min(n, 200)).mapInArrow(run, "cell long, cell_b long")
-    second = blocks.toDF(*[f"{c}_b" for c in blocks.columns])
-    return listed.join(blocks, "cell").join(second, "cell_b")
+
+def _asks(points, x, limits, at: int, boxes: Boxes, least: np.ndarray, more: dict, skip=None):
+    """A batch for every other box: the points whose limit its distance (`least` counts as one, too) does not pass. skip: points
+    by boxes that are no pair."""
+    near = np.maximum(boxes.nearest(at) * (1 - 1e-12), least)
+    near[at] = np.inf
+    every = np.flatnonzero(near <= limits.max(initial=-1.0))
+    for start in range(0, len(every), 256):
+        j = every[start : start + 256]
+        hit = np.maximum(boxes.from_points(x, j), least[j]) <= limits[:, None]
+        if skip is not None:
+            hit &= ~skip(j)
+        for col in np.flatnonzero(hit.any(0)).tolist():
+            own = np.flatnonzero(hit[:, col])
+            # one at a time: outliers may reach every box
+            yield pa.RecordBatch.from_pydict({"cell_b": pa.array([int(boxes.cells[j[col]])]), "points": pa.array([points[own]], pa.list_(pa.int64())), "flat": pa.array([x[own].ravel()], pa.list_(pa.float64()))} | {c: pa.array([v[own]], pa.list_(k)) for c, (v, k) in more.items()})
+
+
+def _asked(asks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Points beside the cells that they go to (names end in _b): a cell's rows are shuffled once, not once a pair."""
+    return asks.join(blocks.toDF(*[f"{c}_b" for c in blocks.columns]), "cell_b")
 
 
 # ---- core distances
 
 def core_distances(blocks: DataFrame, boxes: Boxes, k: int) -> DataFrame:
     """(point, core): the distance to the k-th other point, copies counted (infinite with fewer points)."""
+    place = {c: i for i, c in enumerate(boxes.cells.tolist())}
 
-    def reach_of(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                _, copies, x = _block(b, i)
-                far = max(_kth(_distances(x[at : at + BLOCK_ROWS], x), copies, k + 1).max() for at in range(0, len(x), BLOCK_ROWS))
-                yield pa.RecordBatch.from_pydict({"cell": b.column("cell").slice(i, 1), "reach": pa.array([float(far)])})
-
-    found = dict(blocks.mapInArrow(reach_of, "cell long, reach double").collect())
-    reach = np.array([found[c] for c in boxes.cells.tolist()])
-    for i in np.flatnonzero(np.isinf(reach)):
+    def farthest(i: int) -> float:
+        """Within it every point of a box has k others, if there are as many."""
         far = boxes.farthest(i)
         order = np.argsort(far)
         enough = int((np.cumsum(boxes.size[order]) < k + 1).sum())
-        reach[i] = far[order[enough]] if enough < len(order) else np.inf
+        return float(far[order[enough]]) * (1 + 1e-12) if enough < len(order) else np.inf
 
-    bound = dict(zip(boxes.cells.tolist(), reach.tolist()))
+    def own(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                points, copies, x = _block(b, i)
+                least, few = [], min(k + 1, len(x))
+                for at in range(0, len(x), BLOCK_ROWS):
+                    dist = _distances(x[at : at + BLOCK_ROWS], x)
+                    best = np.argpartition(dist, few - 1, 1)[:, :few]
+                    got = np.take_along_axis(dist, best, 1)
+                    least.append(_kth(got, copies[best], k + 1))
+                    rows = np.repeat(points[at : at + BLOCK_ROWS], few)
+                    yield pa.RecordBatch.from_pydict({"cell_b": pa.nulls(len(rows), pa.int64()), "points": pa.nulls(len(rows), pa.list_(pa.int64())), "flat": pa.nulls(len(rows), pa.list_(pa.float64())), "limits": pa.nulls(len(rows), pa.list_(pa.float64())), "point": pa.array(rows), "d": pa.array(got.ravel()), "n": pa.array(copies[best].ravel())})
+                limits = np.concatenate(least)
+                at = place[b.column("cell")[i].as_py()]
+                if np.isinf(limits).any():
+                    limits = np.minimum(limits, farthest(at))
+                for asked in _asks(points, x, limits, at, boxes, np.zeros(len(place)), {"limits": (limits, pa.float64())}):
+                    yield pa.RecordBatch.from_arrays([*asked.columns, *(pa.nulls(1, t) for t in (pa.int64(), pa.float64(), pa.int64()))], names=[*asked.schema.names, "point", "d", "n"])
+
+    both = written(blocks.mapInArrow(own, f"{_ASK}, limits array<double>, point long, d double, n long"), "density-asks")
+    rows = both.filter("point IS NOT NULL").select("point", "d", "n")
 
     def near(batches):
         for b in batches:
             for i in range(b.num_rows):
-                points, _, x = _block(b, i)
+                points, limits = (np.array(b.column(c)[i].values) for c in ("points", "limits"))
+                x = np.array(b.column("flat")[i].values).reshape(len(points), -1)
                 _, copies, y = _block(b, i, "_b")
-                limit = bound[b.column("cell")[i].as_py()]
                 for at in range(0, len(x), BLOCK_ROWS):
                     dist = _distances(x[at : at + BLOCK_ROWS], y)
                     few = min(k + 1, dist.shape[1])
                     best = np.argpartition(dist, few - 1, 1)[:, :few]
                     got = np.take_along_axis(dist, best, 1)
-                    row, col = np.nonzero(got <= limit)
+                    row, col = np.nonzero(got <= limits[at : at + BLOCK_ROWS, None])
                     yield pa.RecordBatch.from_pydict({"point": pa.array(points[at + row]), "d": pa.array(got[row, col]), "n": pa.array(copies[best[row, col]])})
 
-    rows = _pairs(blocks, boxes, reach, own=True).mapInArrow(near, "point long, d double, n long")
-    own = rows.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("near"))
-
-    def kth(batches):
-        for b in batches:
-            cores = []
-            for near in b.column("near").to_pylist():
-                seen, core = 0, float("inf")
-                for x in near:
-                    seen += x["n"]
-                    if seen > k:
-                        core = x["d"]
-                        break
-                cores.append(core)
-            yield pa.RecordBatch.from_arrays([b.column("point"), pa.array(cores, pa.float64())], names=["point", "core"])
-
-    return own.mapInArrow(kth, "point long, core double")
+    if len(boxes.cells) > 1:
+        asks = both.filter("point IS NULL").select("cell_b", "points", "flat", "limits")
+        rows = rows.unionByName(_asked(asks, blocks).mapInArrow(near, "point long, d double, n long"))
+    far, none = F.lit(float("inf")), F.lit(0).cast("long")
+    step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when((s["seen"] <= k) & (s["seen"] + x["n"] > k), x["d"]).otherwise(s["core"]).alias("core"))
+    reached = F.aggregate(F.array_sort(F.collect_list(F.struct("d", "n"))), F.struct(none.alias("seen"), far.alias("core")), step)
+    return rows.groupBy("point").agg(reached["core"].alias("core"))
 
 
 # ---- the spanning tree
@@ -256,8 +262,8 @@ def _edge_batch(best: dict[int, tuple]) -> pa.RecordBatch:
 
 
 def _arrays(b, i, end=""):
-    points, _, x = _block(b, i, end)
-    return points, np.array(b.column("comps" + end)[i].values), np.array(b.column("cores" + end)[i].values), x
+    points = np.array(b.column("points" + end)[i].values)
+    return points, np.array(b.column("comps" + end)[i].values), np.array(b.column("cores" + end)[i].values), np.array(b.column("flat" + end)[i].values).reshape(len(points), -1)
 
 
 def _within(batches):
@@ -273,6 +279,24 @@ def _between(batches):
             yield _edge_batch(_least_edges(*_arrays(b, i), *_arrays(b, i, "_b")))
 
 
+def _crossing(boxes: Boxes, least: np.ndarray, alone: np.ndarray):
+    """Points go to the cells that their component's bound reaches: not to those that are of their component alone."""
+    place = {c: i for i, c in enumerate(boxes.cells.tolist())}
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                points, comps, cores, x = _arrays(b, i)
+                limits = np.array(b.column("limits")[i].values)
+                # the weight is at least the core distance
+                live = np.flatnonzero(cores <= limits)
+                points, comps, cores, x = points[live], comps[live], cores[live], x[live]
+                more = {"comps": (comps, pa.int64()), "cores": (cores, pa.float64())}
+                yield from _asks(points, x, limits[live], place[b.column("cell")[i].as_py()], boxes, least, more, lambda j: comps[:, None] == alone[j][None, :])  # noqa: B023
+
+    return run
+
+
 def _roots(hooks: DataFrame) -> DataFrame:
     """(comp, other) -> (comp, root): everyone points to another one, mutual pairs to the lesser; followed to the end."""
     back = hooks.select(F.col("comp").alias("other"), F.col("other").alias("again"))
@@ -301,20 +325,23 @@ def spanning_tree(blocks: DataFrame, boxes: Boxes, cores: DataFrame) -> DataFram
         if (alone >= 0).all() and len(set(alone.tolist())) == 1:
             none = flat.select(F.lit(0.0).alias("w"), F.col("point").alias("u"), F.col("point").alias("v")).limit(0)
             return reduce(DataFrame.unionByName, parts, none)
-        found = written(marked.drop("a", "b").mapInArrow(_within, _EDGE), "density-edges")
+        # a cell of one component has no edge within
+        found = written(marked.filter("a <> b").mapInArrow(_within, _EDGE), "density-edges")
         pick = F.min(F.struct("w", "u", "v", "other")).alias("e")
         if len(boxes.cells) > 1:
-            bound = found.groupBy("comp").agg(F.min("w").alias("w"))
-            held = labels.select("cell", "comp").distinct().join(bound, "comp", "left").groupBy("cell").agg(F.max(F.coalesce("w", F.lit(float("inf")))).alias("w"))
-            held = dict(held.collect())
-            reach = np.array([held[c] for c in boxes.cells.tolist()])
-            for i in range(len(reach)):
+            beyond: dict[int, float] = {}
+            for i in np.flatnonzero(alone >= 0):
                 # the nearest cell with a point of another component bounds the least edge, too
-                foreign = (alone < 0) | (alone != alone[i])
-                foreign[i] = alone[i] < 0
-                reach[i] = min(reach[i], np.maximum(np.maximum(boxes.farthest(i), most), most[i])[foreign].min())
-            reach = np.maximum(reach, LEAST_WEIGHT)
-            crossing = _pairs(marked.drop("a", "b"), boxes, reach, own=False, least=least, alone=alone).mapInArrow(_between, _EDGE)
+                far = np.maximum(np.maximum(boxes.farthest(i), most), most[i])[alone != alone[i]].min() * (1 + 1e-12)
+                beyond[int(alone[i])] = min(beyond.get(int(alone[i]), np.inf), float(max(far, LEAST_WEIGHT)))
+            known = found.select("comp", "w")
+            if beyond:
+                known = known.unionByName(found.sparkSession.createDataFrame(list(beyond.items()), "comp long, w double"))
+            bound = known.groupBy("comp").agg(F.min("w").alias("bound"))
+            own = F.array_sort(F.collect_list(F.struct("point", "bound")))
+            limits = labels.join(bound, "comp").groupBy("cell").agg(own.alias("own")).select("cell", F.col("own.bound").alias("limits"))
+            asks = marked.select("cell", "points", "comps", "cores", "flat").join(limits, "cell").mapInArrow(_crossing(boxes, least, alone), f"{_ASK}, comps array<long>, cores array<double>")
+            crossing = _asked(asks, marked.select("cell", "points", "comps", "cores", "flat")).mapInArrow(_between, _EDGE)
             found = found.unionByName(crossing)
         chosen = written(found.groupBy("comp").agg(pick).select("comp", "e.*"), "density-chosen")
         parts.append(chosen.select("w", "u", "v").distinct())

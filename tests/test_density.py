@@ -138,3 +138,15 @@ def test_cells_hold_every_point_once():
     cells = density._cells_of(x, splits)
     assert cells.min() == 0 and cells.max() < 16 and len(set(cells)) == 16 and len(set(cells[500:])) == 1
     assert density._cells_of(x, []).max() == 0
+
+
+def test_only_points_whose_bound_reaches_a_box_go_to_it():
+    """One outlier of a cell does not send the whole cell."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.random((50, 3)), [[4.0, 0.5, 0.5]]])
+    far = rng.random((40, 3)) + [9, 0, 0]
+    boxes = density.Boxes([3, 8], [x.min(0), far.min(0)], [x.max(0), far.max(0)], [51, 40])
+    limits = np.append(np.full(50, 0.5), 6.0)
+    sent = list(density._asks(np.arange(51), x, limits, 0, boxes, np.zeros(2), {"limits": (limits, density.pa.float64())}))
+    assert [b.to_pylist() for b in sent] == [[{"cell_b": 8, "points": [50], "flat": x[50].tolist(), "limits": [6.0]}]]
+    assert (boxes.from_points(x, np.array([1]))[:, 0] <= density._distances(x, far).min(1)).all()
