@@ -49,9 +49,12 @@ class FragmentIndex:
         # rows are numbered as they are written, so that a row's number says where it lies
         written(own, "fragment-rows").withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{path}/names")
         names = spark.read.parquet(f"{path}/names")
-        places = F.sequence(F.lit(1), F.length("low") - 2)
-        each = names.select("row", F.lower("name").alias("low")).filter(F.length("low") >= 3)
-        grams = each.select("row", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("low", i, 3)))).alias("gram"))
+        # characters side by side: substrings by place would go over a long name once a place
+        each = names.select("row", F.split(F.lower("name"), "").alias("chars"))
+        after = lambda n: F.slice("chars", n + 1, F.greatest(F.size("chars") - n, F.lit(0)))
+        joined = lambda a, b: F.concat(a, b)
+        three = F.zip_with(F.zip_with("chars", after(1), joined), after(2), joined)
+        grams = each.select("row", F.explode(F.array_distinct(three)).alias("gram")).filter(F.length("gram") == 3)
         grams.repartitionByRange("gram", "row").sortWithinPartitions("gram", "row").write.parquet(f"{path}/grams")
         spark.read.parquet(f"{path}/grams").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
         return FragmentIndex(spark, path)

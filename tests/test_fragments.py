@@ -34,3 +34,16 @@ def test_common_grams_are_not_read(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "In(row" in plan and found.count() == 5
     assert index.candidates("%qqq%").count() == 0 and index.candidates("%z%") is None
+
+
+def test_grams_of_long_and_odd_names(spark, tmp_path):
+    """A name of 300,000 characters takes seconds, not a walk over it for every place; characters are code points."""
+    import time
+
+    names = [(0, "ab" * 150_000 + "xyz"), (1, "é🙂日本"), (2, "ab"), (3, ""), (4, "ABCabc")]
+    began = time.time()
+    index = FragmentIndex.build(spark.createDataFrame(names, "id long, name string"), str(tmp_path / "long"), id_col="id", name_col="name")
+    grams = {r.gram for r in spark.read.parquet(f"{index.path}/grams").collect()}
+    assert grams == {"aba", "bab", "abx", "bxy", "xyz", "é🙂日", "🙂日本", "abc", "bca", "cab"}
+    assert time.time() - began < 30
+    assert [r.id for r in index.search("%bxyz").collect()] == [0] and [r.id for r in index.search("%🙂日%").collect()] == [1]
