@@ -67,3 +67,22 @@ def test_copies_small_and_odd_tables(spark, monkeypatch):
         assert small.search(q.limit(0), 5, exact=exact).count() == 0
     with pytest.raises(ValueError):
         build(odd.limit(0), work_path(spark, "vec"))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_many_queries_are_compared_by_products(spark, monkeypatch, metric):
+    """The rows of a search by built-ins alone, also with copies, rows and queries without a vector or of another width; few
+    pairs are left to the built-ins."""
+    monkeypatch.setattr(vector_search, "PRODUCT_ROWS", 100)
+    chunks = vectors(spark, 900, 6, 5, copies=300).repartition(3)
+    odd = spark.createDataFrame([(f"a{i}", 0, v) for i, v in enumerate([None, [1.0], [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [1e-105] * 6] + [None] * 20)], chunks.schema)
+    both, ask = chunks.unionByName(odd), asked(chunks, 12).unionByName(spark.createDataFrame([("x", None), ("y", [2.0] * 7)], "query_id string, vector array<double>"))
+    n = ask.count()
+    assert n > vector_search.FEW
+    alone = lambda rows, k: rows_of(vector_search._search_block(rows, ask, k, False, metric=metric))
+    for rows, k in ((both, 10), (both, 400), (odd, 8)):
+        got, want = rows_of(vector_search.search(rows, ask, k, metric=metric)), alone(rows, k)
+        assert repr(got) == repr(want) and len(got) == n * min(k, rows.count())
+    pool, q = chunks.selectExpr("chunk_id", "doc_id", "embedding AS v"), asked(chunks, 12).selectExpr("query_id", "vector AS q")
+    near = vector_search._pairs(pool, q, 5, metric, 9)
+    assert "MapInArrow" in near._jdf.queryExecution().executedPlan().toString() and near.count() < 0.1 * 900 * q.count()
