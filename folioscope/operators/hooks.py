@@ -98,6 +98,8 @@ class Retry(Exception):
 
 
 LOOKUPS: dict[str, Callable[[], Callable[[str], str]]] = {}
+#: Rows and characters of keys and answers that a task of look_up holds before it hands them on.
+HELD_ROWS, HELD_CHARS = 500, 1_000_000
 
 
 def register_lookup(name: str, factory: Callable[[], Callable[[str], str]]) -> None:
@@ -108,17 +110,20 @@ def look_up(keys: DataFrame, name: str, *, key_col: str = "key", tries: int = 4,
     """(key) -> key, response, error, attempts from a service, each key once.
 
     A lookup that raises Retry waits base_seconds, then twice as long each time; other errors are the
-    row's outcome. Responses are text for the functions in functions/responses.py."""
+    row's outcome. Answers are handed on by HELD_ROWS and HELD_CHARS. Responses are text for the functions in functions/responses.py."""
     factory = _named(LOOKUPS, name, "lookup")
 
     def run(batches):
         import time
 
+        def rows(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.int32()))], names=["key", "response", "error", "attempts"])
+
         ask = factory()
         for b in batches:
-            out = []
-            for key in b.column(0).to_pylist():
-                answer = error = None
+            out, held = [], 0
+            for key in b.column(0):
+                key, answer, error = key.as_py(), None, None
                 for attempt in range(1, tries + 1):
                     try:
                         answer, error = ask(key), None
@@ -131,7 +136,11 @@ def look_up(keys: DataFrame, name: str, *, key_col: str = "key", tries: int = 4,
                         error = f"{type(e).__name__}: {e}"
                         break
                 out.append((key, answer, error, attempt))
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int32()))], names=["key", "response", "error", "attempts"])
+                held += len(key or "") + len(answer or "") + len(error or "")
+                if len(out) >= HELD_ROWS or held >= HELD_CHARS:
+                    yield rows(out)
+                    out, held = [], 0
+            if out:
+                yield rows(out)
 
     return keys.select(keys[key_col].cast("string").alias("key")).distinct().mapInArrow(run, "key string, response string, error string, attempts int")

@@ -163,6 +163,25 @@ def test_lookups_wait_and_isolate_errors(spark):
     assert got == {"ok": ('{"title": "ok"}', None, 1), "slow": ('{"title": "slow"}', None, 3), "never": (None, "slow down", 3), "bad": (None, "KeyError: 'gone'", 1)}
 
 
+def test_lookups_hand_on_small_batches(spark, monkeypatch):
+    """A batch of many or long keys is answered in parts, so that a worker's memory does not grow with it."""
+    import pyarrow as pa
+
+    from folioscope.operators import hooks
+
+    keys, caught = spark.createDataFrame([("a",)], "key string"), []
+    monkeypatch.setattr(type(keys), "mapInArrow", lambda self, f, schema: caught.append(f) or self)
+    monkeypatch.setitem(hooks.LOOKUPS, "echo", lambda: lambda key: None if key == "none" else key * 2)
+    hooks.look_up(keys, "echo")
+    for n, width in ((3000, 3), (300, 50_000)):
+        own = ["none", None, *[f"{i:0{width}d}" for i in range(n)]]
+        parts = list(caught[0]([pa.RecordBatch.from_pydict({"key": pa.array(x, pa.string())}) for x in (own, [])]))
+        assert max(p.num_rows for p in parts) <= hooks.HELD_ROWS and max(p.nbytes for p in parts) < 1.5 * hooks.HELD_CHARS
+        rows = pa.Table.from_batches(parts).to_pylist()
+        assert [r["key"] for r in rows] == own and [r["response"] for r in rows] == [None, None, *[k * 2 for k in own[2:]]]
+        assert [r["error"] for r in rows if r["error"]] == ["TypeError: unsupported operand type(s) for *: 'NoneType' and 'int'"]
+
+
 def test_batches_of_the_keyword_stream_are_of_many_files(spark, tmp_path, monkeypatch):
     """No task reads or writes a whole batch."""
     from folioscope.plans import more_queries
