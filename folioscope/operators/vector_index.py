@@ -4,12 +4,15 @@ Centroids and codebooks are fitted on at most TRAIN rows; every row is indexed.
 centroid's cell, with its vector and a code of one byte per subspace for what the centroid leaves over. A search
 
 1. finds each query's nearest cells, and reads the codes of these folders only (they are partitions of the table);
-2. scores codes by tables of the query's distances to the codebooks, keeps `rerank` times k a query, and
+2. scores codes by products of the queries with what the codes stand for, keeps `rerank` times k a query, and
 3. reads the vectors of these and takes exact distances, as vector_search does.
 
 `exact=True` gives the same rows as the exact search: cells are read until none is left whose distance to the query, less
 the cell's radius, is within the k-th distance found. Distances are between unit vectors for the cosine metric.
 
+How many cells are probed and how many codes kept is measured on the sample when the index is built (`effort`): so many that
+TARGET of its rows' neighbours are found. Vectors without clusters need many cells, clustered ones few.
+
 Defined results: rows without a vector, or of length zero for the cosine, are not indexed; fewer rows than k give what
 there is; ties go by chunk id; an empty table gives no rows. Queries come in blocks as in vector_search.
 """
@@ -33,6 +36,8 @@ from folioscope.sources.places import written
 
 #: Rows that centroids and codebooks are fitted on, cells at most, codes of a subspace, steps of a fit.
 TRAIN, CELLS_MOST, CODES, STEPS = 50_000, 4096, 256, 10
+#: Share of neighbours that the probed cells, and the codes kept, are each to hold; rows of the sample that ask, and their neighbours.
+TARGET, ASKING, NEIGHBOURS = 0.98, 200, 10
 #: Floating-point room for bounds.
 ROOM = 1e-7
 
@@ -64,6 +69,25 @@ def nearest(x: np.ndarray, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, far
 
 
+def effort(x: np.ndarray, cell: np.ndarray, coded: np.ndarray, means: np.ndarray, n: int, seed: int) -> tuple[int, int]:
+    """Cells to probe and codes to keep for each wanted row so that, in a sample of n rows, TARGET of the neighbours of some of its
+    rows are found. In all n rows neighbours are nearer than in the sample, and so in nearer cells; more codes are nearer too."""
+    near, place = [], []
+    for i in np.random.default_rng(seed).choice(len(x), min(ASKING, len(x)), replace=False):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        own = np.argsort(d, kind="stable")[: min(NEIGHBOURS, len(x) - 1)]
+        cells = np.empty(len(means), int)
+        cells[np.argsort(((means - x[i]) ** 2).sum(1), kind="stable")] = np.arange(len(means))
+        near += cells[cell[own]].tolist()
+        by_code = ((coded - x[i]) ** 2).sum(1)
+        place += [int((by_code < by_code[j]).sum()) for j in own]
+    if not near:
+        return 1, 1
+    probes, kept = (int(np.quantile(v, TARGET, method="higher")) + 1 for v in (near, place))
+    return probes, math.ceil(kept * max(1, n / len(x)) / NEIGHBOURS)
+
+
 def _unit(x: np.ndarray, metric: str) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
 
@@ -77,7 +101,7 @@ def _usable(chunks: DataFrame, metric: str) -> DataFrame:
     return rows.filter(norm(F.col("embedding")) > 0) if metric == "cosine" else rows
 
 
-def build(chunks: DataFrame, path: str, *, metric: str = "cosine", cells: int | None = None, subspaces: int = 16, seed: int = 7) -> VectorIndex:
+def build(chunks: DataFrame, path: str, *, metric: str = "cosine", cells: int | None = None, subspaces: int = 32, seed: int = 7) -> VectorIndex:
     """Write the index of (chunk_id, doc_id, embedding) rows under path."""
     spark = chunks.sparkSession
     rows = written(_usable(chunks, metric), "vector-rows")
@@ -92,7 +116,8 @@ def build(chunks: DataFrame, path: str, *, metric: str = "cosine", cells: int |
     means = lloyd(sample, cells, seed)
     subspaces = min(subspaces, width)
     edges = np.linspace(0, width, subspaces + 1).astype(int).tolist()
-    rest = sample - means[nearest(sample, means)[0]]
+    own_cell = nearest(sample, means)[0]
+    rest = sample - means[own_cell]
     parts = spark.createDataFrame([(m, rest[:, a:b].astype("<f8").tobytes()) for m, (a, b) in enumerate(zip(edges, edges[1:]))], "m int, flat binary").repartition(subspaces, "m")
 
     def fit(batches):
@@ -103,6 +128,9 @@ def build(chunks: DataFrame, path: str, *, metric: str = "cosine", cells: int |
 
     books = [np.frombuffer(r.book, "<f8").reshape(-1, edges[r.m + 1] - edges[r.m]) for r in sorted(parts.mapInArrow(fit, "m int, book binary").collect())]
 
+    said = np.concatenate([book[nearest(rest[:, a:z], book)[0]] for a, z, book in zip(edges, edges[1:], books)], 1)
+    probes, rerank = effort(sample, own_cell, said + means[own_cell], means, n, seed)
+
     def encode(batches):
         for b in batches:
             if not b.num_rows:
@@ -123,7 +151,7 @@ def build(chunks: DataFrame, path: str, *, metric: str = "cosine", cells: int |
     listed = [(m, i, c.tolist()) for m, book in enumerate(books) for i, c in enumerate(book)]
     spark.createDataFrame(listed, "m int, code int, center array<double>").coalesce(1).write.parquet(f"{path}/books")
     # written last: it says that the index is whole
-    spark.createDataFrame([(json.dumps({"metric": metric, "width": width, "edges": edges} | kinds),)], "facts string").coalesce(1).write.parquet(f"{path}/facts")
+    spark.createDataFrame([(json.dumps({"metric": metric, "width": width, "edges": edges, "probes": probes, "rerank": rerank} | kinds),)], "facts string").coalesce(1).write.parquet(f"{path}/facts")
     return VectorIndex(spark, path)
 
 
@@ -134,6 +162,8 @@ class VectorIndex:
         self.spark, self.path = spark, path
         facts = json.loads(spark.read.parquet(f"{path}/facts").first()[0])
         self.metric, self.width, self.edges = facts["metric"], facts["width"], facts["edges"]
+        # an index of an earlier form does not say them
+        self.probes, self.rerank = facts.get("probes", 16), facts.get("rerank", 10)
         self.kinds = {c: facts[c] for c in ("chunk_id", "doc_id")}
         centers = spark.read.parquet(f"{path}/centers").orderBy("cell").collect()
         self.centers, self.sizes, self.radii = np.array([r.center for r in centers]), np.array([r.n for r in centers]), np.array([r.radius for r in centers])
@@ -152,21 +182,32 @@ class VectorIndex:
         for i, cells in enumerate(cells_of):
             for c in cells.tolist():
                 askers.setdefault(c, []).append(i)
-        centers, books, edges = self.centers, self.books, self.edges
+        centers, books, squares = self.centers, self.books, (q**2).sum(1)
         ids = pa.array([r.query_id for r in asked], to_arrow_type(kind))
 
         def score(batches):
+            least = np.full(len(q), np.inf, "f4")  # a distance that `keep` rows of the task are within
             for b in batches:
+                if not b.num_rows:
+                    continue
                 cell = b.column("cell").to_numpy()
                 codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                said = np.concatenate([book[codes[:, m]] for m, book in enumerate(books)], 1) + centers[cell]
+                square = (said**2).sum(1)
+                # in single precision: rows of the same code stay equal, whatever the product's shape
+                d = np.full((len(q), b.num_rows), np.inf, "f4")
                 for c in np.unique(cell).tolist():
-                    at = np.flatnonzero(cell == c)
-                    own = codes[at]
-                    for i in askers.get(c, ()):
-                        left = q[i] - centers[c]
-                        d = sum(((left[a:z] - book) ** 2).sum(1)[own[:, m]] for m, (a, z, book) in enumerate(zip(edges, edges[1:], books)))
-                        best = at[np.argsort(d, kind="stable")[:keep]]
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(best), i))), b.column("chunk_id").take(pa.array(best)), pa.array(np.full(len(best), c, "i4")), pa.array(np.sort(d, kind="stable")[:keep])], names=["query_id", "chunk_id", "cell", "d"])
+                    who, at = askers.get(c, []), np.flatnonzero(cell == c)
+                    if who:
+                        d[np.ix_(who, at)] = squares[who][:, None] + square[at] - 2 * q[who] @ said[at].T
+                if b.num_rows > keep:
+                    least = np.minimum(least, np.partition(d, keep - 1, 1)[:, keep - 1])
+                who, at = np.nonzero((d <= least[:, None]) & np.isfinite(d))
+                for i in np.flatnonzero(np.bincount(who, minlength=len(q)) > keep):  # more at the same distance: by place, which is by id
+                    own = np.flatnonzero(who == i)
+                    some = np.delete(np.arange(len(who)), own[np.argsort(d[i, at[own]], kind="stable")[keep:]])
+                    who, at = who[some], at[some]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), b.column("chunk_id").take(pa.array(at)), b.column("cell").take(pa.array(at)), pa.array(d[who, at].astype(float))], names=["query_id", "chunk_id", "cell", "d"])
 
         found = self.rows(sorted(askers)).select("chunk_id", "cell", "code").mapInArrow(score, f"query_id {kind.simpleString()}, chunk_id {self.kinds['chunk_id']}, cell int, d double")
         return top_k(found, keep, ("d", False), ("chunk_id", False)).select("query_id", "chunk_id", "cell")
@@ -184,10 +225,12 @@ class VectorIndex:
         up = distance + 10.0**-digits
         return math.sqrt(max(2 * up if self.metric == "cosine" else up, 0)) + ROOM
 
-    def search(self, queries: DataFrame, k: int, *, probes: int = 16, rerank: int = 10, exact: bool = False, digits: int = 9) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, *, probes: int | None = None, rerank: int | None = None, exact: bool = False, digits: int = 9) -> DataFrame:
         """query_id, chunk_id, doc_id, distance, similarity, rank (from 0), as vector_search.search gives them.
 
-        queries: (query_id, vector), at most QUERY_BLOCK of them come to the driver at a time."""
+        queries: (query_id, vector), at most QUERY_BLOCK of them come to the driver at a time. Cells probed and codes kept
+        are those that the build found to be needed, unless given."""
+        probes, rerank = probes or self.probes, rerank or self.rerank
         asked = queries.select("query_id", as_doubles(F.col("vector")).alias("q")).limit(QUERY_BLOCK + 1).collect()
         if len(asked) > QUERY_BLOCK:
             blocks = -(-queries.count() // QUERY_BLOCK) * 2

@@ -86,3 +86,14 @@ def test_many_queries_are_compared_by_products(spark, monkeypatch, metric):
     pool, q = chunks.selectExpr("chunk_id", "doc_id", "embedding AS v"), asked(chunks, 12).selectExpr("query_id", "vector AS q")
     near = vector_search._pairs(pool, q, 5, metric, 9)
     assert "MapInArrow" in near._jdf.queryExecution().executedPlan().toString() and near.count() < 0.1 * 900 * q.count()
+
+
+def test_recall_of_vectors_without_clusters(spark):
+    """Neighbours lie in many cells then; how many are probed is measured by the build."""
+    x = np.random.default_rng(8).normal(0, 1, (3000, 24))
+    chunks = spark.createDataFrame([(f"c{i:05d}", 0, row.tolist()) for i, row in enumerate(x)], "chunk_id string, doc_id int, embedding array<double>")
+    index, ask = build(chunks, work_path(spark, "vec")), asked(chunks, 60)
+    got = recall(index.search(ask, 10), vector_search.search(chunks, ask, 10)).agg({"wanted": "sum", "found": "sum"}).first()
+    assert got["sum(found)"] >= 0.93 * got["sum(wanted)"] and index.probes > 16
+    close = build(vectors(spark), work_path(spark, "vec"))
+    assert 1 <= close.probes < 16
